@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundloom.llm import pii, quality, secrets, urls
+from groundloom.llm import bpe, mixing, pii, quality, secrets, simhash, urls
 from groundloom.llm.common import load
 
 
@@ -25,10 +25,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(load(spark, sf_dir, "pages"))
 
 
+def op8_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_copies(load(spark, sf_dir, "documents")))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(bpe.decode(bpe.encode(docs)))
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_personal_data": op4_personal_data,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
+    "op8_simhash_copies": op8_simhash_copies,
+    "op9_source_mix": op9_source_mix,
+    "op10_byte_pairs": op10_byte_pairs,
 }
 ORACLES: dict[str, str] = {}
