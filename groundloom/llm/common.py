@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint, in the folder the cluster names."""
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint, in the folder the cluster names."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -85,3 +89,12 @@ def joined(spans: Column, by_rank: bool = False) -> Column:
 
 def every(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the checkpoint folder, which all executors share: a cut of lineage that is smaller than a checkpoint."""
+    spark = df.sparkSession
+    _checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundloom.llm import bpe, mixing, pii, quality, secrets, simhash, urls
+from groundloom.llm import bpe, mixing, pii, quality, repeats, secrets, simhash, urls
 from groundloom.llm.common import load
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.drop_repeats(load(spark, sf_dir, "documents")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(load(spark, sf_dir, "documents")))
 
@@ -39,6 +43,7 @@ def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeat_removal": op1_repeat_removal,
     "op3_secret_scan": op3_secret_scan,
     "op4_personal_data": op4_personal_data,
     "op5_quality_rules": op5_quality_rules,
