@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundloom.llm import bpe, mixing, pii, quality, repeats, secrets, simhash, urls
+from groundloom.llm import bpe, html_main, images, mixing, pii, quality, repeats, secrets, simhash, urls
 from groundloom.llm.common import load
 
 
@@ -12,6 +13,10 @@ def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.drop_repeats(load(spark, sf_dir, "documents")))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(load(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(load(spark, sf_dir, "documents")))
 
@@ -29,6 +34,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(load(spark, sf_dir, "pages"))
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each embedding, 8 x 8 values, is drawn as one of 64 x 64 pixels."""
+    vectors = load(spark, sf_dir, "embeddings")
+    pictures = vectors.select(F.col("vec_id").alias("image_id"), F.lit(64).alias("height"), F.lit(64).alias("width"), images.from_vectors(F.col("embedding")).alias("pixels"))
+    return images.image_copies(pictures).withColumnRenamed("image_id", "vec_id")
+
+
 def op8_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_copies(load(spark, sf_dir, "documents")))
 
@@ -44,10 +56,12 @@ def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repeat_removal": op1_repeat_removal,
+    "op2_main_text": op2_main_text,
     "op3_secret_scan": op3_secret_scan,
     "op4_personal_data": op4_personal_data,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
+    "op7_image_copies": op7_image_copies,
     "op8_simhash_copies": op8_simhash_copies,
     "op9_source_mix": op9_source_mix,
     "op10_byte_pairs": op10_byte_pairs,
