@@ -1,31 +1,60 @@
-"""A training-data pipeline: each stage takes documents and gives documents, the last one token digests."""
+"""A training-data pipeline: quality rules, near-copies, secrets, source mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but
+the last return the columns of documents; the last returns doc_id with the
+document's tokens and digests of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundloom.llm import quality, secrets
-from groundloom.llm.common import cut, load
+from groundloom.llm import bpe, mixing, quality, secrets, simhash
+from groundloom.llm.common import kept, load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that fail the rules, or that boilerplate lines leave depleted, go."""
     return quality.keep_good(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document with the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked in the text; every document stays."""
     return secrets.redact_secrets(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it, so a source has about its target of words."""
+    return mixing.take(docs)
+
+
+def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, and the digests of ids and of the text decoded from them; one row for each row of docs."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    return coded.select("doc_id", "ids", *bpe.digests())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-copies", near_copies),
+    ("secret scans", secret_scans),
+    ("source mix", source_mix),
+    ("byte pairs", byte_pairs),
+]
 
-#: Random rounding and byte-pair encoding have no SQL form.
+#: Random rounding and byte-pair encoding have no SQL form; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept(docs, f"stage{k}")
     return docs

@@ -20,14 +20,15 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE, PIECE = 600_000, 4096
+CACHE, PIECE, ROWS = 300_000, 4096, 512
 
 
 def default_vocabulary() -> str:
@@ -64,6 +65,12 @@ def letter_classes(top: int) -> tuple[str, str, str]:
     )
 
 
+def token_bytes(data: dict) -> dict[int, bytes]:
+    letters = byte_letters()
+    table = {i: bytes(map(letters.__getitem__, t)) for t, i in data["model"]["vocab"].items()}
+    return table | {t["id"]: t["content"].encode() for t in data["added_tokens"]}
+
+
 def pieces(top: int) -> re.Pattern:
     letter, number, space = letter_classes(top)
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
@@ -82,12 +89,12 @@ class Vocabulary:
     def __init__(self, source: str):
         data = json.loads(source)
         letters = byte_letters()
-        raw = lambda token: bytes(letters[c] for c in token)
+        raw = lambda token: bytes(map(letters.__getitem__, token))
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
         self.ids = {raw(t): i for t, i in data["model"]["vocab"].items()}
         self.ranks = {(raw(a), raw(b)): n for n, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes = token_bytes(data)
         self.lookahead = max(map(len, self.ids))
         # Small classes are tested by table, so texts of the first 256 or 65536 characters have patterns of their own.
         self.patterns = [pieces(top) for top in (0xFF, 0xFFFF, sys.maxunicode)]
@@ -119,48 +126,52 @@ def last_merge(token: bytes, ranks: dict) -> tuple[int, bytes, bytes] | None:
 
 
 class Encoder:
-    """feed() takes bytes and gives the tokens that are stable; close() gives the rest."""
+    """feed() takes bytes and gives the ids that are stable; close() gives the rest.
+
+    Inside, a token is its place in the list of tokens that encode to themselves.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.ids, self.ranks, self.most = vocabulary.ids, vocabulary.ranks, vocabulary.lookahead
-        self.never = len(self.ranks)
+        self.most, self.never = vocabulary.lookahead, len(vocabulary.ranks)
+        made = {t: last_merge(t, vocabulary.ranks) for t in sorted(vocabulary.ids, key=len)}
+        tokens = [t for t, m in made.items() if m or len(t) == 1]
+        self.place = {t: i for i, t in enumerate(tokens)}
+        self.ids = [vocabulary.ids[t] for t in tokens]
+        self.sizes_of = [len(t) for t in tokens]
+        self.ranks = {self.place[a] << 20 | self.place[b]: r for (a, b), r in vocabulary.ranks.items() if a in self.place and b in self.place}
         # What stands at a token's right and left edge from its single byte up, each with the rank that takes it in.
-        self.right: dict[bytes, list] = {}
-        self.left: dict[bytes, list] = {}
-        self.whole: set[bytes] = set()
-        for token in sorted(self.ids, key=len):
-            if len(token) == 1:
-                self.right[token] = self.left[token] = [(token, self.never)]
-            elif made := last_merge(token, self.ranks):
-                rank, a, b = made
-                self.right[token] = [*self.right[b][:-1], (b, rank), (token, self.never)]
-                self.left[token] = [*self.left[a][:-1], (a, rank), (token, self.never)]
+        self.right: list[tuple] = []
+        self.left: list[tuple] = []
+        for i, t in enumerate(tokens):
+            if m := made[t]:
+                a, b = self.place[m[1]], self.place[m[2]]
+                self.right.append((*self.right[b][:-1], (b, m[0]), (i, self.never)))
+                self.left.append((*self.left[a][:-1], (a, m[0]), (i, self.never)))
             else:
-                continue
-            self.whole.add(token)
+                self.right.append(((i, self.never),))
+                self.left.append(((i, self.never),))
         sizes: dict[bytes, set[int]] = {}
-        for token in self.whole:
-            sizes.setdefault(token[-2:], set()).add(len(token))
-        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+        for t in tokens:
+            sizes.setdefault(t[-2:], {1}).add(len(t))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
+        self.known: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.text, self.heads, self.before = b"", [], b""  # from the last emitted token on
+        self.text, self.heads, self.before = b"", [], -1  # from the last emitted token on
 
-    def goes(self, left: bytes, right: bytes) -> bool:
+    def goes(self, left: int, right: int) -> bool:
         """True if no merge joins the two before both are whole.
 
         Of the edges, the one with the lower rank is taken in first; with equal
         ranks, which only a run of one token gives, the leftmost merge is first.
         """
-        if not left:
-            return True
         ranks, never = self.ranks, self.never
         xs, ys = self.right[left], self.left[right]
         i = j = 0
         while True:
             (x, p), (y, q) = xs[i], ys[j]
-            joins = ranks.get((x, y), never)
+            joins = ranks.get(x << 20 | y, never)
             if joins < p and joins <= q and joins != never:
                 return False
             if p == q == never:
@@ -170,30 +181,37 @@ class Encoder:
             else:
                 j += 1
 
-    def feed(self, more: bytes) -> list[bytes]:
+    def feed(self, more: bytes) -> list[int]:
         at, self.text = len(self.text), self.text + more
-        text, heads, whole, sizes = self.text, self.heads, self.whole, self.sizes
+        text, heads, place, sizes, known = self.text, self.heads, self.place, self.sizes, self.known
         for stop in range(at + 1, len(text) + 1):
-            one = text[stop - 1 : stop]
-            for n in (*sizes.get(text[stop - 2 : stop], ()), 1) if stop > 1 else (1,):
-                if n > stop:
-                    continue
+            for n in sizes.get(text[max(0, stop - 2) : stop], (1,)):
                 begin = stop - n
-                token = text[begin:stop] if n > 1 else one
-                if token in whole and self.goes(heads[begin - 1] if begin else self.before, token):
-                    heads.append(token)
-                    break
+                if begin < 0 or (token := place.get(text[begin:stop])) is None:
+                    continue
+                left = heads[begin - 1] if begin else self.before
+                if left >= 0:
+                    pair = left << 20 | token
+                    good = known.get(pair)
+                    if good is None:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        good = known[pair] = self.goes(left, token)
+                    if not good:
+                        continue
+                heads.append(token)
+                break
         return self._stable()
 
     def _chain(self, stop: int) -> list[int]:
         """Where the tokens before stop begin and end, last first."""
         out = [stop]
         while stop > 0:
-            stop -= len(self.heads[stop - 1])
+            stop -= self.sizes_of[self.heads[stop - 1]]
             out.append(stop)
         return out
 
-    def _stable(self) -> list[bytes]:
+    def _stable(self) -> list[int]:
         n = len(self.text)
         if n <= self.most:
             return []
@@ -202,15 +220,18 @@ class Encoder:
             shared &= set(self._chain(stop))
         return self._emit(max(shared))
 
-    def _emit(self, stop: int) -> list[bytes]:
-        ends = self._chain(stop)[::-1]
-        out = [self.text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        if out:
-            self.before = out[-1]
+    def _emit(self, stop: int) -> list[int]:
+        out = []
+        if stop:
+            self.before, at = self.heads[stop - 1], stop
+            while at > 0:
+                token = self.heads[at - 1]
+                out.append(self.ids[token])
+                at -= self.sizes_of[token]
             self.text, self.heads = self.text[stop:], self.heads[stop:]
-        return out
+        return out[::-1]
 
-    def close(self) -> list[bytes]:
+    def close(self) -> list[int]:
         out = self._emit(len(self.text))
         self.reset()
         return out
@@ -221,22 +242,36 @@ class Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.encoder, self.ids = Encoder(vocabulary), vocabulary.ids
+        self.encoder = Encoder(vocabulary)
 
     def __missing__(self, piece: str) -> bytes:
-        text = piece.encode()
-        tokens: list[bytes] = []
-        for i in range(0, len(text), PIECE):
-            tokens += self.encoder.feed(text[i : i + PIECE])
-        tokens += self.encoder.close()
-        out = np.array([self.ids[t] for t in tokens], dtype="<i4").tobytes()
-        if len(piece) <= 64:
+        text, encoder = piece.encode(), self.encoder
+        if (token := encoder.place.get(text)) is not None:  # it encodes to itself
+            ids = [encoder.ids[token]]
+        else:
+            ids = []
+            for i in range(0, len(text), PIECE):
+                ids += encoder.feed(text[i : i + PIECE])
+            ids += encoder.close()
+        out = array("i", ids).tobytes()
+        if len(text) <= 64:
             if len(self) >= CACHE:
                 self.clear()
             self[piece] = out
         return out
 
 
+#: What a Python worker keeps from task to task: encoders and decoding tables by vocabulary file.
+_HELD: dict = {}
+
+
+def _held(what: str, source: str, make):
+    key = (what, hash(source), len(source))
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def encode_text(text: str, vocabulary: Vocabulary, pieces: Pieces) -> bytes:
     """Ids as bytes of int32."""
     find = vocabulary.split
@@ -266,6 +301,13 @@ def _vocabulary(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a worker holds of long texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with a column ids, array<int>, in place of text.
 
@@ -280,9 +322,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = docs.select(*(f"`{c}`" for c in rest)).withColumn("ids", F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(source.value)
-        pieces = Pieces(vocabulary)
-        for batch in batches:
+        vocabulary, pieces = _held("encoder", source.value, lambda: ((v := Vocabulary(source.value)), Pieces(v)))
+        for batch in slices(batches):
             each = [encode_text(t or "", vocabulary, pieces) for t in batch.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype("int32")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
@@ -298,8 +339,8 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     schema = rows.select(*(f"`{c}`" for c in rest)).withColumn("text", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Vocabulary(source.value).bytes
-        for batch in batches:
+        table = _held("bytes", source.value, lambda: token_bytes(json.loads(source.value)))
+        for batch in slices(batches):
             ids = batch.column("ids")
             texts = [decode_ids(ids[i].values.to_numpy(zero_copy_only=False).tolist() if ids[i].is_valid else [], table) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
@@ -307,5 +348,11 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select(*(f"`{c}`" for c in rest)).mapInArrow(run, schema)
 
 
+def digests() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of rows with ids and the text decoded from them."""
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")]
+
+
 def digest(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", *digests())
