@@ -72,7 +72,8 @@ def context_words(docs: DataFrame, reach: int) -> DataFrame:
     near = F.concat(shift(last, F.col("at")), shift(F.slice("r", 1, reach), F.col("e"))).cast(f"array<{SPAN}>")
     each = each.select("doc_id", "mark", "entity", near.alias("near"))
     context = F.array_join(F.transform("near", lambda s: F.lower(s["hit"])), " ")
-    each = each.select("doc_id", "mark", "entity", F.xxhash64(context).alias("context"), F.explode("near").alias("s"))
+    each = each.select("doc_id", "mark", "entity", F.xxhash64(context).alias("context"), "near")
+    each = each.select("doc_id", "mark", "entity", "context", F.explode("near").alias("s"))
     plain = F.lower("s.hit")
     each = each.select("doc_id", "mark", "entity", "context", plain.alias("term"), F.col("s.begin").alias("begin"), F.col("s.stop").alias("stop"))
     return each.where((F.length("term") >= MIN_LETTERS) & ~F.col("term").rlike("[0-9@]"))
@@ -84,7 +85,8 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int, threshold: float)
     with_entity = near.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = with_both.select("term").distinct()
     vocabulary = docs.select(F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))
-    with_term = vocabulary.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Sums come first: a frequent word is then one row of the join.
+    with_term = vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term", "left_semi")
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     counts = with_both.join(with_entity, "entity").join(with_term, "term").crossJoin(F.broadcast(total))  # one row
     surprisal = F.log2(F.col("n") / F.col("n_entity"))
