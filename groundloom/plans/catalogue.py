@@ -2,5 +2,592 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundloom.functions import binning as B
+from groundloom.functions import dates as D
+from groundloom.functions import names as N
+from groundloom.functions import projection as P
+from groundloom.operators import links as L
+from groundloom.operators import metrics as M
+from groundloom.operators import mosaic, observations, overlap, raster, release, sampling, spatial, stats, weighted
+from groundloom.plans import views as V
+from groundloom.streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with the SQL that must agree with it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+# Weighted aggregation -------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.TILES} select unit, round(sum(case when our_pct is not null then our_pct * land_area_km2 end) / nullif(sum(case when our_pct is not null then land_area_km2 end), 0), 6) as our_pct, round(sum(case when prod_a is not null then prod_a * land_area_km2 end) / nullif(sum(case when prod_a is not null then land_area_km2 end), 0), 6) as prod_a from tiles where our_pct is not null group by unit")
+def weighted_mean_by_unit(spark, d):
+    return rounded(weighted.aggregate_by_unit(V.tiles(spark, d), ["our_pct", "prod_a"], "unit", "land_area_km2", "our_pct").select("unit", "our_pct", "prod_a"))
+
+
+@query(f"with {V.TILES} select unit, round(sum(land_area_km2 * our_pct / 100), 6) as our_pct_km2, round(sum(case when our_pct is not null then land_area_km2 end), 6) as our_pct_ref_km2, round(sum(land_area_km2 * prod_a / 100), 6) as prod_a_km2, round(sum(case when prod_a is not null then land_area_km2 end), 6) as prod_a_ref_km2 from tiles where our_pct is not null group by unit")
+def unit_areas_and_reference(spark, d):
+    return rounded(weighted.aggregate_by_unit(V.tiles(spark, d), ["our_pct", "prod_a"], "unit", "land_area_km2", "our_pct").drop("our_pct", "prod_a"))
+
+
+@query(f"""with {V.TILES}, u as (select unit, sum(land_area_km2 * our_pct / 100) as a, sum(land_area_km2) as ra, sum(land_area_km2 * prod_a / 100) as b,
+  sum(case when prod_a is not null then land_area_km2 end) as rb, count(prod_a) as nb from tiles where our_pct is not null group by unit),
+ t as (select 100 * sum(a) / sum(ra) as c0, 100 * sum(b) / sum(rb) as c1, sum(a) as a0, sum(b) as a1, count(*) as n0, count(*) filter (nb > 0) as n1 from u)
+ select product, round(c, 6) as cover_pct, round(a, 6) as area_km2, n as units_with_data, round(c - c0, 6) as diff_pp, round(100 * (c - c0) / c0, 6) as diff_pct, round(a - a0, 6) as diff_km2
+ from (select 'our_pct' as product, c0 as c, a0 as a, n0 as n, c0, a0 from t union all select 'prod_a', c1, a1, n1, c0, a0 from t)""")
+def national_difference_table(spark, d):
+    per_unit = weighted.aggregate_by_unit(V.tiles(spark, d), ["our_pct", "prod_a"], "unit", "land_area_km2", "our_pct")
+    return rounded(weighted.difference_table(per_unit, ["our_pct", "prod_a"]))
+
+
+@query(f"with {V.TILES} select round(sum(land_area_km2 * our_pct / 100), 4) as our_pct_km2, round(sum(case when our_pct is not null then land_area_km2 * prod_a / 100 end), 4) as prod_a_km2 from tiles")
+def totals_ours_valid(spark, d):
+    return rounded(weighted.totals_km2(V.tiles(spark, d), "our_pct", ["our_pct", "prod_a"], "land_area_km2"), 4)
+
+
+GRID = """b as (select min(lon_c) as e0, min(lat_c) as f0 from tiles),
+ g as (select *, ceil((lat_c - f0) / 0.012::double)::bigint - 1 as gi, ceil((lon_c - e0) / 0.02::double)::bigint - 1 as gj from tiles, b),
+ bins as (select *, case when lat_c > f0 then case when lat_c <= f0 + gi * 0.012::double then gi - 1 when lat_c > f0 + (gi + 1) * 0.012::double then gi + 1 else gi end end as lat_bin,
+  case when lon_c > e0 then case when lon_c <= e0 + gj * 0.02::double then gj - 1 when lon_c > e0 + (gj + 1) * 0.02::double then gj + 1 else gj end end as lon_bin from g)"""
+
+
+@query(f"with {V.TILES}, {GRID} select lat_bin, lon_bin, count(*) as n from bins group by all")
+def grid_bins_right_closed(spark, d):
+    t = V.tiles(spark, d)
+    bounds = t.agg(F.min("lon_c").alias("e0"), F.min("lat_c").alias("f0"))
+    t = t.crossJoin(F.broadcast(bounds))  # one row
+    return t.groupBy(B.grid_bin(F.col("lat_c"), F.col("f0"), 0.012).alias("lat_bin"), B.grid_bin(F.col("lon_c"), F.col("e0"), 0.02).alias("lon_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {V.TILES}, {GRID} select lat_bin, lon_bin, round(f0 + lat_bin * 0.012::double + 0.006::double, 6) as centre_lat, round(e0 + lon_bin * 0.02::double + 0.01::double, 6) as centre_lon, round(our_pct, 6) as our_pct, round(prod_a, 6) as prod_a from
+ (select lat_bin, lon_bin, f0, e0, sum(case when our_pct is not null then our_pct * land_area_km2 end) / nullif(sum(case when our_pct is not null then land_area_km2 end), 0) as our_pct, sum(case when prod_a is not null then prod_a * land_area_km2 end) / nullif(sum(case when prod_a is not null then land_area_km2 end), 0) as prod_a
+  from bins where lat_bin is not null and lon_bin is not null group by all) where our_pct is not null or prod_a is not null""")
+def grid_aggregate(spark, d):
+    return rounded(weighted.aggregate_to_grid(V.tiles(spark, d), ["our_pct", "prod_a", "absent"], 0.02, 0.012, "land_area_km2"))
+
+
+@query(f"with {V.TILES}, {GRID}, n as (select lat_bin // 10 as row, lon_bin // 10 as col, unit, count(*) as k from bins where lat_bin is not null and lon_bin is not null group by all) select row, col, unit as mode from (select *, row_number() over (partition by row, col order by k desc, unit) as i from n) where i = 1")
+def grid_mode(spark, d):
+    t = V.tiles(spark, d)
+    bounds = t.agg(F.min("lon_c").alias("e0"), F.min("lat_c").alias("f0"))
+    t = t.crossJoin(F.broadcast(bounds))  # one row
+    at = lambda c, start, step: F.floor(B.grid_bin(F.col(c), F.col(start), step) / 10)
+    return t.select(at("lat_c", "f0", 0.012).alias("row"), at("lon_c", "e0", 0.02).alias("col"), "unit").where("row is not null and col is not null").groupBy("row", "col").agg(F.mode("unit", True).alias("mode"))
+
+
+@query("""select coalesce(l_returnflag, 'all') as state, count(*) as n_tiles, round(sum(l_quantity) / 100, 6) as land_km2, round(sum(l_quantity * l_discount) / 100, 6) as tree_km2, round(coalesce(100 * sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 0), 6) as tree_pct from lineitem group by rollup (l_returnflag)""")
+def state_summary_rollup(spark, d):
+    rows = V.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("state"), F.col("l_quantity").alias("land_area_ha"), (F.col("l_quantity") * F.col("l_discount")).alias("tree_area_ha"))
+    return rounded(weighted.state_summary(rows).withColumn("state", F.coalesce("state", F.lit("all"))))
+
+
+@query("""select p_partkey as id, p_brand, case when p_size % 3 = 0 and f is not null then coalesce(f, o) else o end as ours, case when p_size % 3 = 0 and f is not null then coalesce(g, a) else a end as prod_a
+ from (select *, case when p_size % 3 <> 0 then p_retailprice end as o, case when p_size % 2 = 0 then p_size::double end as a, case when p_partkey % 5 <> 0 then p_retailprice + 1 end as f, case when p_partkey % 4 <> 0 then p_size + 0.5::double end as g from part)""")
+def gap_completion(spark, d):
+    p = V.table(spark, d, "part")
+    old = p.select(F.col("p_partkey").alias("id"), "p_brand", F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice")).alias("ours"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).alias("prod_a"))
+    fresh = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice") + 1).alias("ours"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") + 0.5).alias("prod_a"))
+    return weighted.gap_completion(old, fresh, "id", "ours", ["prod_a"])
+
+
+@query(f"with {V.TILES}, r as (select unit, sum(land_area_km2) as km2 from tiles where our_pct is not null and unit % 3 <> 0 group by unit) select n_nationkey as unit, n_name, round(km2, 6) as km2 from nation left join r on n_nationkey = unit")
+def units_without_tiles_stay_null(spark, d):
+    t = V.tiles(spark, d).where("our_pct is not null and unit % 3 <> 0").groupBy("unit").agg(F.sum("land_area_km2").alias("km2"))
+    units = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"), "n_name")
+    return rounded(weighted.with_units(units, t, "unit"))
+
+
+# Overlap --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.CANDIDATES} select cell, date, state, name, pos, n - 1 as n_rejected from (select *, count(*) over (partition by cell) as n, row_number() over (partition by cell order by date desc, state desc, name desc, pos desc) as i from candidates) where i = 1")
+def newest_per_cell(spark, d):
+    return overlap.newest_per_cell(V.candidates(spark, d).drop("area"), ["cell"])
+
+
+@query(f"with {V.CANDIDATES}, w as (select cell, date, state, name, row_number() over (partition by cell order by date desc, state desc, name desc) as i from candidates) select c.cell, w.date as winner_date, w.state as winner_state, w.name as winner_name, c.date as rejected_date, c.state as rejected_state, c.name as rejected_name from candidates c join w on c.cell = w.cell and i = 1 where (c.date, c.state, c.name) is distinct from (w.date, w.state, w.name)")
+def overlap_report(spark, d):
+    return overlap.overlap_report(V.candidates(spark, d).drop("area", "pos"), ["cell"])
+
+
+@query(f"with {V.CANDIDATES}, w as (select cell, max((date, state, name)) as w from candidates group by cell) select state as rejected_state, count(*) as n_lost from candidates join w using (cell) where (date, state, name) <> w group by state")
+def contest_losers_by_state(spark, d):
+    return overlap.contest_report(V.candidates(spark, d).drop("area", "pos"), ["cell"])
+
+
+@query(f"with {V.CANDIDATES}, c as (select case when pos % 4 <> 0 then cell end as cell, date, state, name, pos from candidates) select cell, date, state, name, pos, n - 1 as n_rejected from (select *, count(*) over (partition by cell) as n, row_number() over (partition by cell order by date desc, state desc, name desc, pos desc) as i from c where cell is not null) where i = 1 union all select cell, date, state, name, pos, 0 from c where cell is null")
+def unkeyed_pass_through(spark, d):
+    c = V.candidates(spark, d).drop("area").withColumn("cell", F.when(F.col("pos") % 4 != 0, F.col("cell")))
+    return overlap.newest_per_cell(c, ["cell"])
+
+
+@query(f"with {V.CANDIDATES}, m as (select cell, max(case when date::int between 20000000 and 20301231 then date::int else 0 end) as date from candidates group by cell) select date, count(*) as n_cells, count(*)::double as area_km2 from m group by date")
+def coverage_area_by_date(spark, d):
+    c = V.candidates(spark, d).withColumn("date", D.coverage_date(F.col("date")))
+    return overlap.coverage_by_date(c, ["cell"])
+
+
+@query("""with old as (select o_custkey as cell, count(*) as n, max(o_totalprice) as top from orders where o_orderkey % 2 = 0 group by 1), fresh as (select o_custkey as cell, count(*) as n, max(o_totalprice) as top from orders where o_orderkey % 5 = 0 group by 1)
+ select cell, n, top, 0 as skipped from old where cell not in (select cell from fresh) union all select cell, n, top, 1 from fresh""")
+def cell_table_upsert(spark, d):
+    o = V.table(spark, d, "orders")
+    build = lambda k: o.where(F.col("o_orderkey") % k == 0).groupBy(F.col("o_custkey").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
+    return overlap.upsert(build(2), build(5).withColumn("skipped", F.lit(1)), "cell", {"skipped": 0})
+
+
+@query("""with w as (select o_custkey as cell, count(*) as n from orders group by 1), r as (select o_custkey as cell, count(*) as n from orders where o_orderstatus <> 'P' group by 1) select w.cell, w.n from w left join r using (cell) where w.n is distinct from r.n""")
+def cells_to_rebuild(spark, d):
+    o = V.table(spark, d, "orders").withColumnRenamed("o_custkey", "cell")
+    count = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return overlap.to_rebuild(count(o), count(o.where("o_orderstatus <> 'P'")), "cell", "n")
+
+
+@query("select l_partkey, l_orderkey, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice, l_quantity) as i from lineitem) where i = 1")
+def dedupe_first_wins(spark, d):
+    order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+    rows = V.table(spark, d, "lineitem").select("l_partkey", *order)
+    return overlap.first_of_each(rows, ["l_partkey"], order).select("l_partkey", "l_orderkey", "l_quantity", "l_extendedprice")
+
+
+@query("""with f as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as i from orders) select c_custkey, c_name, o_orderkey, o_totalprice from customer left join f on c_custkey = o_custkey and i = 1""")
+def lookup_first_wins(spark, d):
+    orders = V.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return overlap.lookup_first(V.table(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderkey"])
+
+
+@query("""with d as (select distinct o_custkey as k from orders where o_orderkey % 3 = 0), r as (select distinct o_custkey as k from orders where o_orderkey % 4 = 0), e as (select distinct o_custkey as k from orders where o_orderstatus = 'F')
+ select (select count(*) from d where k in (from r)) as n_both, (select count(*) from d where k not in (from r)) as n_drawn_only, (select count(*) from r where k not in (from d)) as n_reference_only, (select count(*) from r where k not in (from e)) as n_reference_ineligible""")
+def sample_overlap_counts(spark, d):
+    o = V.table(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    return overlap.set_overlap(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 4 = 0"), o.where("o_orderstatus = 'F'"), "k")
+
+
+# Names and cells ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {V.CANDIDATES} select pos, 33 as zone, substr(name, 6, 3)::int as easting_km, substr(name, 10, 4)::int as northing_km, date as tile_date, date <> '00000000' and not date like '%0000' as is_dated,
+ case when date = '00000000' then null else date end as own_date, upper(substr(name, 15, 1) || 'x') as state, replace(name, '_pred.tif', '') as stem from candidates""")
+def parse_cell_and_date(spark, d):
+    c = V.candidates(spark, d)
+    date = N.tile_date(F.col("name"))
+    out = c.select("pos", N.cell_key(F.col("name")).alias("k"), date.alias("tile_date"), N.is_dated(date).alias("is_dated"), N.date_from_name(F.col("name")).alias("own_date"), N.state_from_stem(F.col("name")).alias("state"), N.tile_stem(F.col("name")).alias("stem"))
+    return out.select("pos", "k.zone", "k.easting_km", "k.northing_km", "tile_date", "is_dated", "own_date", "state", "stem")
+
+
+@query("""select o_orderkey as id, 'UTM' || (32 + o_custkey % 2) || '_E' || (o_custkey % 900 // 10 * 100) || '_N' || ((5000 + o_orderkey % 900) // 10 * 100) as cell, (25832 + o_custkey % 2)::int as epsg, (o_custkey % 900 // 10 * 100 * 100)::double as x, ((5000 + o_orderkey % 900) // 10 * 100 * 100)::double as y from orders""")
+def cell_id_10km(spark, d):
+    o = V.table(spark, d, "orders")
+    cell = N.cell_id(32 + F.col("o_custkey") % 2, F.col("o_custkey") % 900, 5000 + F.col("o_orderkey") % 900)
+    return o.select(F.col("o_orderkey").alias("id"), cell.alias("cell")).withColumn("p", N.parse_cell_id(F.col("cell"))).select("id", "cell", "p.*")
+
+
+@query("""with t as (select o_orderkey as id, (o_custkey % 60 - 5) * 1000.0::double + (o_orderkey % 7) * 0.1::double as l, (o_orderkey % 12) * 1000.0::double - 300 as t from orders),
+ o as (select id, round_even(l / 0.2::double, 0)::int as c, round_even((10000.0::double - t) / 0.2::double, 0)::int as r from t),
+ z as (select *, greatest(c, 0) as c0, greatest(r, 0) as r0 from o),
+ w as (select *, least(c + 5000, 50000) - c0 as w, least(r + 5000, 50000) - r0 as whole, least(r + 5000, 50000, (r0 // 5000 + 1) * 5000) - r0 as h from z)
+ select id, c0 as col_off, r0 as row_off, c0 - c as src_col, r0 - r as src_row, w as width, h as height, r0 // 5000 as stripe, whole - h as trimmed from w where w > 0 and h > 0""")
+def placement_arithmetic(spark, d):
+    o = V.table(spark, d, "orders")
+    left = (F.col("o_custkey") % 60 - 5) * F.lit(1000.0) + (F.col("o_orderkey") % 7) * F.lit(0.1)
+    top = (F.col("o_orderkey") % 12) * F.lit(1000.0) - 300
+    p = mosaic.placement(left, top, F.lit(5000), F.lit(5000), F.lit(0.0), F.lit(0.0))
+    return o.select(F.col("o_orderkey").alias("id"), p.alias("p")).where("p is not null").select("id", "p.*")
+
+
+@query(f"""with {V.CANDIDATES} select cell % 50 as cell, count(*) as n_tiles, round(sum(area / 1e6::double), 10) as covered_km2, round(sum(area * 0.25::double / 1e6::double), 10) as tree_km2, string_agg(distinct state, ',' order by state) as states, min(date) as first_date, max(date) as last_date, round(coalesce(100 * sum(area * 0.25::double) / nullif(sum(area), 0), 0), 10) as tree_pct from candidates group by cell % 50""")
+def cell_statistics(spark, d):
+    c = V.candidates(spark, d).select((F.col("cell") % 50).alias("cell"), "state", "date", (F.col("area") / 1e6).alias("covered_km2"), (F.col("area") * 0.25 / 1e6).alias("tree_km2"))
+    return rounded(mosaic.cell_statistics(c, "cell"), 10)
+
+
+@query("select doc_id, length(text) as length, sha256(text) as sha256 from documents")
+def manifest_checksums(spark, d):
+    files = V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.length("text").cast("long").alias("length"), F.col("text").alias("content"))
+    return release.manifest(files).select(F.col("path").cast("long").alias("doc_id"), "length", "sha256")
+
+
+@query("""with i(item, pattern) as (values ('small', '^small'), ('tall', '^tall'), ('no such thing', '^nosuch')) select item, count(p_name) as n_files, coalesce(sum(p_size), 0)::bigint as size, coalesce(sum(p_size), 0) > 0 as is_present from i left join part on regexp_matches(p_name, pattern) group by item""")
+def release_inventory(spark, d):
+    items = spark.createDataFrame([("small", "^small"), ("tall", "^tall"), ("no such thing", "^nosuch")], "item string, pattern string")
+    return release.inventory(items, V.table(spark, d, "part").select(F.col("p_name").alias("path"), F.col("p_size").cast("long").alias("length")))
+
+
+# Acquisitions ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.ACQUISITIONS} select tile, count(*) as image_count, bool_or(month(date) in (6, 7, 8)) as has_summer, not bool_and(month(date) in (6, 7, 8)) as has_other, count(distinct date) as n_dates, min(date)::varchar as first_date, max(date)::varchar as last_date from acq group by tile")
+def tile_collapse(spark, d):
+    t = observations.collapse_tiles(V.acquisitions(spark, d), "tile", "date")
+    first, last = F.element_at("flight_dates", 1), F.element_at("flight_dates", -1)
+    return t.select("tile", "image_count", "has_summer", "has_other", F.size("flight_dates").cast("long").alias("n_dates"), first.cast("string").alias("first_date"), last.cast("string").alias("last_date"))
+
+
+@query(f"""with {V.ACQUISITIONS}, s as (select tile, min(date) filter (month(date) in (6, 7, 8)) as first from acq group by tile),
+ k as (select tile, first, bool_or(month(date) not in (6, 7, 8) and date < first) as b, bool_or(month(date) not in (6, 7, 8) and date > first) as a, string_agg(distinct month(date), ',' order by month(date)) as months from acq join s using (tile) group by tile, first)
+ select tile, case when first is null then null when b and a then 'both' when b then 'before' when a then 'after' else 'none' end as pattern, months from k""")
+def seasonal_pattern(spark, d):
+    t = V.acquisitions(spark, d).groupBy("tile").agg(F.collect_set("date").alias("dates"))
+    months = F.array_join(D.months_of(F.col("dates")).cast("array<string>"), ",")
+    return t.select("tile", D.seasonal_pattern(F.col("dates")).alias("pattern"), months.alias("months"))
+
+
+@query(f"""with {V.ACQUISITIONS}, n as (select *, row_number() over (partition by tile order by date, path) as position from acq),
+ s as (select *, coalesce(max(case when month(date) in (6, 7, 8) then position end) over (partition by tile), max(position) over (partition by tile)) as source_position from n)
+ select tile, date::varchar as date, path, position::int as position, source_position::int as source_position from s where abs(position - source_position) <= 1""")
+def label_source_observations(spark, d):
+    return observations.label_source(V.acquisitions(spark, d), "tile", "date", "path", 1).withColumn("date", F.col("date").cast("string"))
+
+
+SEASON = "case when month(date) between 5 and 9 then 'leaf_on' when month(date) in (4, 10) then 'transition' else 'leaf_off' end"
+
+
+@query(f"with {V.ACQUISITIONS}, n as (select {SEASON} as season, count(*) as n from acq group by 1) select season, n, round((select sum(n) from n) / ((select count(*) from n) * n), 8) as weight from n")
+def season_weights(spark, d):
+    a = V.acquisitions(spark, d).withColumn("season", D.phenological_season(F.month("date")))
+    return rounded(observations.season_weights(a, "season"), 8)
+
+
+@query(f"""with {V.ACQUISITIONS}, u as (select distinct tile, date from acq), n as (select *, {SEASON} as season, row_number() over (partition by tile order by date) as i from u),
+ p as (select *, coalesce(max(case when month(date) in (6, 7, 8) then i end) over (partition by tile), max(i) over (partition by tile)) as s from n),
+ r as (select *, case season when 'leaf_off' then 0 when 'transition' then 1 else 2 end as k from p), src as (select tile, date as source_date, k as sk from r where i = s),
+ c as (select r.tile, abs(k - sk) as contrast, date::varchar as partner_date, row_number() over (partition by r.tile order by abs(k - sk) desc, date desc) as j from r join src using (tile) where i <> s)
+ select src.tile, source_date::varchar as source_date, contrast::int as contrast, partner_date from src left join c on c.tile = src.tile and j = 1""")
+def seasonal_pairs(spark, d):
+    a = V.acquisitions(spark, d).select("tile", "date").distinct().withColumn("season", D.phenological_season(F.month("date")))
+    return observations.partners(a, "tile", "date", "season").withColumn("source_date", F.col("source_date").cast("string"))
+
+
+@query(f"with {V.ACQUISITIONS} select path, round((sin(2 * pi() * dayofyear(date) / dayofyear(make_date(year(date), 12, 31))) + 1) / 2, 8) as sin, round((cos(2 * pi() * dayofyear(date) / dayofyear(make_date(year(date), 12, 31))) + 1) / 2, 8) as cos from acq")
+def date_encoding(spark, d):
+    return rounded(V.acquisitions(spark, d).select("path", D.date_encoding(F.col("date")).alias("e")).select("path", "e.*"), 8)
+
+
+@query("""with a as (select o_orderkey as id, o_orderdate::date as d, o_orderkey % 6 as k from orders),
+ t as (select id, d, k, case k when 0 then strftime(d, '%Y%m%d') when 1 then strftime(d, '%Y-%m-%d') when 2 then strftime(d, '%d.%m.%Y') when 3 then strftime(d, '%Y/%m/%d') when 4 then 'Summer ' || year(d) else 'unknown' end as text from a)
+ select id, case when k < 4 then d::varchar when k = 4 then year(d) || '-07-15' end as date, (case when k in (0, 1, 3) then month(d) end)::int as month from t""")
+def parsed_dates(spark, d):
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"))
+    spelled = F.lit("unknown")
+    for k, f in enumerate(D.FORMATS):
+        spelled = F.when(F.col("id") % 6 == k, F.date_format("d", f)).otherwise(spelled)
+    text = F.when(F.col("id") % 6 == 4, F.concat(F.lit("Summer "), F.year("d").cast("string"))).otherwise(spelled)
+    return o.withColumn("t", text).select("id", D.parse_date(F.col("t")).cast("string").alias("date"), D.month_of(F.when(F.col("id") % 6 != 4, F.when(F.col("id") % 6 != 2, F.col("t")))).alias("month"))
+
+
+@query("""with t as (select distinct 320000000 + (l_partkey % 60) * 10000 + 5000 + l_suppkey % 60 as k from lineitem), ids as (select k::varchar as tile_id, (k // 10000) % 1000 as e, k % 10000 as n from t)
+ select a.tile_id, count(b.tile_id) < 8 as is_border from ids a left join ids b on abs(a.e - b.e) <= 1 and abs(a.n - b.n) <= 1 and a.tile_id <> b.tile_id group by a.tile_id""")
+def border_tiles(spark, d):
+    k = F.lit(320000000) + (F.col("l_partkey") % 60) * 10000 + 5000 + F.col("l_suppkey") % 60
+    return observations.border_tiles(V.table(spark, d, "lineitem").select(k.cast("string").alias("tile_id")), "tile_id")
+
+
+@query("""with r as (select doc_id as id, n_chars // 10 as height, n_chars // 20 as width from documents), h as (select id, width, unnest(range(0, (height - 64) // 32 + 1)) as r from r where height >= 64 and width >= 64)
+ select id, (r * 32)::int as row_off, (c * 32)::int as col_off from (select id, r, unnest(range(0, (width - 64) // 32 + 1)) as c from h)""")
+def patch_windows(spark, d):
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 10).alias("height"), F.floor(F.col("n_chars") / 20).alias("width"))
+    return observations.patch_windows(docs, "id", 64, 32)
+
+
+@query("""with r as (select doc_id as id, n_chars as n from documents where n_chars > 0), s as (select distinct id, n, least(s, n - 512) as start from (select id, n, unnest(case when n <= 512 then [0] else range(0, n - 512 + 384, 384) end) as s from r where n > 512) union all select id, n, 0 from r where n <= 512),
+ o as (select *, lead(start) over w is null as last from s window w as (partition by id order by start)), e as (select *, case when last then n else least(n, start + 64 + 384) end as stop from o)
+ select id, start::int as start, coalesce(lag(stop) over (partition by id order by start), 0)::int as inner_start, stop::int as inner_stop from e""")
+def inner_span_partition(spark, d):
+    docs = V.table(spark, d, "documents").where("n_chars > 0").select(F.col("doc_id").alias("id"), "n_chars")
+    return observations.axis_plan(docs, "id", "n_chars", 512, 384)
+
+
+@query("""select p_brand, p_partkey, role from (select p_brand, p_partkey, case when i = n then 'best' when i = 1 then 'worst' when i = n // 2 + 1 then 'median' end as role from (select *, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as i, count(*) over (partition by p_brand) as n from part)) where role is not null""")
+def best_median_worst(spark, d):
+    return observations.best_median_worst(V.table(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey").select("p_brand", "p_partkey", "role")
+
+
+# Bins -----------------------------------------------------------------------------------------------------------------
+
+
+@query("""select l_orderkey % 500 as k, case when v between 0 and 10 then 'B1: 0-10' when v > 0 and v <= 25 then 'B2: 10-25' when v > 0 and v <= 50 then 'B3: 25-50' when v > 0 and v <= 100 then 'B4: 50-100' end as right_closed,
+ (case when v < 0 or v > 100 then null when v < 10 then 0 when v < 25 then 1 when v < 50 then 2 else 3 end)::int as left_closed, count(*) as n from (select *, l_quantity * 2.5 - 5 as v from lineitem) group by all""")
+def density_bins(spark, d):
+    v = F.col("l_quantity") * 2.5 - 5
+    return V.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("k"), B.right_closed(v).alias("right_closed"), B.left_closed(v).alias("left_closed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Metrics --------------------------------------------------------------------------------------------------------------
+
+
+def _confusion(reference: str = "reference", predicted: str = "predicted") -> str:
+    flag = {"tp": (reference, predicted), "fp": (f"not {reference}", predicted), "fn": (reference, f"not {predicted}"), "tn": (f"not {reference}", f"not {predicted}")}
+    return ", ".join(f"count(*) filter ({a} and {b}) as {k}" for k, (a, b) in flag.items())
+
+
+@query(f"with {V.BOXES}, c as (select source, {_confusion()} from boxes group by source), m as (select *, {V.METRICS} from c) select source, tp, fp, fn, tn, round(iou, 8) as iou, round(f1, 8) as f1, round(\"precision\", 8) as \"precision\", round(recall, 8) as recall, round(accuracy, 8) as accuracy from m")
+def confusion_by_source(spark, d):
+    c = V.boxes(spark, d).groupBy("source").agg(*M.confusion(F.col("reference"), F.col("predicted")))
+    return rounded(c.select("*", *M.metrics()).drop("reference_cover_pct", "model_cover_pct"), 8)
+
+
+def _scored(spark, d):
+    return V.samples(spark, d).select("*", *M.metrics())
+
+
+_LINES = " union all ".join(f"select {{by}} '{m}' as metric, round(avg(\"{m}\"), 6) as mean, round(stddev_samp(\"{m}\"), 6) as std, round({p}, 6) as pooled, count(*) as n from {{t}} {{g}}" for m, p in {
+    "iou": "sum(tp)::double / nullif(sum(tp) + sum(fp) + sum(fn), 0)", "f1": "(2 * sum(tp))::double / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0)", "precision": "sum(tp)::double / nullif(sum(tp) + sum(fp), 0)",
+    "recall": "sum(tp)::double / nullif(sum(tp) + sum(fn), 0)", "accuracy": "(sum(tp) + sum(tn))::double / nullif(sum(tp) + sum(fp) + sum(fn) + sum(tn), 0)"}.items())
+
+
+@query(f"with {V.SAMPLES}, m as (select *, {V.METRICS} from samples) {_LINES.format(by='', t='m', g='')}")
+def metrics_mean_std_pooled(spark, d):
+    return rounded(M.summarise(_scored(spark, d)))
+
+
+@query(f"""with {V.SAMPLES}, m as (select *, {V.METRICS} from samples), l as (select 'p_brand' as stratum, p_brand as level, * exclude (p_brand, p_type) from m union all select 'p_type', p_type, * exclude (p_brand, p_type) from m where p_type is not null)
+ {_LINES.format(by='stratum, level,', t='l', g='group by stratum, level').replace(', 6) as pooled', ', 6) as p0')}""".replace("round(sum", "coalesce(round(sum").replace("round((2", "coalesce(round((2").replace("round((sum", "coalesce(round((sum").replace(", 6) as p0", ", 6), 1) as pooled"))
+def strata_long(spark, d):
+    return rounded(M.strata_long(_scored(spark, d), ["p_brand", "p_type"]))
+
+
+@query(f"""with {V.SAMPLES}, m as (select *, {V.METRICS}, 100.0 * (tp + fn) / nullif(tp + fp + fn + tn, 0) as r, coalesce(100.0 * (tp + fp) / nullif(tp + fp + fn + tn, 0), 0) as p from samples)
+ select sample, round(case when r = 0 and p = 0 then 1 when r = 0 then 0 else iou end, 6) as iou, round(case when r = 0 and p = 0 then 1 when r = 0 then 0 else f1 end, 6) as f1, round(case when r = 0 and p = 0 then 1 when r = 0 then 1 - p / 100 else accuracy end, 6) as accuracy from m""")
+def zero_reference_scored(spark, d):
+    s = _scored(spark, d).withColumnsRenamed({"reference_cover_pct": "lidar_tree_cover_pct", "model_cover_pct": "model_tree_cover_pct"})
+    return rounded(M.score_zero_reference(s).select("sample", "iou", "f1", "accuracy"))
+
+
+# Rasters --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.RASTERS}, n as (select tile, r // 2 as row, c // 2 as col, v, count(*) as k from pixels group by all) select tile, row::int as row, col::int as col, v as value from (select *, row_number() over (partition by tile, row, col order by k desc, v) as i from n) where i = 1")
+def majority_vote(spark, d):
+    return raster.majority(raster.pixels(V.rasters(spark, d), "tile", "values", 8), "tile", 2, 8, 8)
+
+
+@query(f"with {V.RASTERS} select tile, round(100.0::double * count(*) filter (x >= 0.1 and v <> 255) / nullif(count(*) filter (v <> 255), 0), 6) as cover from (select *, case when v = 255 then null else x end as y from pixels) group by tile")
+def zonal_height(spark, d):
+    heights = F.zip_with("value", "values", lambda x, v: F.when(v == 255, -9999.0).otherwise(F.when(x >= F.lit(0.1), 3.0).otherwise(2.9)))
+    return rounded(V.rasters(spark, d).select("tile", raster.zonal(heights, "height", -9999.0).alias("cover")))
+
+
+@query(f"with {V.RASTERS} select tile, round(avg(case when v <> 255 then abs(x) * 100 end), 6) as cover from pixels group by tile")
+def zonal_cover(spark, d):
+    share = F.zip_with("value", "values", lambda x, v: F.when(v == 255, 255.0).otherwise(F.abs(x) * 100))
+    return rounded(V.rasters(spark, d).select("tile", raster.zonal(share, "cover", 255.0).alias("cover")))
+
+
+@query(f"with {V.RASTERS}, s as (select tile, count(*) filter (v <> 255) as n, count(*) filter (v = 1) as t from pixels group by tile) select tile, round(64 * 0.04::double / 10000, 8) as tile_area_ha, round(n * (0.04::double / 10000), 8) as land_area_ha, round(t * (0.04::double / 10000), 8) as tree_area_ha, round(coalesce(100.0::double * t / nullif(n, 0), 0), 8) as tree_cover_pct from s")
+def tile_pixel_stats(spark, d):
+    return rounded(raster.tile_statistics(V.rasters(spark, d).select("tile", "values"), 0.04).drop("error"), 8)
+
+
+@query(f"with {V.RASTERS}, p as (select tile // 2 as pair, r, c, max(case when tile % 2 = 0 then (v = 1)::int end) as a, max(case when tile % 2 = 1 then (v = 1)::int end) as b from pixels group by all), k as (select pair, case when a = 1 and b = 1 then 'TP' when b = 1 then 'FP' when a = 1 then 'FN' else 'TN' end as class from p where a is not null and b is not null) select pair, class, count(*) as n from k group by all")
+def difference_image_counts(spark, d):
+    flags = V.rasters(spark, d).select("tile", F.transform("values", lambda v: v == 1).alias("f"))
+    one = flags.where("tile % 2 = 0").select(F.floor(F.col("tile") / 2).alias("pair"), F.col("f").alias("a"))
+    two = flags.where("tile % 2 = 1").select(F.floor(F.col("tile") / 2).alias("pair"), F.col("f").alias("b"))
+    return one.join(two, "pair").select("pair", F.explode(M.difference_classes(F.col("a"), F.col("b"))).alias("class")).groupBy("pair", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {V.RASTERS} select tile, count(*) filter (v = 255) as n_nodata, count(*) filter (v = 1) as n_tree, false as has_bad_code from pixels group by tile")
+def code_check(spark, d):
+    r = V.rasters(spark, d)
+    n = lambda k: F.size(F.filter("values", lambda v: v == k)).cast("long")
+    return r.select("tile", n(255).alias("n_nodata"), n(1).alias("n_tree"), B.bad_codes(F.col("values")).isNotNull().alias("has_bad_code"))
+
+
+@query(f"with {V.POINTS} select least(9, floor(y / 2))::int as row, least(9, floor(x / 2))::int as col, max(z) as top, min(case when classification = 2 then z end) as ground from points group by all")
+def chm_grid_max_min(spark, d):
+    return raster.grid_extremes(V.points(spark, d), 0.0, 0.0, 2.0, 10, 10)
+
+
+@query()
+def chm_interpolated(spark, d):
+    cells = V.points(spark, d).groupBy("window", F.floor(F.col("y") / 2).cast("int").alias("row"), F.floor(F.col("x") / 2).cast("int").alias("col")).agg(F.max("z").alias("top"), F.min(F.when(F.col("classification") == 2, F.col("z"))).alias("ground"))
+    return rounded(raster.canopy_masks(cells, "window", 10, 10))
+
+
+@query(f"with {V.RASTERS} select tile, r::int // 4 as row, c::int // 4 as col, round(avg(x), 6) as value from pixels group by all")
+def resampled_average(spark, d):
+    out = raster.resampled(V.rasters(spark, d).select("tile", F.col("value").alias("values")), "tile", 8, 8, 2, 2)
+    return rounded(raster.pixels(out, "tile", "values", 2))
+
+
+@query(f"with {V.RASTERS}, m as (select label, r, c, avg(x) as a, avg(-x * 0.5::double) as b from pixels join rasters using (tile) group by all) select label, r::int as row, c::int as col, case when b > a then 1 else 0 end as class, round(1 - 1 / (1 + exp(-abs(b - a))), 6) as uncertainty from m")
+def pooled_logits(spark, d):
+    r = V.rasters(spark, d).select("label", F.posexplode("value").alias("i", "l0"))
+    long = r.select("label", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).alias("col"), "l0", (-F.col("l0") * 0.5).alias("l1"))
+    out = raster.pooled_logits(long.withColumnRenamed("label", "group"), "group")
+    return rounded(out.select(F.col("group").alias("label"), "row", "col", F.col("label").alias("class"), "uncertainty"))
+
+
+# Links ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.LINKS}, b as (select tile, date from links where product in ('dop', 'bdom') group by all having count(distinct product) = 2) select tile, date::varchar as date, product from links where product = 'dgm' or (tile, date) in (select (tile, date) from b)")
+def pair_acquisitions(spark, d):
+    return L.paired(V.links(spark, d), "dop", "bdom")[0].withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"with {V.LINKS}, i as (select distinct tile, date from links where product = 'dop'), g as (select tile, date from links where product = 'dgm') select g.tile, coalesce(i.date, g.date)::varchar as date, g.date::varchar as source_date from g left join i using (tile)")
+def expand_ground_models(spark, d):
+    x = V.links(spark, d)
+    pick = lambda p: x.where(F.col("product") == p).select("tile", "date")
+    out = L.expand_ground(pick("dgm"), pick("dop"))
+    return out.select("tile", F.col("date").cast("string").alias("date"), F.col("source_date").cast("string").alias("source_date"))
+
+
+@query(f"with {V.LINKS} select tile, date::varchar as date from links where product = 'dop' except select tile, date::varchar from links where product = 'bdom'")
+def missing_acquisitions(spark, d):
+    x = V.links(spark, d).withColumn("date", F.col("date").cast("string"))
+    expected = x.where("product = 'dop'").groupBy("tile").agg(F.array_join(F.collect_set("date"), ", ").alias("dates"))
+    return L.missing_acquisitions(expected, x.where("product = 'bdom'"))
+
+
+@query("""with p as (select l_partkey as tile_id, case when l_quantity > 25 then 'train' else 'val' end as split, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_quantity desc) as i from lineitem where l_partkey % 3 <> 0)
+ select p_partkey as tile_id, p_name, split from part join p on p_partkey = tile_id where i = 1""")
+def published_splits(spark, d):
+    pos = F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("pos")
+    published = V.table(spark, d, "lineitem").where("l_partkey % 3 <> 0").select(F.col("l_partkey").cast("string").alias("tile_id"), F.when(F.col("l_quantity") > 25, "train").otherwise("val").alias("split"), pos)
+    patches = V.table(spark, d, "part").select(F.col("p_partkey").alias("tile_id"), "p_name", F.lit("none").alias("split"))
+    return L.apply_splits(patches, published)
+
+
+@query(f"with {V.LINKS} select product, count(*) as n, count(distinct tile) as n_tiles from links group by product")
+def fetch_report(spark, d):
+    return L.fetch_report(V.links(spark, d))
+
+
+# Spatial --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V.TILES}, {V.UNITS} select u.unit, count(*) as n, round(sum(t.land_area_km2), 6) as km2 from tiles t join units u on lon_c > x0 and lon_c < x1 and lat_c > y0 and lat_c < y1 group by u.unit")
+def point_in_unit_join(spark, d):
+    p = V.tiles(spark, d).select(F.col("lon_c").alias("x"), F.col("lat_c").alias("y"), "land_area_km2")
+    return rounded(spatial.points_in_boxes(p, V.units(spark, d), 1.0).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("land_area_km2").alias("km2")))
+
+
+@query(f"with {V.TILES}, {V.UNITS}, t as (select *, row_number() over () as k from tiles) select count(*) filter (h) as n_on_land, count(*) filter (not h) as n_off_land from (select k, bool_or(coalesce(unit % 2 = 0, false)) as h from (select k, u.unit from t left join units u on lon_c > x0 and lon_c < x1 and lat_c > y0 and lat_c < y1) group by k)")
+def on_land_flag(spark, d):
+    p = V.tiles(spark, d).select(F.col("lon_c").alias("x"), F.col("lat_c").alias("y"))
+    p = p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.struct("x", "y"))
+    flagged = spatial.flag_points(p, "id", V.units(spark, d).where("unit % 2 = 0"), 1.0)
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return flagged.agg(n(F.col("on_land")).alias("n_on_land"), n(~F.col("on_land")).alias("n_off_land"))
+
+
+BOX_SQL = "b as (select o_orderkey as id, (o_custkey % 100)::double as x0, (o_orderkey % 90)::double as y0, (o_custkey % 100 + 2)::double as x1, (o_orderkey % 90 + 2)::double as y1 from orders where o_orderkey % 10 = 0), p as (select p_partkey as part, (p_partkey % 97)::double as x0, (p_size % 89)::double as y0, (p_partkey % 97 + 3)::double as x1, (p_size % 89 + 3)::double as y1 from part)"
+
+
+@query(f"with {BOX_SQL} select id, count(*) filter (b.x0 < p.x1 and p.x0 < b.x1 and b.y0 < p.y1 and p.y0 < b.y1) as n_open, count(*) as n_closed from b join p on b.x0 <= p.x1 and p.x0 <= b.x1 and b.y0 <= p.y1 and p.y0 <= b.y1 group by id")
+def bbox_range_join(spark, d):
+    def box(df, key, x, y, size):
+        return df.select(key, x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + size).cast("double").alias("x1"), (y + size).cast("double").alias("y1"))
+
+    o = box(V.table(spark, d, "orders").where("o_orderkey % 10 = 0").withColumnRenamed("o_orderkey", "id"), "id", F.col("o_custkey") % 100, F.col("id") % 90, 2)
+    p = box(V.table(spark, d, "part").withColumnRenamed("p_partkey", "part"), "part", F.col("part") % 97, F.col("p_size") % 89, 3)
+    closed = spatial.boxes_overlapping(o, p, "id", "part", 8.0, closed=True).withColumn("c", F.lit(True))
+    open_ = spatial.boxes_overlapping(o, p, "id", "part", 8.0).withColumn("o", F.lit(True))
+    both = closed.join(open_, ["id", "part"], "left")
+    return both.groupBy("id").agg(F.count("o").alias("n_open"), F.count(F.lit(1)).alias("n_closed"))
+
+
+@query()
+def utm_round_trip(spark, d):
+    """Centres of tiles to geographic coordinates and back; checked by tests to a millimetre."""
+    t = V.candidates(spark, d).select("pos", (F.lit(300000.0) + (F.col("cell") % 400) * 1000 + 500).alias("x"), (F.lit(5300000.0) + (F.col("pos") % 700) * 1000 + 500).alias("y"), (32 + F.col("pos") % 2).alias("zone"))
+    t = t.withColumn("g", P.utm_to_lonlat(F.col("x"), F.col("y"), F.col("zone")))
+    t = t.withColumn("b", P.lonlat_to_utm(F.col("g.lon"), F.col("g.lat"), F.col("zone")))
+    return rounded(t.select("pos", "g.lon", "g.lat", (F.col("b.x") - F.col("x")).alias("dx"), (F.col("b.y") - F.col("y")).alias("dy"), P.geodesic_area_factor(F.col("x"), F.col("y"), F.col("zone")).alias("area_factor")), 7)
+
+
+# Statistics -----------------------------------------------------------------------------------------------------------
+
+
+@query("select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 2) as rmse, round(avg(l_extendedprice - l_quantity), 2) as bias, count(*) as n from lineitem group by 1")
+def ols_fit(spark, d):
+    f = V.table(spark, d, "lineitem").groupBy("l_returnflag").agg(*stats.fit("l_quantity", "l_extendedprice"))
+    return f.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"), F.round("bias", 2).alias("bias"), "n")
+
+
+@query("select round(power(corr(l_quantity, l_extendedprice), 2), 6) as r2, round(avg(l_extendedprice - l_quantity), 2) as bias from lineitem")
+def pearson_r2(spark, d):
+    a = V.table(spark, d, "lineitem").agg(*stats.agreement("l_quantity", "l_extendedprice"))
+    return a.select(F.round("r2", 6).alias("r2"), F.round("bias", 2).alias("bias"))
+
+
+@query("""with v as (select l_returnflag, greatest(-100, least(100, 100.0::double * (l_tax * 1000 - l_quantity) / nullif(l_quantity, 0))) as v from lineitem), n as (select l_returnflag, least(floor(v) + 100, 199)::bigint as bin, count(*) as n from v group by all) select l_returnflag, bin, n, round(n / sum(n) over (partition by l_returnflag), 8) as share from n""")
+def relative_diff_histogram(spark, d):
+    v = B.relative_difference(F.col("l_tax") * 1000, F.col("l_quantity"))
+    return rounded(stats.percent_histogram(V.table(spark, d, "lineitem").select("l_returnflag", v.alias("v")), "v", "l_returnflag"), 8)
+
+
+@query("select event_type, round(median(value), 6) as p50, round(quantile_cont(value, 0.02), 6) as p02, round(quantile_cont(value, 0.98), 6) as p98 from events group by 1")
+def medians_and_percentiles(spark, d):
+    return rounded(stats.percentiles(V.table(spark, d, "events"), "value", [0.5, 0.02, 0.98], "event_type"))
+
+
+@query("select month(o_orderdate)::int as month, case when month(o_orderdate) in (12, 1, 2) then 'winter' when month(o_orderdate) < 6 then 'spring' when month(o_orderdate) < 9 then 'summer' else 'autumn' end as season, count(*) as n, round(count(*)::double / sum(count(*)) over (), 8) as share from orders group by 1, 2")
+def share_by_month(spark, d):
+    o = V.table(spark, d, "orders").select(F.month("o_orderdate").alias("month")).withColumn("season", D.meteorological_season(F.col("month")))
+    return rounded(stats.shares(o, "month", "season"), 8)
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def daily_event_window(spark, d):
+    out = live.daily_counts(V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Sampling -------------------------------------------------------------------------------------------------------------
+
+
+@query("""with s as (select p_brand, p_partkey, row_number() over (partition by p_brand order by sha256(p_partkey::varchar), p_partkey) as i, count(*) over (partition by p_brand) as n from part)
+ select p_partkey, p_brand, case when n < 3 or i <= round_even(0.6::double * n, 0) then 'train' when i <= round_even(0.8::double * n, 0) then 'val' else 'test' end as split from s""")
+def stratified_split(spark, d):
+    return sampling.stratified_split(V.table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", "p_brand")
+
+
+def _draw_candidates(spark, d):
+    p = V.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return p.select(k, B.right_closed((F.col("o_custkey") % 101).cast("double")).alias("tcd_bin"), F.col("o_orderstatus").alias("urban"), F.date_format("o_orderdate", "yyyyMM").alias("flight_date"), ((k * 7919) % 100_000).cast("double").alias("x"), ((k * 104_729) % 100_000).cast("double").alias("y"))
+
+
+@query()
+def training_draw(spark, d):
+    return sampling.training_draw(_draw_candidates(spark, d), "o_orderkey", "tcd_bin", dict.fromkeys(B.DENSITY_LABELS, 30), 2000.0, 3, 100)
+
+
+@query()
+def validation_draw(spark, d):
+    return sampling.validation_draw(_draw_candidates(spark, d), "o_orderkey", ["tcd_bin", "urban"], 20, 500.0, 42)
+
+
+@query("select o_orderkey, o_custkey % 1000 - 12.5::double as x0, o_orderkey % 1000 - 12.5::double as y0, o_custkey % 1000 + 12.5::double as x1, o_orderkey % 1000 + 12.5::double as y1 from orders")
+def boxes_around_points(spark, d):
+    p = V.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 1000).cast("double").alias("x"), (F.col("o_orderkey") % 1000).cast("double").alias("y"))
+    return sampling.boxes_around(p, 25.0).drop("x", "y")
+
+
+@query("""select count(*) filter (not coalesce(o_totalprice >= 50000, false)) as lost_min_cover, count(*) filter (o_totalprice >= 50000 and not o_custkey % 3 > 0) as lost_has_both, count(*) filter (o_totalprice >= 50000 and o_custkey % 3 > 0 and o_custkey % 5 = 0) as lost_not_is_border from orders""")
+def eligibility_costs(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("mean_tcd"), (F.col("o_custkey") % 3 > 0).alias("has_both"), (F.col("o_custkey") % 5 == 0).alias("is_border"))
+    return sampling.eligible(o, 50000.0)[1]
