@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundloom.llm import bpe, html_main, images, mixing, pii, quality, repeats, secrets, simhash, urls
 from groundloom.llm.common import load
+from groundloom.llm.oracles import ORACLES
 
 
 def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,5 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_byte_pairs": op10_byte_pairs,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
