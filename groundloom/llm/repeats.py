@@ -284,7 +284,8 @@ def find_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM, group: i
     scanned = few.repartition("gram").sortWithinPartitions("gram", "after").mapInPandas(scan(least, gram), reach)
     whole = shared.where("n > 1").select("gram", "around", F.lit(least - gram).cast("long").alias("l"), F.lit(least).cast("long").alias("r"))
     reaches = scanned.unionByName(counted).unionByName(whole).groupBy("gram", "around").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    back = found.join(reaches, ["gram", "around"])
+    # Written, so that the join's sides are plain shuffles and an anchor that very many documents share can be split.
+    back = found.join(kept(reaches, "reaches"), ["gram", "around"])
     span = F.struct(F.greatest(F.col("at") - F.col("l"), F.lit(0)).cast("long").alias("begin"), (F.col("at") + F.col("r")).cast("long").alias("stop"))
     return back.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"))
 
