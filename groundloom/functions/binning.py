@@ -60,7 +60,8 @@ def normalised(value: Column) -> Column:
 
 def relative_difference(other: Column, ours: Column) -> Column:
     """Percent of ours, held to -100 and 100; null where ours is 0."""
-    return F.greatest(F.lit(-100.0), F.least(F.lit(100.0), 100.0 * (other - ours) / F.nullif(ours, F.lit(0.0))))
+    d = 100.0 * (other - ours) / F.nullif(ours, F.lit(0.0))
+    return F.when(d.isNotNull(), F.greatest(F.lit(-100.0), F.least(F.lit(100.0), d)))  # least and greatest pass nulls over
 
 
 def percent_bin(value: Column) -> Column:

@@ -45,4 +45,5 @@ def percentiles(df: DataFrame, value: str, points: list[float], *by: str) -> Dat
 
 def stretched(value: Column, low: Column, high: Column) -> Column:
     """Held to 0..1 between two percentiles."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / F.nullif(high - low, F.lit(0.0))))
+    share = (value - low) / F.nullif(high - low, F.lit(0.0))
+    return F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
