@@ -26,8 +26,8 @@ def archive(spark: SparkSession, root: str, states: list[str] | None = None, yea
 
 def features(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a GeoJSON FeatureCollection: the given properties and the geometry's type and coordinates as text."""
-    kind = f"struct<features:array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{schema}>>>>"
-    return spark.read.schema(kind[len("struct<") : -1]).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry")
+    kind = f"features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{schema}>>>"
+    return spark.read.schema(kind).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry")
 
 
 def csv_by_state(spark: SparkSession, glob: str, schema: str) -> DataFrame:
