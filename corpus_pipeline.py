@@ -35,8 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and the digests of ids and of the text decoded from them; one row for each row of docs."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
-    return coded.select("doc_id", "ids", *bpe.digests())
+    return bpe.round_trip(docs.select("doc_id", "text")).select("doc_id", "ids", *bpe.digests())
 
 
 STAGES = [

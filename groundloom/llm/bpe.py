@@ -308,6 +308,37 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def _over(df: DataFrame, rest: list[str], reads: str, adds: str, schema, step):
+    """df's columns rest, and what step makes of each small batch of the column reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = step(batch.column(reads))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, *adds.split()])
+
+    return df.select(*(f"`{c}`" for c in rest), reads).mapInArrow(run, schema)
+
+
+def _ids(texts: pa.Array, source: str) -> tuple[pa.ListArray, list[bytes]]:
+    vocabulary, pieces = _held("encoder", source, lambda: ((v := Vocabulary(source)), Pieces(v)))
+    each = [encode_text(t or "", vocabulary, pieces) for t in texts.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(each), dtype="<i4"))), each
+
+
+def _texts(ids: list[list[int]], source: str) -> pa.Array:
+    table = _held("bytes", source, lambda: token_bytes(json.loads(source)))
+    return pa.array([decode_ids(i, table) for i in ids], pa.string())
+
+
+def _columns(df: DataFrame, *but: str) -> list[str]:
+    return [c for c in df.columns if c not in but]
+
+
+def _schema(df: DataFrame, rest: list[str], **more: str):
+    return df.select(*(f"`{c}`" for c in rest), *(F.lit(None).cast(k).alias(c) for c, k in more.items())).schema
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with a column ids, array<int>, in place of text.
 
@@ -316,36 +347,25 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     table gives no rows; other columns are kept (one named ids is replaced).
     Special tokens' strings in a text are those tokens.
     """
-    source = _vocabulary(docs, path)
-    rest = [c for c in docs.columns if c not in ("text", "ids")]
-    rows = docs.select(*(f"`{c}`" for c in rest), "text")
-    schema = docs.select(*(f"`{c}`" for c in rest)).withColumn("ids", F.array().cast("array<int>")).schema
+    source, rest = _vocabulary(docs, path), _columns(docs, "text", "ids")
+    return _over(docs, rest, "text", "ids", _schema(docs, rest, ids="array<int>"), lambda texts: [_ids(texts, source.value)[0]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pieces = _held("encoder", source.value, lambda: ((v := Vocabulary(source.value)), Pieces(v)))
-        for batch in slices(batches):
-            each = [encode_text(t or "", vocabulary, pieces) for t in batch.column("text").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype("int32")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), ids], names=[*rest, "ids"])
 
-    return rows.mapInArrow(run, schema)
+def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """rows with a column text, decoded from ids, in their place. Null ids give an empty text."""
+    source, rest = _vocabulary(rows, path), _columns(rows, "text", "ids")
+    return _over(rows, rest, "ids", "text", _schema(rows, rest, text="string"), lambda ids: [_texts([i or [] for i in ids.to_pylist()], source.value)])
 
 
-def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """rows with a column text, decoded from ids, added (or replaced). Null ids give an empty text."""
-    source = _vocabulary(rows, path)
-    rest = [c for c in rows.columns if c != "text"]
-    schema = rows.select(*(f"`{c}`" for c in rest)).withColumn("text", F.lit("")).schema
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with ids, and the text decoded from them in place of the text: encode() and decode() in one pass, so one worker."""
+    source, rest = _vocabulary(docs, path), _columns(docs, "text", "ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _held("bytes", source.value, lambda: token_bytes(json.loads(source.value)))
-        for batch in slices(batches):
-            ids = batch.column("ids")
-            texts = [decode_ids(ids[i].values.to_numpy(zero_copy_only=False).tolist() if ids[i].is_valid else [], table) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
+    def step(texts: pa.Array) -> list[pa.Array]:
+        ids, each = _ids(texts, source.value)
+        return [ids, _texts([np.frombuffer(x, dtype="<i4").tolist() for x in each], source.value)]
 
-    return rows.select(*(f"`{c}`" for c in rest)).mapInArrow(run, schema)
+    return _over(docs, rest, "text", "ids text", _schema(docs, rest, ids="array<int>", text="string"), step)
 
 
 def digests() -> list[Column]:

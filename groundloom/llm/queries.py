@@ -52,7 +52,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.decode(bpe.encode(docs)))
+    return bpe.digest(bpe.round_trip(docs))
 
 
 QUERIES = {
