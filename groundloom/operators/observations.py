@@ -96,3 +96,57 @@ def season_weights(df: DataFrame, season: str) -> DataFrame:
     n = df.groupBy(season).agg(F.count(F.lit(1)).alias("n"))
     total = n.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     return n.crossJoin(F.broadcast(total)).select(season, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))  # total is one row
+
+
+def newest_year(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The path of the newest year for each key (then the last path)."""
+    return files.groupBy(*keys).agg(F.max(F.struct("year", "path")).alias("w")).select(*keys, "w.year", "w.path")
+
+
+def unchanged(tiles: DataFrame, change: str = "Change") -> DataFrame:
+    """Tiles not marked as changed; null stays."""
+    return tiles.where(~F.col(change).cast("string").eqNullSafe(F.lit("1")))
+
+
+def not_excluded(df: DataFrame) -> DataFrame:
+    return df.where(F.coalesce(F.col("exclude").try_cast("int"), F.lit(0)) == 0)
+
+
+def exclude_where(df: DataFrame, predicate: str) -> DataFrame:
+    """df without the rows of an SQL predicate; one that matches nothing is an error."""
+    hit = F.coalesce(F.expr(predicate), F.lit(False))
+    if df.where(hit).isEmpty():
+        raise ValueError(f"nothing matches {predicate!r}")
+    return df.where(~hit)
+
+
+def even_spread(df: DataFrame, by: str, value: str, key: str, n: int) -> DataFrame:
+    """n rows of each group at evenly spaced ranks of the value: the bin centres (i + 0.5) / n."""
+    order = Window.partitionBy(by).orderBy(value, key)
+    ranked = df.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.least(F.floor((i + 0.5) / n * F.col("_n")), F.col("_n") - 1))
+    return ranked.where(F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n")
+
+
+def split_report(patches: DataFrame) -> DataFrame:
+    """split, n_patches, n_tiles, n_observations, n_treeless; train, val and test are always there."""
+    names = patches.sparkSession.createDataFrame([("train",), ("val",), ("test",)], "split string")
+    n = patches.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_patches"), F.count_distinct("tile_id").alias("n_tiles"), F.count_distinct("obs_id").alias("n_observations"), F.count_if(F.col("tree_cover_pct") == 0).alias("n_treeless")
+    )
+    return names.join(n, "split", "left").na.fill(0)
+
+
+def observations_by_split(patches: DataFrame) -> DataFrame:
+    """split, observations: sorted, distinct; splits without any have an empty list."""
+    names = patches.sparkSession.createDataFrame([("train",), ("val",), ("test",)], "split string")
+    lists = patches.groupBy("split").agg(F.array_sort(F.collect_set("obs_id")).alias("observations"))
+    empty = F.array().cast(lists.schema["observations"].dataType)
+    return names.join(lists, "split", "left").select("split", F.coalesce("observations", empty).alias("observations"))
+
+
+def with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """images (stem, path) with the mask of equal stem, else the first whose stem starts with the image's tile; null without one."""
+    exact = masks.select(F.col("stem"), F.col("path").alias("_exact"))
+    near = masks.groupBy(F.col("tile").alias("tile")).agg(F.min("path").alias("_near"))
+    return images.join(exact, "stem", "left").join(near, "tile", "left").withColumn("mask_path", F.coalesce("_exact", "_near")).drop("_exact", "_near")

@@ -13,7 +13,7 @@ from groundloom.functions import names as N
 from groundloom.functions import projection as P
 from groundloom.operators import links as L
 from groundloom.operators import metrics as M
-from groundloom.operators import mosaic, observations, overlap, raster, release, sampling, spatial, stats, weighted
+from groundloom.operators import mosaic, observations, overlap, raster, release, sampling, spatial, stats, weighted, windows
 from groundloom.plans import views as V
 from groundloom.streaming import live
 
@@ -591,3 +591,112 @@ def boxes_around_points(spark, d):
 def eligibility_costs(spark, d):
     o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("mean_tcd"), (F.col("o_custkey") % 3 > 0).alias("has_both"), (F.col("o_custkey") % 5 == 0).alias("is_border"))
     return sampling.eligible(o, 50000.0)[1]
+
+
+# Windows --------------------------------------------------------------------------------------------------------------
+
+
+def _text(values):
+    return F.array_join(values.cast("array<string>"), ",")
+
+
+def _listed(where: str, name: str, order: str = "r, c", value: str = "v") -> str:
+    return f"string_agg({value}::varchar, ',' order by {order}) filter ({where}) as {name}"
+
+
+@query(f"with {V.RASTERS} select tile, {_listed('r between 2 and 4 and c between 3 and 6', 'cut')}, {_listed('r between 2 and 5 and c between 2 and 5', 'centre')}, {_listed('r % 2 = 0 and c % 2 = 0', 'thinned')}, {_listed('r % 4 = 2 and c % 4 = 2', 'nearest')} from pixels group by tile")
+def window_cuts(spark, d):
+    v = F.col("values")
+    cuts = {"cut": windows.cut(v, 8, 2, 3, 3, 4), "centre": windows.centre(v, 8, 8, 4), "thinned": windows.thinned(v, 8, 8, 4), "nearest": windows.nearest(v, 8, 8, 2, 2)}
+    return V.rasters(spark, d).select("tile", *(_text(c).alias(k) for k, c in cuts.items()))
+
+
+@query(f"with {V.RASTERS}, g as (select t.tile, r, c, v from (select tile, unnest(range(-1, 3)) as r from rasters) t cross join (select unnest(range(6, 10)) as c) k left join pixels p using (tile, r, c)) select tile, string_agg(coalesce(v, 255)::varchar, ',' order by r, c) as w from g group by tile")
+def boundless_window(spark, d):
+    return V.rasters(spark, d).select("tile", _text(windows.boundless(F.col("values"), 8, 8, -1, 6, 4, 4, 255)).alias("w"))
+
+
+@query(f"with {V.RASTERS}, m as (select label % 5 as k, r, c, coalesce(arg_min(v, tile) filter (v <> 255), 255) as v from pixels join rasters using (tile) where tile % 7 = 0 group by all) select k, string_agg(v::varchar, ',' order by r, c) as merged from m group by k")
+def piece_merge(spark, d):
+    p = V.rasters(spark, d).where("tile % 7 = 0").select((F.col("label") % 5).alias("k"), "tile", "values")
+    return windows.merge_pieces(p, "k", "tile", "values").select("k", _text(F.col("values")).alias("merged"))
+
+
+@query(f"with {V.RASTERS} select (tile % 20)::bigint as cell, (tile % 3)::bigint as stripe, count(*) filter (v <> 255) as covered, count(*) filter (v = 1) as tree, 0::bigint as n_skipped from pixels group by all")
+def stripe_counts(spark, d):
+    p = V.rasters(spark, d).select((F.col("tile") % 20).alias("cell"), (F.col("tile") % 3).alias("stripe"), "values")
+    return windows.stripe_counts(p, "cell", "stripe", "values")
+
+
+@query(f"with {V.RASTERS}, n as (select tile, count(*) filter (v = 255) as e, count(*) filter (v = 1) as t from pixels group by tile) select tile, round(100.0::double * t / (64 - e), 6) as tree_cover_pct, e / 64.0::double as nodata_share from n where e < 64 and 100.0::double * t / (64 - e) >= 45 and e / 64.0::double <= 0.08")
+def usable_patches(spark, d):
+    return rounded(windows.usable_patches(V.rasters(spark, d).select("tile", "values"), "values", 45.0, 0.08).drop("values"))
+
+
+@query(f"with {V.RASTERS} select tile, count(*) filter (v <> 255 and x * 10 >= 3.0) as n_high, count(*) filter (v <> 255 and x * 10 < 3.0) as n_low, count(*) filter (v = 255) as n_none from pixels group by tile")
+def display_classes(spark, d):
+    heights = F.zip_with("value", "values", lambda x, v: F.when(v == 255, -9999.0).otherwise(x * 10))
+    n = lambda test: F.size(F.filter("c", test)).cast("long")
+    c = V.rasters(spark, d).select("tile", windows.display_class(heights, "height", -9999.0).alias("c"))
+    return c.select("tile", n(lambda v: v == 1).alias("n_high"), n(lambda v: v == 0).alias("n_low"), n(lambda v: v.isNull()).alias("n_none"))
+
+
+@query(f"with {V.RASTERS}, g as (select tile, r // 2 as gr, c // 2 as gc, x from pixels where r % 2 = 0 and c % 2 = 0), t as (select tile, r, c, x from pixels) select tile, round(sum(case when r = 0 and c = 0 then x end) - sum(case when r = 0 and c = 0 then x end), 6) as first, round(max(x) filter (r = 7 and c = 7) - max(x) filter (r = 6 and c = 6), 6) as last from t group by tile")
+def surface_corners(spark, d):
+    r = V.rasters(spark, d).select("tile", F.col("value").alias("top"), windows.thinned(F.col("value"), 8, 8, 4).alias("ground"))
+    out = windows.surface_difference(r, "tile", (8, 8), (4, 4))
+    return rounded(out.select("tile", F.get("values", F.lit(0)).alias("first"), F.get("values", F.lit(63)).alias("last")))
+
+
+@query(f"""with {V.UNITS}, t as (select p_partkey as tile, 6.0::double + (p_partkey % 90) * 0.11::double as l, 54.5::double - (p_partkey % 70) * 0.11::double as t from part),
+ px as (select tile, l + (i % 4 + 0.5::double) * 0.05::double as x, t - (i // 4 + 0.5::double) * 0.05::double as y from (select *, unnest(range(16)) as i from t)),
+ n as (select tile, count(*) filter (exists (select 1 from units u where unit % 3 <> 0 and x > x0 and x < x1 and y > y0 and y < y1)) as n_land from px group by tile)
+ select tile, case n_land when 0 then 'outside' when 16 then 'inside' else 'partial' end as status, n_land from n""")
+def land_windows(spark, d):
+    u = V.units(spark, d).where("unit % 3 <> 0")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rings = u.select(F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"), point("x0", "y0")).alias("ring"))
+    k = F.col("p_partkey")
+    t = V.table(spark, d, "part").select(k.alias("tile"), (F.lit(6.0) + (k % 90) * F.lit(0.11)).alias("left"), (F.lit(54.5) - (k % 70) * F.lit(0.11)).alias("top"))
+    return windows.land_masks(t, rings, "tile", 4, 4, 0.05, 1.0)
+
+
+@query("select o_custkey, o_orderstatus, max(year(o_orderdate))::int as year, arg_max(o_orderkey::varchar, (year(o_orderdate), o_orderkey::varchar)) as path from orders group by 1, 2")
+def newest_year_lookup(spark, d):
+    o = V.table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.year("o_orderdate").alias("year"), F.col("o_orderkey").cast("string").alias("path"))
+    return observations.newest_year(o, ["o_custkey", "o_orderstatus"])
+
+
+@query("""with s as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_partkey) - 1 as i, count(*) over (partition by p_brand) as n from part)
+ select p_brand, p_partkey from s where i in (select least(floor((k + 0.5::double) / 4 * s.n)::bigint, s.n - 1) from range(4) r(k))""")
+def even_spread_picks(spark, d):
+    return observations.even_spread(V.table(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey", 4).select("p_brand", "p_partkey")
+
+
+@query("""with p as (select case when p_size % 5 = 0 then 'val' else 'train' end as split, p_brand as tile_id, p_type as obs_id, p_size % 4 as cover from part), n as (select split, count(*) as n_patches, count(distinct tile_id) as n_tiles, count(distinct obs_id) as n_observations, count(*) filter (cover = 0) as n_treeless from p group by split)
+ select split, coalesce(n_patches, 0) as n_patches, coalesce(n_tiles, 0) as n_tiles, coalesce(n_observations, 0) as n_observations, coalesce(n_treeless, 0) as n_treeless from (values ('train'), ('val'), ('test')) s(split) left join n using (split)""")
+def split_report(spark, d):
+    split = F.when(F.col("p_size") % 5 == 0, "val").otherwise("train")
+    return observations.split_report(V.table(spark, d, "part").select(split.alias("split"), F.col("p_brand").alias("tile_id"), F.col("p_type").alias("obs_id"), (F.col("p_size") % 4).alias("tree_cover_pct")))
+
+
+@query("select case when p_size % 5 = 0 then 'val' else 'train' end as split, string_agg(distinct p_type, ',' order by p_type) as observations from part group by 1 union all select 'test', ''")
+def observations_by_split(spark, d):
+    split = F.when(F.col("p_size") % 5 == 0, "val").otherwise("train")
+    out = observations.observations_by_split(V.table(spark, d, "part").select(split.alias("split"), F.col("p_type").alias("obs_id")))
+    return out.select("split", F.array_join("observations", ",").alias("observations"))
+
+
+@query("select p_partkey, p_brand from part where p_size % 3 <> 1 and not p_type like 'ECONOMY%' and not (p_partkey % 10 = 1)")
+def tile_filters(spark, d):
+    p = V.table(spark, d, "part").withColumns({"Change": F.when(F.col("p_size") % 3 != 2, F.col("p_size") % 3), "exclude": F.when(F.col("p_partkey") % 10 < 5, (F.col("p_partkey") % 10 == 1).cast("int"))})
+    return observations.exclude_where(observations.not_excluded(observations.unchanged(p)), "p_type like 'ECONOMY%'").select("p_partkey", "p_brand")
+
+
+@query("""with i as (select p_partkey as stem, p_partkey % 50 as tile from part), m as (select l_partkey as stem, l_partkey % 50 as tile, min('m' || lpad(l_orderkey::varchar, 8, '0')) as path from lineitem where l_partkey % 3 = 0 and l_partkey % 50 < 40 group by 1, 2), n as (select tile, min(path) as near from m group by 1)
+ select i.stem, i.tile, coalesce(m.path, n.near) as mask_path from i left join m on m.stem = i.stem left join n on n.tile = i.tile""")
+def masks_of_images(spark, d):
+    i = V.table(spark, d, "part").select(F.col("p_partkey").alias("stem"), (F.col("p_partkey") % 50).alias("tile"))
+    path = F.concat(F.lit("m"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"))
+    m = V.table(spark, d, "lineitem").where("l_partkey % 3 = 0 and l_partkey % 50 < 40").groupBy(F.col("l_partkey").alias("stem"), (F.col("l_partkey") % 50).alias("tile")).agg(F.min(path).alias("path"))
+    return observations.with_masks(i, m)
