@@ -319,6 +319,22 @@ def test_main_text_of_an_article(spark):
     same_rows(got, [(1, "http://a.b/x", text, len(text)), (1, "http://a.b/x", text, len(text)), (2, None, "", 0), (3, "http://a.b/y", "", 0), (None, "nowhere", "Plain", 5), (4, "http://c.d/", long, len(long))])
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body class='with-sidebar'><div class='layout sidebar-left'><main><p>Body</p><article class='comment'><p>Me too</p></article></main></div></body>", "Body"),
+        ("<article><p>One<p>Two<div class='ad-slot'><p>Buy<b>!</b></div>Three<br/>four</article>", "One\n\nTwo\n\nThree four"),
+        ("<p>a<script>x<y</script>b</p><!-- c --><p hidden>d</p><style>e</style><p>f", "ab\n\nf"),
+        ("<article><h1>A &lt;b&gt; &#x41;&nbsp;&copy</h1><p>x < y and 3 > 2</p></article>", "A <b> A ©\n\nx < y and 3 > 2"),
+        ("<article><ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table></article>", "one\n\ntwo\n\n1 2\n\n3"),
+        ("<article><p>open <b>bold", "open bold"),
+        ("<div class='cookie-notice'>We use</div><form><p>Mail</p></form>", ""),
+    ],
+)
+def test_blocks(page, text):
+    assert html_main.main_text(html_main.lines_of(page), set()) == text
+
+
 def test_neighbours_lose_what_they_share(spark):
     page = lambda i: f"<body><div>Welcome to the site</div><p>Story number {i} with words of its own, {i * 7}</p><p>More about {i * 3}</p><div>All rights reserved here</div></body>"
     rows = [(i, f"http://a.b/x/{i:03d}", page(i)) for i in range(90)] + [(500 + i, f"http://c.d/{i}", f"<body><p>The very same page of {9}</p></body>") for i in range(3)]
