@@ -172,15 +172,46 @@ def _best_left(left: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.maximum(np.concatenate([[0], near]), np.concatenate([near, [0]]))
 
 
+def _by_left(left: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of their left sides, the place of each row, and the common prefixes of neighbours in that order."""
+    if (left != 0).all():
+        order = np.lexsort((sizes, left.view(f"S{left.shape[1]}").ravel()))
+    else:  # the padding byte occurs
+        order = np.array(sorted(range(len(left)), key=lambda i: left[i, : sizes[i]].tobytes()))
+    rank = np.empty(len(left), dtype=np.int64)
+    rank[order] = np.arange(len(left))
+    return order, rank, _common(left[order][1:], left[order][:-1], sizes[order][1:], sizes[order][:-1])
+
+
+def repeats_of_group(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, least: int, gram: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(rows, left extension, common prefix) of each maximal repeat around one gram; rows are sorted by right side.
+
+    Inside each interval of the tree, the left sides make a tree of their own:
+    its intervals are sets of rows that differ to the left of their extension.
+    A set that agrees beyond the prefix belongs to a deeper interval.
+    """
+    lcp = _common(right[1:], right[:-1], n_right[1:], n_right[:-1])
+    _, rank, near = _by_left(left, n_left)
+    for prefix, first, last in intervals(lcp.tolist(), gram):
+        rows = np.arange(first, last + 1)
+        rows = rows[np.argsort(rank[rows])]
+        at = rank[rows]
+        gaps = [int(near[a:b].min()) for a, b in zip(at, at[1:], strict=False)]
+        need = max(0, least - prefix)
+        found = list(intervals(gaps, max(need, 1)))
+        if need == 0 and min(gaps) == 0:
+            found.append((0, 0, len(rows) - 1))
+        for extension, i, j in found:
+            some = np.sort(rows[i : j + 1])
+            if lcp[some[0] : some[-1]].min() == prefix:
+                yield some, extension, prefix
+
+
 def scan_group(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """How far repeats reach to the left and right of each row of one gram; rows are sorted by right side."""
     n = len(left)
     lcp = _common(right[1:], right[:-1], n_right[1:], n_right[:-1])
-    # Rank by left side: bytes, then length, so that padding doesn't matter.
-    rank = np.empty(n, dtype=np.int64)
-    order = np.lexsort((n_left, left.view(f"S{left.shape[1]}").ravel()))if (left != 0).all() else np.array(sorted(range(n), key=lambda i: left[i, : n_left[i]].tobytes()))
-    rank[order] = np.arange(n)
-    near = _common(left[order][1:], left[order][:-1], n_left[order][1:], n_left[order][:-1])
+    order, rank, near = _by_left(left, n_left)
     reach_l, reach_r = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for prefix, first, last in intervals(lcp.tolist(), gram):
         members = np.arange(first, last + 1)
@@ -243,6 +274,25 @@ def scan(least: int, gram: int):
     return run
 
 
+def name_repeats(least: int, gram: int):
+    """gram, around, l, r, group: the maximal repeats around each gram, one group at a time."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("after", key=lambda c: c.map(bytes))
+        left, n_left = _matrix(f["before"], least - gram)
+        right, n_right = _matrix(f["after"], least)
+        around, out = f["around"].to_numpy(), []
+        name = lambda i, l, r: xxhash.xxh3_64_intdigest(left[i, :l][::-1].tobytes() + right[i, :r].tobytes()) - (1 << 63)  # noqa: E731, E741
+        for rows, l, r in repeats_of_group(left, n_left, right, n_right, least, gram):  # noqa: E741
+            out += [(f["gram"].iloc[0], around[k], l, r, name(rows[0], l, r)) for k in rows]
+        # What lies around an anchor twice or more is a repeat as a whole.
+        for k in np.flatnonzero(f["n"].to_numpy() > 1):
+            out.append((f["gram"].iloc[0], around[k], n_left[k], n_right[k], name(k, n_left[k], n_right[k])))
+        return pd.DataFrame(out, columns=["gram", "around", "l", "r", "group"]).astype("int64")
+
+    return run
+
+
 def windows(least: int, gram: int):
     """gram, around, back, window: a hash for each window of least bytes around an anchor that starts back bytes before it."""
 
@@ -290,6 +340,28 @@ def find_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM, group: i
     return back.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"))
 
 
+def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """group, doc_id, begin, stop (bytes): every occurrence of every maximal repeat of at least least bytes.
+
+    A repeat is followed for least bytes to the right and least - gram to the
+    left of an anchor; a longer one is a chain of overlapping groups. A report:
+    removal needs no names of groups and uses find_repeats().
+    """
+    rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
+    found = kept(rows.mapInPandas(anchors(least, gram), "doc_id bigint, mark bigint, at bigint, gram bigint, around bigint"), "anchors")
+    one = F.min(F.struct("doc_id", "mark", "at")).alias("one")
+    alike = kept(found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), one), "alike")
+    shared = alike.groupBy("gram").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
+    wanted = alike.join(shared, "gram", "left_semi").select("gram", "around", "one.*").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "around", "at")).alias("wanted"))
+    texts = rows.mapInPandas(packed, "doc_id bigint, mark bigint, text binary")
+    on = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])
+    lying = texts.join(wanted, on).select("text", "wanted").mapInPandas(sides(least, gram), "gram bigint, around bigint, before binary, after binary").dropDuplicates(["gram", "around"])
+    lying = lying.join(alike.select("gram", "around", "n"), ["gram", "around"])
+    named = lying.groupBy("gram").applyInPandas(name_repeats(least, gram), "gram bigint, around bigint, l bigint, r bigint, group bigint")
+    met = found.join(kept(named, "named"), ["gram", "around"])
+    return met.select("group", "doc_id", (F.col("at") - F.col("l")).alias("begin"), (F.col("at") + F.col("r")).alias("stop")).distinct()
+
+
 def left_over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tool = zstandard.ZstdDecompressor()
     for f in frames:
