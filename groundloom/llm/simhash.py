@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from groundloom.llm.common import as_text, cut, own
 from groundloom.llm.components import components
+from groundloom.llm.shingles import SIMILARITY, similar_texts
 
 SEED, WIDTH, MAX_BITS = 42, 3, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -215,9 +216,36 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; of rows alike, one."""
-    found = near_copies(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def one_of_each(docs: DataFrame, similarity: float | None = SIMILARITY, **options) -> DataFrame:
+    """docs with one row of each group of near-copies, that of the smallest doc_id; of rows alike, one.
+
+    Documents are linked by their fingerprints and, unless similarity is None,
+    by five-word shingles of at least that Jaccard similarity.
+    """
+    found = near_copies(docs, **options)
+    if similarity is not None:
+        found = _grouped_with_shingles(docs, found, similarity)
+    return _first_of_groups(docs, found)
+
+
+def _grouped_with_shingles(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """found with roots and components that shingle links join: groups of fingerprints and nodes of shingle sets are one graph."""
+    nodes, links = similar_texts(docs, similarity=similarity)
+    pairs = found.select("doc_id", "mark", "root").distinct()
+    on = pairs["doc_id"].eqNullSafe(nodes["doc_id"]) & (pairs["mark"] == nodes["mark"])
+    # A text is in one group of fingerprints and is one node: an edge between the two.
+    held = pairs.join(nodes.distinct(), on).select(F.xxhash64(F.lit("print"), "root").alias("a"), F.xxhash64(F.lit("node"), "node").alias("b")).distinct()
+    near = links.select(F.xxhash64(F.lit("node"), "a").alias("a"), F.xxhash64(F.lit("node"), "b").alias("b"))
+    roots = components(held.unionByName(near))
+    own_root = F.xxhash64(F.lit("print"), "root")
+    known = found.withColumn("_n", own_root).join(roots.withColumnRenamed("root", "_r"), F.col("_n") == F.col("node"), "left")
+    known = cut(known.select("doc_id", "mark", "print", F.coalesce("_r", "_n").alias("root")))
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "root").select("doc_id", "mark", "print", "root", "component_id")
+
+
+def _first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("k"))
     wanted = first.select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"))
     kept = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(as_text(docs["text"])) == wanted["_mark"]), "left_semi")
