@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from groundloom.llm import bpe, components, html_main, images, mixing, pii, quality, repeats, secrets, simhash, urls
+from groundloom.llm import bpe, components, html_main, images, mixing, pii, quality, repeats, secrets, shingles, simhash, urls
 
 from .texts import SCHEMA, WORD, awkward, brute_personal, brute_print, brute_quality, brute_repeats, brute_secrets, same_rows, sha
 
@@ -43,6 +43,27 @@ def test_repeats(docs, least, gram, group):
     same_rows(got, [(r[0], *b) for r, b in zip(ROWS, brute_repeats(TEXTS, least), strict=True)])
 
 
+def test_repeat_groups_have_all_occurrences(docs):
+    got: dict = {}
+    raw = [(r[0], t.encode()) for r, t in zip(ROWS, TEXTS, strict=True)]
+    by_id = dict(raw)
+    for r in repeats.repeat_groups(docs.where("length(text) < 2500"), 40, 10).collect():
+        got.setdefault(r.group, set()).add((r.doc_id, r.begin, r.stop))
+    assert got
+    for group in got.values():
+        strings = {by_id[d][a:b] for d, a, b in group}
+        assert len(strings) == 1
+        s = strings.pop()
+        places = {(d, m.start(), m.start() + len(s)) for d, t in raw if len(t.decode()) < 2500 for m in re.finditer(b"(?=" + re.escape(s) + b")", t)}
+        assert len(s) >= 40 and group == places
+    covered: dict = {}
+    for group in got.values():
+        for d, a, b in group:
+            covered.setdefault(d, set()).update(range(a, b))
+    expected = {r.doc_id: r.n_removed for r in repeats.digest(repeats.drop_repeats(docs.where("length(text) < 2500"), 40, 10)).collect()}
+    assert {d: len(c) for d, c in covered.items()} == {d: n for d, n in expected.items() if n}
+
+
 def test_intervals_are_those_of_sorted_strings():
     rows = sorted("".join(random.Random(i).choice("ab") for _ in range(8)) for i in range(40))
     lcp = [next((k for k in range(8) if a[k] != b[k]), 8) for a, b in zip(rows, rows[1:], strict=False)]
@@ -114,6 +135,15 @@ def test_quality(docs):
     assert kept.columns == docs.columns and kept.count() == int(got.kept.sum())
 
 
+def test_common_lines_are_cut(docs):
+    out = quality.without_common_lines(docs, least=2)
+    assert out.columns == docs.columns and out.count() == len(ROWS)
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for r in out.collect():
+        t = before[r.doc_id]
+        assert r.text == (t if t is None or "Licensed" not in t else "\n".join(x for x in t.split("\n") if "Licensed" not in x))
+
+
 def test_depleted_documents_go_and_copies_are_one(spark):
     line = "this line stands in every single document of the host and says nothing at all to anyone who reads it here today"
     rows = [(i, f"{line}\nunique{i * 7919}longword", "s") for i in range(60)]
@@ -165,7 +195,7 @@ def test_simhash(docs, bucket):
     least = {g: min((ROWS[i][0] for i in range(len(ROWS)) if group[i] == g and ROWS[i][0] is not None), default=None) for g in set(group)}
     expected = [(ROWS[i][0], f"{prints[i]:016x}", least[group[i]]) for i in range(len(ROWS))]
     same_rows(simhash.digest(simhash.near_copies(docs, bucket=bucket)), expected)
-    kept = simhash.one_of_each(docs, bucket=bucket)
+    kept = simhash.one_of_each(docs, similarity=None, bucket=bucket)
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
@@ -413,3 +443,52 @@ def test_pipeline_stages(spark, tmp_path):
     counts = steps["source mix"].groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert counts <= 3 and len(ids("byte pairs")) == len(ids("source mix"))
     assert steps["byte pairs"].where("size(ids) <> n_tokens").count() == 0
+
+
+def test_shingles_find_near_copies(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows, next_id = [], 0
+    for _ in range(40):  # a source and copies edited by themselves: alike to the source, less so to each other
+        base = [r.choice(vocabulary) for _ in range(r.randint(60, 400))]
+        copies = [base]
+        for _ in range(r.randint(0, 6)):
+            copy = base[:]
+            for _ in range(max(1, len(base) // 80)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            copies.append(copy)
+        for c in copies:
+            rows.append((next_id, " ".join(c)))
+            next_id += 1
+    rows += [(next_id, None), (next_id + 1, ""), (next_id + 2, "two words"), (next_id + 3, rows[0][1].upper())]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    expected = {i: find(i) for i in ids}
+    found = simhash._grouped_with_shingles(docs, simhash.near_copies(docs), 0.8)
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    assert got == expected
+    kept = simhash.one_of_each(docs)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(expected.values()))
+
+
+def test_leaders_give_no_pairs_of_pairs():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 32, (3, 100), dtype=np.uint32)
+    least = base[r.integers(0, 3, 500)]
+    least[r.random(least.shape) < 0.15] = 7
+    links = shingles.led(np.arange(500), least)
+    assert len(links) == 497 and len({b for _, b in links}) == 497
