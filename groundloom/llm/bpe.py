@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE, PIECE, ROWS = 300_000, 4096, 512
+#: Entries of each cache, bytes fed at a time, rows of a batch, places told apart in a pre-token.
+CACHE, PIECE, ROWS, NEAR = 400_000, 4096, 512, 24
 
 
 def default_vocabulary() -> str:
@@ -150,10 +151,12 @@ class Encoder:
             else:
                 self.right.append(((i, self.never),))
                 self.left.append(((i, self.never),))
+        # Lengths of the tokens with the same last bytes, longest first; and those of them that fit, by place.
         sizes: dict[bytes, set[int]] = {}
         for t in tokens:
-            sizes.setdefault(t[-2:], {1}).add(len(t))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
+            sizes.setdefault(t[-3:], set()).add(len(t))
+        self.sizes = sizes
+        self.fitting: list[dict[bytes, tuple]] = [{} for _ in range(NEAR + 1)]
         self.known: dict[int, bool] = {}
         self.reset()
 
@@ -181,11 +184,23 @@ class Encoder:
             else:
                 j += 1
 
+    def lengths(self, end: bytes, stop: int) -> tuple[int, ...]:
+        """How long a token that ends with these (up to three) bytes at stop may be, longest first."""
+        found = set().union(*(self.sizes.get(end[-n:], ()) for n in (1, 2, 3)))
+        return tuple(sorted((n for n in found if n <= stop or stop >= NEAR), reverse=True))
+
     def feed(self, more: bytes) -> list[int]:
         at, self.text = len(self.text), self.text + more
-        text, heads, place, sizes, known = self.text, self.heads, self.place, self.sizes, self.known
+        text, heads, place, known = self.text, self.heads, self.place, self.known
         for stop in range(at + 1, len(text) + 1):
-            for n in sizes.get(text[max(0, stop - 2) : stop], (1,)):
+            end = text[max(0, stop - 3) : stop]
+            fitting = self.fitting[min(stop, NEAR)]
+            sizes = fitting.get(end)
+            if sizes is None:
+                if len(fitting) >= CACHE // NEAR:
+                    fitting.clear()
+                sizes = fitting[end] = self.lengths(end, stop)
+            for n in sizes:
                 begin = stop - n
                 if begin < 0 or (token := place.get(text[begin:stop])) is None:
                     continue
@@ -238,13 +253,17 @@ class Encoder:
 
 
 class Pieces(dict):
-    """Ids of each pre-token, as bytes of int32; bounded."""
+    """Ids of each pre-token, as bytes of int32; bounded: when full, what wasn't used since it was last full goes."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.encoder = Encoder(vocabulary)
 
     def __missing__(self, piece: str) -> bytes:
+        if (out := self.older.get(piece)) is not None:
+            self[piece] = out
+            return out
         text, encoder = piece.encode(), self.encoder
         if (token := encoder.place.get(text)) is not None:  # it encodes to itself
             ids = [encoder.ids[token]]
@@ -256,6 +275,7 @@ class Pieces(dict):
         out = array("i", ids).tobytes()
         if len(text) <= 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
