@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of keys over which weights are summed up.
+BUCKETS = 1024
+
+
 def eligible(df: DataFrame, min_cover: float) -> tuple[DataFrame, DataFrame]:
     """Candidates that pass every test, and one row of what each test costs; tests on absent columns are skipped."""
     tests = {"min_cover": F.col("mean_tcd") >= min_cover}
@@ -109,13 +113,22 @@ def stratified_split(df: DataFrame, key: str, stratum: str, shares: tuple[float,
 
 
 def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
-    """n draws with replacement by weight: turn, key. Draws are looked up in ranges of the running weight."""
-    total = Window.orderBy(key)
-    runs = df.select(key, F.sum(weight).over(total).alias("_to"), F.col(weight).alias("_w")).withColumn("_from", F.col("_to") - F.col("_w"))
-    whole = df.agg(F.sum(weight).alias("_all"))
-    hits = df.sparkSession.range(n).select(F.col("id").alias("turn"), F.rand(seed).alias("_u")).crossJoin(F.broadcast(whole))  # one row
+    """n draws with replacement by weight: turn, key. Rows of no or negative weight are never drawn.
+
+    Running weights are built in two steps, within buckets of the keys' hashes
+    and over the buckets' sums, so that no task holds all rows; a draw looks up
+    its bucket among the sums, which are few, and its row within the bucket.
+    """
+    rows = df.where(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("_w"), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b"))
+    inside = rows.withColumn("_to", F.sum("_w").over(Window.partitionBy("_b").orderBy(key)))
+    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
+    over = Window.orderBy("_b")
+    sums = sums.select("_b", F.sum("_s").over(over).alias("_high"), F.coalesce(F.sum("_s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_low"), F.sum("_s").over(Window.partitionBy()).alias("_all"))
+    hits = df.sparkSession.range(n).select(F.col("id").alias("turn"), F.rand(seed).alias("_u"))
     at = F.col("_u") * F.col("_all")
-    return hits.join(runs, (at >= F.col("_from")) & (at < F.col("_to"))).select("turn", key)
+    hits = hits.join(F.broadcast(sums), (at >= F.col("_low")) & (at < F.col("_high"))).select("turn", "_b", (at - F.col("_low")).alias("_at"))  # BUCKETS rows at most
+    met = hits.join(inside, "_b").where((F.col("_at") >= F.col("_to") - F.col("_w")) & (F.col("_at") < F.col("_to")))
+    return met.select("turn", key)
 
 
 def boxes_around(points: DataFrame, size_m: float) -> DataFrame:
