@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each cache, bytes fed at a time, rows of a batch, places told apart in a pre-token.
-CACHE, PIECE, ROWS, NEAR = 400_000, 4096, 512, 24
+CACHE, PIECE, ROWS, NEAR = 250_000, 4096, 256, 24
 
 
 def default_vocabulary() -> str:
@@ -197,7 +197,7 @@ class Encoder:
             fitting = self.fitting[min(stop, NEAR)]
             sizes = fitting.get(end)
             if sizes is None:
-                if len(fitting) >= CACHE // NEAR:
+                if len(fitting) >= CACHE // (4 * NEAR):
                     fitting.clear()
                 sizes = fitting[end] = self.lengths(end, stop)
             for n in sizes:

@@ -32,6 +32,8 @@ BANDS, ROWS = 20, 5
 RESEMBLES = 0.6
 #: Nodes of one bucket led in one task (400 bytes each); a larger bucket is led in parts.
 BUCKET = 200_000
+#: Sets held by a task at a time.
+SLICE = 256
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -66,9 +68,12 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 def described(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sets = [shingle_set(t, width) for t in f["text"]]
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "mark": f["mark"], "node": nodes, "least": [least_hashes(s).tobytes() for s in sets]})
+            nodes, least = [], []
+            for t in f["text"]:  # one set at a time
+                hashes = shingle_set(t, width)
+                nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63))
+                least.append(least_hashes(hashes).tobytes())
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "mark": f["mark"], "node": nodes, "least": least})
 
     return run
 
@@ -124,7 +129,9 @@ def leaders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sets_of(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"node": f["node"], "hashes": [shingle_set(t, width).view(np.int64) for t in f["text"]]})
+            for at in range(0, len(f), SLICE):
+                some = f.iloc[at : at + SLICE]
+                yield pd.DataFrame({"node": some["node"], "hashes": [shingle_set(t, width).view(np.int64) for t in some["text"]]})
 
     return run
 
