@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundloom.llm.common import tidy
+
 #: Entries of each cache, bytes fed at a time, rows of a batch, places told apart in a pre-token.
-CACHE, PIECE, ROWS, NEAR = 250_000, 4096, 256, 24
+CACHE, PIECE, ROWS, NEAR = 200_000, 4096, 256, 24
 
 
 def default_vocabulary() -> str:
@@ -336,7 +338,7 @@ def _over(df: DataFrame, rest: list[str], reads: str, adds: str, schema, step):
             made = step(batch.column(reads))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, *adds.split()])
 
-    return df.select(*(f"`{c}`" for c in rest), reads).mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in rest), reads).mapInArrow(tidy(run), schema)
 
 
 def _ids(texts: pa.Array, source: str) -> tuple[pa.ListArray, list[bytes]]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import as_text, cut, kept, own
+from groundloom.llm.common import as_text, cut, kept, own, tidy
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -144,13 +144,13 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     read; an empty table gives empty tables.
     """
     rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
-    found = kept(rows.mapInPandas(described(width), "doc_id bigint, mark bigint, node bigint, least binary"), "shingles")
+    found = kept(rows.mapInPandas(tidy(described(width)), "doc_id bigint, mark bigint, node bigint, least binary"), "shingles")
     nodes = found.groupBy("node").agg(F.min("least").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"))
-    keys = nodes.select("node", "least").mapInPandas(band_keys, "node bigint, key bigint")
+    keys = nodes.select("node", "least").mapInPandas(tidy(band_keys), "node bigint, key bigint")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = kept(keys.join(shared, "key"), "bands")
     marks = nodes.select("node", "least")
-    deal = lambda some: some.join(marks, "node").repartition("key").sortWithinPartitions("key", "node").mapInPandas(leaders, "a bigint, b bigint")
+    deal = lambda some: some.join(marks, "node").repartition("key").sortWithinPartitions("key", "node").mapInPandas(tidy(leaders), "a bigint, b bigint")
     # A bucket too large for one task is led in parts; then the parts' leaders meet under the whole bucket's key.
     part = F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BUCKET))).otherwise(F.lit(0))
     few = kept(deal(met.select("node", F.xxhash64("key", part).alias("key"))), "led")
@@ -161,7 +161,7 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ones = nodes.join(wanted, "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
     read = rows.join(ones, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
-    sets = kept(read.mapInPandas(sets_of(width), "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = kept(read.mapInPandas(tidy(sets_of(width)), "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import as_text, cut, own
+from groundloom.llm.common import as_text, cut, own, tidy
 from groundloom.llm.components import components
 from groundloom.llm.shingles import SIMILARITY, similar_texts
 
@@ -182,10 +182,10 @@ def midpoints(prints: DataFrame) -> DataFrame:
 
 def print_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: links that span the components of distinct prints."""
-    keys = prints.mapInPandas(keyed, "print bigint, key bigint")
+    keys = prints.mapInPandas(tidy(keyed), "print bigint, key bigint")
     hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
     usual = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "print")
-    few = usual.mapInPandas(linked, "a bigint, b bigint")
+    few = usual.mapInPandas(tidy(linked), "a bigint, b bigint")
     many = midpoints(keys.join(hot, "key", "left_semi").select("print").distinct())
     return few.unionByName(many)
 
