@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from groundloom.llm.common import tidy
 
 #: Entries of each cache, bytes fed at a time, rows of a batch, places told apart in a pre-token.
-CACHE, PIECE, ROWS, NEAR = 200_000, 4096, 256, 24
+CACHE, PIECE, ROWS, NEAR = 300_000, 4096, 256, 24
+#: Ends of tokens kept for each place; fewer would be worked out again and again.
+ENDS = 16_000
 
 
 def default_vocabulary() -> str:
@@ -199,7 +201,7 @@ class Encoder:
             fitting = self.fitting[min(stop, NEAR)]
             sizes = fitting.get(end)
             if sizes is None:
-                if len(fitting) >= CACHE // (4 * NEAR):
+                if len(fitting) >= ENDS:
                     fitting.clear()
                 sizes = fitting[end] = self.lengths(end, stop)
             for n in sizes:
