@@ -2,16 +2,18 @@
 
 A page is read as lines: one for each block of text, menus and footers included,
 each with a mark that says whether markup already names it boilerplate. Pages of
-a host are put in order of their URL path, and each is paired with its nearest
-neighbours in that order. The lines of a pair are aligned by longest common
-subsequence; lines they share are the host's, not the page's, and are deleted. Two things stay:
-the lines of an article that markup names, since articles quote one another
-(deleting these would cut one page in fourteen of the test tables), and pages
-nine tenths of whose text is shared, which are copies of one article.
+a host are put in order of their URL path (of pages alike in all lines, the first
+stands for all), and each is aligned, by longest common subsequence of lines, with
+the nearest two pages on either side that are no copies of it. Pages are copies
+where nine tenths of either's text is shared. Lines shared with a neighbour are
+the host's, not the page's, and are deleted. Inside an article that markup names,
+a line needs more evidence, since articles quote one another: it goes if two
+neighbours, whose articles differ from each other too, have it at the same place,
+counted from the first or the last line.
 
 Only hashes of lines travel to the neighbour. The order within a host is found
-on small rows: ranges of (host, path, page) are sorted apart, and only the first
-and last row of each range are looked at again to join them up.
+on small rows: ranges of (host, path, page) are sorted apart, and only the rows
+at the ends of each range are looked at again to join them up.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import cut
+from groundloom.llm.common import cut, kept
 from groundloom.llm.urls import url_parts
 
 # Element names and the words by which class, id and role name boilerplate.
@@ -117,8 +120,48 @@ def keys_of(lines: list[tuple[str, int]]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in lines]
 
 
-def shared_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Places of the lines of mine in a longest common subsequence with other.
+#: Cells of an alignment table; longer stretches are split first.
+CELLS = 4_000_000
+
+
+def _lengths(a: list[int], b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequence of a with each head of b, one row at a time."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for k in a:
+        step = np.where(b == k, row[:-1] + 1, 0)
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], step))
+    return row
+
+
+def _aligned(a: list[int], b: list[int], cells: int) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence. Large tables are halved (Hirschberg), so memory stays linear."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > cells and len(a) > 1:
+        half, other = len(a) // 2, np.array(b)
+        at = int(np.argmax(_lengths(a[:half], other) + _lengths(a[:half - 1:-1], other[::-1])[::-1]))
+        return _aligned(a[:half], b[:at], cells) + [(i + half, j + at) for i, j in _aligned(a[half:], b[at:], cells)]
+    table = [[0] * (len(b) + 1)]
+    for k in reversed(a):
+        below, row = table[-1], [0] * (len(b) + 1)
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if b[j] == k else max(below[j], row[j + 1])
+        table.append(row)
+    table.reverse()
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif table[i + 1][j] >= table[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def matches(mine: list[int], other: list[int], cells: int = CELLS) -> list[tuple[int, int]]:
+    """Places in mine and other of a longest common subsequence.
 
     Common heads and tails are in any such subsequence; a table is needed only
     for what lies between.
@@ -132,29 +175,14 @@ def shared_lines(mine: list[int], other: list[int]) -> list[int]:
         tail += 1
     both = set(mine[head : n - tail]) & set(other[head : m - tail])
     a = [(i, k) for i, k in enumerate(mine[head : n - tail], head) if k in both]
-    b = [k for k in other[head : m - tail] if k in both]
-    between: list[int] = []
-    if len(a) * len(b) > 4_000_000:  # very long pages: matching blocks in order, still a common subsequence
-        for block in SequenceMatcher(None, [k for _, k in a], b, autojunk=False).get_matching_blocks():
-            between += [a[i][0] for i in range(block.a, block.a + block.size)]
-    elif a:
-        table = [[0] * (len(b) + 1)]
-        for _, k in reversed(a):
-            below, row = table[-1], [0] * (len(b) + 1)
-            for j in range(len(b) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if b[j] == k else max(below[j], row[j + 1])
-            table.append(row)
-        table.reverse()
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if a[i][1] == b[j]:
-                between.append(a[i][0])
-                i, j = i + 1, j + 1
-            elif table[i + 1][j] >= table[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    return [*range(head), *between, *range(n - tail, n)]
+    b = [(j, k) for j, k in enumerate(other[head : m - tail], head) if k in both]
+    between = [(a[i][0], b[j][0]) for i, j in _aligned([k for _, k in a], [k for _, k in b], cells)]
+    return [*((i, i) for i in range(head)), *between, *((n - i, m - i) for i in range(tail, 0, -1))]
+
+
+def shared_lines(mine: list[int], other: list[int]) -> list[int]:
+    """Places of the lines of mine in a longest common subsequence with other."""
+    return [i for i, _ in matches(mine, other)]
 
 
 def own_place(lines: list[tuple[str, int]]) -> int:
@@ -164,18 +192,15 @@ def own_place(lines: list[tuple[str, int]]) -> int:
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
     place = own_place(lines)
-    inside = [i for i, (_, p) in enumerate(lines) if p == place]
-    if place == 2:  # an article may quote a line of another page; it stays whole
-        shared = set()
-    size = sum(len(lines[i][0]) for i in inside)
-    if 10 * sum(len(lines[i][0]) for i in inside if i in shared) > 9 * size:  # copies of one article, not of one template
-        shared = set()
-    return "\n\n".join(lines[i][0] for i in inside if i not in shared)
+    return "\n\n".join(t for i, (t, p) in enumerate(lines) if p == place and i not in shared)
 
 
-#: A page as its neighbours see it.
-SEEN = "page_id bigint, mark bigint, host string, path string, keys array<bigint>, open boolean"
-DIFF = "page_id bigint, mark bigint, shared array<int>, part int, side int, host string, keys array<bigint>, open boolean"
+#: Neighbours on either side; neighbours that must share a line of a named article.
+NEAR, SEVERAL = 2, 2
+#: A page as its neighbours see it: the hashes of its lines, and the length of those to return (others 0). form is a hash of both.
+SEEN = "page_id bigint, mark bigint, host string, path string, form bigint, keys array<bigint>, sizes array<int>, needs int"
+#: Lines shared with a neighbour (end false), or a page at the end of its range with the neighbours it has.
+DIFF = "host string, path string, form bigint, part int, end boolean, shared array<int>, keys array<bigint>, sizes array<int>, needs int, before int, after int"
 
 
 def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,67 +208,118 @@ def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for r in f.itertuples(index=False):
             lines = lines_of(r.html)
-            out.append((r.page_id, r.mark, r.host, r.path, keys_of(lines), own_place(lines) == 1))
-        yield pd.DataFrame(out, columns=["page_id", "mark", "host", "path", "keys", "open"]).astype({"page_id": "Int64"})
+            place, keys = own_place(lines), keys_of(lines)
+            sizes = [len(t) if p == place else 0 for t, p in lines]
+            form = xxhash.xxh3_64_intdigest(np.array(keys + sizes, np.int64).tobytes()) - (1 << 63)
+            out.append((r.page_id, r.mark, r.host, r.path, form, keys, sizes, SEVERAL if place == 2 else 1))
+        yield pd.DataFrame(out, columns=["page_id", "mark", "host", "path", "form", "keys", "sizes", "needs"]).astype({"page_id": "Int64"})
+
+
+class Page:
+    __slots__ = ("host", "path", "form", "part", "keys", "sizes", "needs", "before", "after")
+
+    def __init__(self, r) -> None:
+        self.host, self.path, self.form, self.part, self.needs = r.host, r.path, r.form, r.part, r.needs
+        self.keys, self.sizes, self.before, self.after = list(r.keys), list(r.sizes), r.before, r.after
+
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """The number of each line to return, from the first and from the last."""
+        own = [i for i, n in enumerate(self.sizes) if n]
+        return {i: (k, len(own) - k) for k, i in enumerate(own)}
+
+    def loses(self, places: list[int]) -> tuple:
+        return (self.host, self.path, self.form, self.part, False, places, None, None, self.needs, 0, 0)
+
+    def at_end(self) -> tuple:
+        return (self.host, self.path, self.form, self.part, True, None, self.keys, self.sizes, self.needs, self.before, self.after)
+
+
+def _pair(a: Page, b: Page) -> tuple[bool, list[int], list[int]]:
+    """Whether two pages are copies, and the lines to return that each shares with the other."""
+    both = matches(a.keys, b.keys)
+    mine, its = [i for i, _ in both if a.sizes[i]], [j for _, j in both if b.sizes[j]]
+    copies = any(10 * sum(x.sizes[i] for i in s) > 9 * sum(x.sizes) for x, s in ((a, mine), (b, its)))
+    if not copies and SEVERAL in (a.needs, b.needs):
+        x, y = a.ranks(), b.ranks()
+        fixed = [(i, j) for i, j in both if i in x and j in y and (x[i][0] == y[j][0] or x[i][1] == y[j][1])]
+        mine = [i for i, _ in fixed] if a.needs == SEVERAL else mine
+        its = [j for _, j in fixed] if b.needs == SEVERAL else its
+    return copies, mine, its
+
+
+def _walk(pages: Iterator[Page], inner: bool) -> Iterator[tuple]:
+    """Rows of DIFF for pages in order. inner: one range; else the ends of all ranges, whose pages have met those of their own range."""
+    # Runs of copies, the last touched at the end: the last page of each, and its pages that wait for later neighbours.
+    live: list[tuple[Page, list[Page]]] = []
+    host = first = None
+    heads: list[Page] = []
+    starts = 0
+    for r in pages:
+        if r.host != host:
+            host, live = r.host, []
+            first = first or host
+        waiting: list[Page] = []
+        others = []
+        for last, waits in reversed(live):
+            copies, mine, its = _pair(last, r)
+            if copies:
+                waiting += waits
+                continue
+            others.append((last, waits, mine))
+            if r.before < NEAR and (inner or last.part != r.part):
+                r.before += 1
+                yield r.loses(its)
+        if len(others) == len(live):  # a new run; the pages that wait have met all others
+            starts += 1
+            for last, waits, mine in others:
+                for x in waits:
+                    if inner or x.part != r.part:
+                        x.after += 1
+                        yield x.loses(mine if x is last else _pair(x, r)[1])
+                waits[:] = [x for x in waits if x.after < NEAR]
+            heads += [r] * (host == first and (starts <= NEAR + 1 or r.before < NEAR))
+        else:
+            heads += [r] * (host == first and r.before < NEAR)
+        others.reverse()
+        live = [(last, waits) for i, (last, waits, _) in enumerate(others) if waits or len(others) - i <= NEAR]
+        live.append((r, [*waiting, *[r] * (r.after < NEAR)]))
+    if inner:
+        ends = [*heads, *(x for last, waits in live for x in (last, *waits))]
+        yield from (x.at_end() for x in {id(x): x for x in ends}.values())
+
+
+def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[Page]:
+    for f in frames:
+        yield from map(Page, f.itertuples(index=False))
 
 
-def _pair(a, b) -> tuple[list[int], list[int]]:
-    """Shared lines of two neighbours, each where it can lose any."""
-    if a.host != b.host or not a.host or not (a.open or b.open):
-        return [], []
-    x, y = list(a.keys), list(b.keys)
-    return shared_lines(x, y) if a.open else [], shared_lines(y, x) if b.open else []
+def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    names = ["host", "path", "form", "part", "end", "shared", "keys", "sizes", "needs", "before", "after"]
+    while out := list(islice(rows, 2000)):
+        yield pd.DataFrame(out, columns=names)
 
 
 def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row with the one before; rows come sorted. The first (side 0) and last (side 1) are given again for the next range."""
-
-    def row(r, shared: list[int], side: int | None = None) -> tuple:
-        return (r.page_id, r.mark, shared, r.part, side, r.host, list(r.keys) if side is not None else None, r.open)
-
-    last = None
-    for f in frames:
-        out = []
-        for r in f.astype({"page_id": "Int64"}).itertuples(index=False):
-            if last is None:
-                out.append(row(r, [], 0))
-            else:
-                mine, its = _pair(last, r)
-                out += [row(last, mine)] * bool(mine) + [row(r, its)] * bool(its)
-            last = r
-        yield _frame(out)
-    if last is not None:
-        yield _frame([row(last, [], 1)])
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["page_id", "mark", "shared", "part", "side", "host", "keys", "open"]
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "mark": "int64", "part": "Int32", "side": "Int32", "open": "boolean"})
+    yield from _frames(_walk(_pages(frames), True))
 
 
 def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last row of a range with the first row of the next."""
-    for f in frames:
-        out = []
-        for r in f.itertuples(index=False):
-            a, b = (pd.Series(x) for x in (r.a, r.b))
-            mine, its = _pair(a, b)
-            out += [(a.page_id, a.mark, mine)] * bool(mine) + [(b.page_id, b.mark, its)] * bool(its)
-        yield pd.DataFrame(out, columns=["page_id", "mark", "shared"]).astype({"page_id": "Int64", "mark": "int64"})
+    yield from _frames(_walk(_pages(frames), False))
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """page_id, mark, shared: for pages that can lose lines, the places of those shared with a neighbour."""
-    rows = pages.mapInPandas(seen, SEEN)
-    order = ["host", "path", "page_id", "mark"]
-    ranges = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    diff = ranges.withColumn("part", F.spark_partition_id()).mapInPandas(compared, DIFF)
-    inner = diff.where(F.size("shared") > 0).select("page_id", "mark", "shared")
-    ends = diff.where(F.col("side").isNotNull())  # two rows a range
-    me = F.struct("page_id", "mark", "host", "keys", "open")
-    pairs = ends.select("side", me.alias("a"), F.lead(me).over(Window.orderBy("part", "side")).alias("b")).where("side = 1 and b is not null")
-    both = inner.unionByName(pairs.select("a", "b").mapInPandas(across, "page_id bigint, mark bigint, shared array<int>"))
-    return both.groupBy("page_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+    """page_id, mark, shared: for pages that lose lines, the places of those."""
+    rows = kept(pages.mapInPandas(seen, SEEN), "seen")
+    forms = rows.where(F.col("host") != "").groupBy("host", "form").agg(F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("keys", "sizes", "needs")))
+    order = ["host", "path", "form"]
+    ranges = cut(forms.repartitionByRange(*order).sortWithinPartitions(*order))
+    none = F.lit(0).alias("before"), F.lit(0).alias("after")
+    diff = kept(ranges.select("*", F.spark_partition_id().alias("part"), *none).mapInPandas(compared, DIFF), "diff")
+    ends = diff.where("end").repartition(1).sortWithinPartitions(*order)  # a few rows a range
+    found = diff.where("not end").unionByName(ends.mapInPandas(across, DIFF)).select("host", "form", "needs", F.explode("shared").alias("line"))
+    lines = found.groupBy("host", "form", "needs", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= needs")
+    gone = lines.groupBy("host", "form").agg(F.collect_list("line").alias("shared"))
+    return rows.join(gone, ["host", "form"]).select("page_id", "mark", "shared").dropDuplicates(["page_id", "mark"])
 
 
 def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,9 +336,8 @@ def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.
 
     A null html gives an empty text. Pages whose url is null or has no host have
-    no neighbours. Repeated rows give repeated results (a copy of a page is its
-    own neighbour, and loses nothing to it). Ties of host and path are ordered by
-    page_id. An empty table gives no rows; only page_id, url and html are read.
+    no neighbours. Repeated rows give repeated results; copies of a page are no
+    neighbours of it. Ties of host and path are ordered by a hash of the lines. An empty table gives no rows; only page_id, url and html are read.
     A hot host is sorted over as many ranges as it needs.
     """
     host, path = url_parts(F.col("url"))

@@ -1,5 +1,6 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -374,6 +375,49 @@ def test_neighbours_lose_what_they_share(spark):
         assert all(got[500 + i] == "The very same page of 9" for i in range(3))
 
 
+def test_articles_lose_what_two_different_neighbours_share(spark):
+    share = "<p>Read our newsletter for more of this</p>"
+    page = lambda i: f"<article>{share}<p>Story number {i} with words of its own, {i * 7}</p>{f'<p>A passage quoted by pages {i // 2}</p>' if i < 30 else ''}</article>"
+    rows = [(i, f"http://a.b/x/{i:03d}", page(i)) for i in range(60)]
+    # Copies on all sides of a page neither hide its other neighbours nor count as several.
+    rows += [(100 + i, f"http://a.b/x/020{'a' * i}", page(20)) for i in range(1, 6)]
+    rows += [(200 + i, f"http://e.f/{i // 9}{i % 9}", f"<article>{share}<p>{'Long story of its own ' * 40}{i // 9}</p><p>{'' if i % 9 else 'First'} copy {i % 9}</p></article>") for i in range(18)]
+    for parts in (1, 7):
+        got = html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).toPandas().set_index("page_id").text
+        own = lambda i: f"Story number {i} with words of its own, {i * 7}" + (f"\n\nA passage quoted by pages {i // 2}" if i < 30 else "")
+        assert all(got[i] == own(i) for i in range(60))
+        assert all(got[100 + i] == own(20) for i in range(1, 6))
+        assert all("newsletter" in got[200 + i] for i in range(18))  # one other article is too little evidence
+
+
+def test_ends_of_ranges_meet():
+    def run(parts):
+        diff = [r for k, p in enumerate(parts) for r in html_main._walk((html_main.Page(SimpleNamespace(host="h", path="", form=i, part=k, keys=keys, sizes=[9] * len(keys), needs=2, before=0, after=0)) for i, keys in p), True)]
+        ends = sorted((r for r in diff if r[4]), key=lambda r: r[2])
+        names = ["host", "path", "form", "part", "end", "shared", "keys", "sizes", "needs", "before", "after"]
+        more = html_main._walk((html_main.Page(SimpleNamespace(**dict(zip(names, r, strict=True)))) for r in ends), False)
+        return sorted((r[2], r[5]) for r in [*(r for r in diff if not r[4]), *more])
+
+    r = random.Random(8)
+    for _ in range(40):
+        pages = [(i, [1, 2, *[100 + r.randint(0, 1) if r.random() < 0.1 else 1000 + i * 10 + j for j in range(3)]]) for i in range(12)]
+        pages = [p if r.random() < 0.7 or not p[0] else (p[0], pages[p[0] - 1][1]) for p in pages]
+        cuts = sorted(r.sample(range(1, 12), 3))
+        parts = [pages[a:b] for a, b in zip([0, *cuts], [*cuts, 12], strict=True)]
+        assert run([pages]) == run(parts)
+
+
+@pytest.mark.parametrize("cells", [1, 10, 60])
+def test_halved_alignments_are_as_long(cells):
+    r = random.Random(7)
+    for _ in range(100):
+        a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 30))] for _ in "ab")
+        got = html_main.matches(a, b, cells)
+        assert got == sorted(got) and all(a[i] == b[j] for i, j in got)
+        assert all(x < z and y < w for (x, y), (z, w) in zip(got, got[1:]))
+        assert len(got) == len(html_main.matches(a, b))
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(200):
