@@ -6,9 +6,9 @@ more than ``share`` of a host's distinct documents (and in more than ``least``
 of them) is boilerplate there; a document of whose words under ``keep_percent``
 are left without such lines is depleted and is rejected.
 
-Copies of one document must not make its lines look like boilerplate, so a
-host's documents are counted by their signature, the longest word (of equal
-ones the last in byte order): copies with a few edits share it and count once.
+Exact copies of one document must not make its lines look like boilerplate, so
+a host's documents are counted by their signature, a hash of the whole text as
+lines are compared.
 Only hashes and counts of lines are shuffled, never texts.
 """
 
@@ -92,13 +92,10 @@ def text_measures(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, mark, host, signature, pos, line (a hash), n (its words): each line with a word."""
     text = F.col("text")
-    # The longest words first, then the last of them: two passes of numbers and strings, no structs.
-    size = lambda w: F.array_max(F.transform(w, lambda x: F.length(x)))
-    longest = bound(words(text), lambda w: bound(size(w), lambda n: F.array_max(F.filter(w, lambda x: F.length(x) == n))))
     low = F.lower(text)
     even = F.btrim(F.when(text.rlike("[\t\x0b\x0c\r]|  "), F.regexp_replace(low, "[ \t\x0b\x0c\r]+", " ")).otherwise(low))
     # In two steps: what stands beside an explode is computed again for each of its rows.
-    whole = docs.select("doc_id", "mark", "host", F.xxhash64(longest).alias("signature"), F.split(even, " ?\n ?").alias("lines"))
+    whole = docs.select("doc_id", "mark", "host", F.xxhash64(even).alias("signature"), F.split(even, " ?\n ?").alias("lines"))
     cut = whole.select("doc_id", "mark", "host", "signature", F.posexplode("lines").alias("pos", "line"))
     return cut.where(F.col("line") != "").select("doc_id", "mark", "host", "signature", "pos", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).alias("n"))
 

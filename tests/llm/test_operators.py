@@ -155,6 +155,15 @@ def test_depleted_documents_go_and_copies_are_one(spark):
     assert got.kept[got.index >= 100].all()
 
 
+def test_a_common_line_may_hold_the_longest_word(spark):
+    line = "see https://example.org/a/long/address/that/all/pages/of/the/host/repeat for the terms of use of this page and of all the others that stand beside it and are found here"
+    rows = [(i, f"{line}\nown{i}", "s") for i in range(60)] + [(100, " ".join(f"w{i}" for i in range(40)), "s")]
+    rows += [(200 + i, f"{line.replace('here', 'there')}\nown", "s") for i in range(60)]  # exact copies count once
+    got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().set_index("doc_id")
+    assert not got.kept[got.index < 100].any() and (got.n_left_words[got.index < 100] == 1).all()
+    assert got.kept[got.index >= 100].all()
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme.com/": ("", "", None, "allow"), "http://a.COM": ("a.com", "", None, "allow"), "http://a.com/": ("a.com", "/", "com/", "allow"),
