@@ -6,12 +6,13 @@ a word t within ``reach`` words of it on the same line,
 
     disclosure = log2(P(e | t) / P(e)) / log2(1 / P(e))
 
-is the part of e's surprisal that t takes away. P(e) is the share of documents
-that hold e; P(e | t) the distinct contexts of e with t over the documents that
-hold t, counted over the whole corpus. Words at or above ``threshold`` with at
+is the part of e's surprisal that t takes away. P(e) is the share of distinct
+texts that hold e; P(e | t) the share of those with t, anywhere, that hold e too.
+Words at or above ``threshold`` with at
 least ``support`` distinct contexts are reported next to that identifier; in
 sanitised text they are generalised where common elsewhere, else removed.
-Copies of one context count once, so copied documents disclose nothing new.
+Copies of one text or context count once, so they disclose nothing new and hide
+nothing either.
 """
 
 from __future__ import annotations
@@ -56,12 +57,20 @@ def base_parts(text: Column) -> dict[str, Column]:
     }
 
 
+def _hits() -> Column:
+    named = lambda kind: F.transform(F.col(kind), lambda s: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("begin"), s["begin"], F.lit("stop"), s["stop"], F.lit("hit"), s["hit"]))
+    return F.concat(*(named(k) for k in RANKS if k != "term"))
+
+
+def holders_of(docs: DataFrame) -> DataFrame:
+    """entity, mark: the distinct texts that hold each identifier, with words near it or without."""
+    return docs.select("mark", F.explode(_hits()).alias("s")).select(F.concat_ws(":", "s.kind", F.lower("s.hit")).alias("entity"), "mark").distinct()
+
+
 def context_words(docs: DataFrame, reach: int) -> DataFrame:
     """doc_id, mark, entity, context, term, begin, stop: the words around each identifier."""
     text = F.col("text")
-    named = lambda kind: F.transform(F.col(kind), lambda s: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("begin"), s["begin"], F.lit("stop"), s["stop"], F.lit("hit"), s["hit"]))
-    hits = F.concat(*(named(k) for k in RANKS if k != "term"))
-    each = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select("doc_id", "mark", "text", F.explode(hits).alias("s"))
+    each = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select("doc_id", "mark", "text", F.explode(_hits()).alias("s"))
     before = F.substring_index(F.substring(text, 1, F.col("s.begin").cast("int")), "\n", -1)
     after = F.substring_index(F.substring(text, (F.col("s.stop") + 1).cast("int"), F.length(text)), "\n", 1)
     each = each.select("doc_id", "mark", F.concat_ws(":", "s.kind", F.lower("s.hit")).alias("entity"), F.col("s.begin").alias("b"), F.col("s.stop").alias("e"), before.alias("before"), after.alias("after"))
@@ -79,15 +88,22 @@ def context_words(docs: DataFrame, reach: int) -> DataFrame:
     return each.where((F.length("term") >= MIN_LETTERS) & ~F.col("term").rlike("[0-9@]"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int, threshold: float) -> DataFrame:
-    """entity, term: the words that give an identifier away, from counts over all documents."""
-    with_both = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    with_entity = near.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = with_both.select("term").distinct()
-    vocabulary = docs.select(F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))
+def disclosing(docs: DataFrame, near: DataFrame, holders: DataFrame, support: int, threshold: float) -> DataFrame:
+    """entity, term: the words that give an identifier away, from counts over all distinct texts."""
+    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts")).where(F.col("n_contexts") >= support).select("entity", "term")
+    with_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # Copies of one text are one; every count below is of distinct texts.
+    texts = docs.groupBy("mark").agg(F.first("text").alias("text"))
+    each = texts.select("mark", F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))
     # Sums come first: a frequent word is then one row of the join.
-    with_term = vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term", "left_semi")
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    with_term = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term", "left_semi")
+    told = holders.join(pairs.select("entity").distinct(), "entity", "left_semi")
+    held = docs.join(told.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+    held = held.select("mark", F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))
+    # A text's words meet its own identifiers, so a frequent identifier doesn't meet all its words in all texts.
+    both = held.join(pairs.select("term").distinct(), "term", "left_semi").join(told, "mark").join(pairs, ["entity", "term"], "left_semi")
+    with_both = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    total = docs.agg(F.countDistinct("mark").alias("n"))
     counts = with_both.join(with_entity, "entity").join(with_term, "term").crossJoin(F.broadcast(total))  # one row
     surprisal = F.log2(F.col("n") / F.col("n_entity"))
     gain = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) + surprisal
@@ -107,7 +123,7 @@ def find_personal(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, t
     kinds = base_parts(F.col("text"))
     parts = rows.select("doc_id", "mark", "text", *(c.alias(k) for k, c in kinds.items()))
     near = context_words(parts, reach)
-    terms = near.join(disclosing(rows, near, support, threshold), ["entity", "term"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("begin", F.lit(RANKS["term"]).alias("rank"), "stop", F.lit("term").alias("kind"))).alias("terms"))
+    terms = near.join(disclosing(rows, near, holders_of(parts), support, threshold), ["entity", "term"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("begin", F.lit(RANKS["term"]).alias("rank"), "stop", F.lit("term").alias("kind"))).alias("terms"))
     base = F.concat(*(labelled(F.col(k), k, RANKS[k]) for k in kinds))
     strong = parts.select("doc_id", "mark", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), base.alias("base"))
     on = strong["doc_id"].eqNullSafe(terms["doc_id"]) & (strong["mark"] == terms["mark"])

@@ -120,6 +120,25 @@ def test_personal_data(docs):
         assert TEXTS[int(r.doc_id)][a:b] in ("Zanzibarius", "reaches")
 
 
+def test_copies_hide_no_disclosure(spark):
+    rows = [(i, f"{w} wrote from q@r.st about the {i}th matter") for i, w in enumerate(["Quixotina today", "Then Quixotina", "Later on Quixotina"])]
+    rows += [(10 + i, rows[0][1]) for i in range(200)]
+    rows += [(300 + i, f"plain text number {i}") for i in range(300)]
+    got = pii.digest(pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).toPandas().set_index("doc_id").spans
+    for i, text in rows[:203]:
+        assert f"term:{text.index('Quixotina')}:{text.index('Quixotina') + 9}" in got[i].split(",")
+    assert not got[got.index >= 300].any()
+
+
+def test_words_elsewhere_in_the_text_count(spark):
+    # The name stands beside the address three times, else on another line of a text that holds the address.
+    rows = [(i, f"note {i} by Quixotina at q@r.st now" if i < 3 else f"by Quixotina again {i}\n\nq@r.st\n") for i in range(30)]
+    rows += [(300 + i, f"plain text number {i}") for i in range(70)]
+    got = pii.digest(pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).toPandas().set_index("doc_id").spans
+    for i, text in rows[:3]:
+        assert f"term:{text.index('Quixotina')}:{text.index('Quixotina') + 9}" in got[i].split(",")
+
+
 def test_quality(docs):
     got = quality.judge_quality(docs, least=2).toPandas()
     assert len(got) == len(ROWS)
