@@ -40,26 +40,61 @@ def test_empty_tables(spark):
 
 @pytest.mark.parametrize("least, gram, group", [(400, 100, 20_000), (40, 10, 20_000), (40, 10, 1)])
 def test_repeats(docs, least, gram, group):
-    got = repeats.digest(repeats.drop_repeats(docs, least, gram, group))
+    got = repeats.digest(repeats.drop_repeats(docs, least, gram, group)).drop("n_passages")
     same_rows(got, [(r[0], *b) for r, b in zip(ROWS, brute_repeats(TEXTS, least), strict=True)])
 
 
-def test_repeat_groups_have_all_occurrences(docs):
+@pytest.mark.parametrize("group", [20_000, 3])
+def test_passages_are_reported_and_stay(spark, group):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, short, line = text(51), text(50), text(12)
+    assert repeats.PASSAGE <= len(passage) < 400
+    rows = [(i, f"{text(80)}. {(passage, short, line, text(60))[i % 4]} .{text(80)}") for i in range(24)]
+    rows += [(100, passage), (101, "x" + passage[1:]), (102, None)]
+    got = {r.doc_id: r for r in repeats.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group=group).collect()}
+    for i, t in rows:
+        assert got[i].spans == [] and got[i].kept == (t or "").encode()
+        assert got[i].n_passages == (i == 100 or i < 24 and i % 4 == 0)
+
+
+def test_reaches_agree_with_pairs():
+    for seed in range(30):
+        draw = random.Random(seed)
+        n = draw.choice([2, 3, 9, 40])
+        sides = [("".join(draw.choice("ab") for _ in range(draw.randint(0, 9))), "g" * 3 + "".join(draw.choice("ab") for _ in range(draw.randint(0, 7)))) for _ in range(n)]
+        sides.sort(key=lambda x: x[1])
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        left, n_left = repeats._matrix([a.encode() for a, _ in sides], 9)
+        right, n_right = repeats._matrix([b.encode() for _, b in sides], 10)
+        got = repeats.scan_group(left, n_left, right, n_right, (8, 5), 3)
+        for limit, (to_left, to_right) in zip((8, 5), got, strict=True):
+            for i, (a, b) in enumerate(sides):
+                met = [(common(a, c), common(b, d)) for j, (c, d) in enumerate(sides) if j != i]
+                # What is covered to the left and right is what pairs cover; only the longest of each side counts.
+                good = [(x, y) for x, y in met if x + y >= limit]
+                assert to_left[i] == max((x for x, _ in good), default=0)
+                assert to_right[i] == max((y for _, y in good), default=0)
+
+
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_repeat_groups_have_all_occurrences(docs, group):
     got: dict = {}
     raw = [(r[0], t.encode()) for r, t in zip(ROWS, TEXTS, strict=True)]
     by_id = dict(raw)
-    for r in repeats.repeat_groups(docs.where("length(text) < 2500"), 40, 10).collect():
+    for r in repeats.repeat_groups(docs.where("length(text) < 2500"), 40, 10, group).collect():
         got.setdefault(r.group, set()).add((r.doc_id, r.begin, r.stop))
     assert got
-    for group in got.values():
-        strings = {by_id[d][a:b] for d, a, b in group}
+    for places_ in got.values():
+        strings = {by_id[d][a:b] for d, a, b in places_}
         assert len(strings) == 1
         s = strings.pop()
         places = {(d, m.start(), m.start() + len(s)) for d, t in raw if len(t.decode()) < 2500 for m in re.finditer(b"(?=" + re.escape(s) + b")", t)}
-        assert len(s) >= 40 and group == places
+        assert len(s) >= 40 and places_ == places
     covered: dict = {}
-    for group in got.values():
-        for d, a, b in group:
+    for places_ in got.values():
+        for d, a, b in places_:
             covered.setdefault(d, set()).update(range(a, b))
     expected = {r.doc_id: r.n_removed for r in repeats.digest(repeats.drop_repeats(docs.where("length(text) < 2500"), 40, 10)).collect()}
     assert {d: len(c) for d, c in covered.items()} == {d: n for d, n in expected.items() if n}
