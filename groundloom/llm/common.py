@@ -95,6 +95,40 @@ def joined(spans: Column, by_rank: bool = False) -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])), ",")
 
 
+def whole_rows(docs: DataFrame, *mark: str) -> DataFrame:
+    """row (all columns), id, mark (a hash of the named columns): whatever docs' columns are called, they can't clash."""
+    values = [as_text(F.col("text")) if c == "text" else F.col(f"`{c}`") for c in mark]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*values).alias("mark"))
+
+
+def with_text(rows: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
+    """The columns of each row, with text where it has changed; n_chars, where present, follows the new text."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    old = {c: F.col("row").getField(c) for c in columns}
+    return rows.select(*(F.when(changed, new[c]).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in columns))
+
+
+def spliced(text: Column, spans: Column) -> Column:
+    """text with each span (begin, stop, put) replaced by put; of overlapping spans the first by begin gives put."""
+
+    def join(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["put"].alias("put"))
+        meets = (F.size(acc) > 0) & (s["begin"] < last["stop"])
+        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    none = F.array().cast("array<struct<begin:bigint,stop:bigint,put:string>>")
+    one = F.transform(spans, lambda s: F.struct(s["begin"].cast("long").alias("begin"), s["stop"].cast("long").alias("stop"), s["put"].alias("put")))
+    apart = F.aggregate(F.array_sort(one), none, lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(join(acc, s)))
+
+    def cut_up(a: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), F.transform(a, lambda s: s["stop"]))
+        piece = lambda s, i: F.concat(F.substring(text, (F.get(before, i) + 1).cast("int"), (s["begin"] - F.get(before, i)).cast("int")), s["put"])
+        return F.concat(F.array_join(F.transform(a, piece), ""), F.substring(text, (F.element_at(before, -1) + 1).cast("int"), F.length(text)))
+
+    return F.get(F.transform(F.array(apart), cut_up), F.lit(0))
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, then what the worker has freed goes back to the system: workers live on between tasks and stages."""
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import as_text, cut, n_words, own
+from groundloom.llm.common import as_text, cut, n_words, own, whole_rows
 
 #: The weights by rank of the source, repeating, and the most times a source is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -151,13 +151,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """docs as mixed: each row as often as it is taken."""
-    taken = mix(docs, **options).groupBy("doc_id", "mark").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
-    on = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(as_text(docs["text"])) == taken["_mark"])
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    alike = whole_rows(docs, "text").join(taken.where("copies > 0"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
     # Rows alike share their copies: each gives the whole part, the first ones one more.
-    order = Window.partitionBy("_id", "_mark").orderBy(F.lit(0))
-    alike = docs.join(taken, on).where("_copies > 0")
-    once = alike.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    more = alike.where("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(order) <= F.col("_copies") % F.col("_rows")).cast("long"))
-    both = once.unionByName(more).where("_n > 0")
-    return both.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    order = Window.partitionBy("of_id", "of_mark").orderBy(F.lit(0))
+    once = alike.where("rows = 1").select("row", F.col("copies").alias("n"))
+    more = alike.where("rows > 1").select("row", (F.floor(F.col("copies") / F.col("rows")) + (F.row_number().over(order) <= F.col("copies") % F.col("rows")).cast("long")).alias("n"))
+    both = once.unionByName(more).where("n > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

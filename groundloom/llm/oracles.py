@@ -52,17 +52,20 @@ _personal = " union all ".join(f"select * from {spans('d', 'doc_id', 'text', k,
 OP4 = f"""with {DOCS}, found as (select *, {_digits} as x from ({_personal})),
  base as (select doc_id, kind, rank, begin::bigint as begin, stop::bigint as stop, hit from found where kind = 'email' or (kind = 'ip' and list_max([ltrim(p, '0') = '' or (length(ltrim(p, '0')) <= 3 and ltrim(p, '0')::int <= 255) for p in string_split(hit, '.')]) and list_min([ltrim(p, '0') = '' or (length(ltrim(p, '0')) <= 3 and try_cast(ltrim(p, '0') as int) <= 255) for p in string_split(hit, '.')]))
   or (kind = 'card' and length(x) between 13 and 19 and {_luhn}) or (kind = 'phone' and length(x) between 9 and 15)),
- ctx as (select (doc_id, rank, begin) as id, doc_id, kind || ':' || lower(hit) as entity, begin, stop, regexp_extract(substr(text, 1, begin), '[^\\n]*\\z') as before, regexp_extract(substr(text, stop + 1), '^[^\\n]*') as after from base join d using (doc_id)),
- l as (select *, row_number() over (partition by id order by begin desc) as k from {spans('ctx', 'id', 'before', 'l', 0, WORD)}),
- r as (select *, row_number() over (partition by id order by begin) as k from {spans('ctx', 'id', 'after', 'r', 1, WORD)}),
+ ctx as (select (doc_id, rank, begin) as id, doc_id, text, kind || ':' || lower(hit) as entity, stop, greatest(begin - {pii.SPREAD}, 0) as edge, substr(text, greatest(begin - {pii.SPREAD}, 0) + 1, begin - greatest(begin - {pii.SPREAD}, 0)) as before, substr(text, stop + 1, {pii.SPREAD}) as after from base join d using (doc_id)),
+ l as (select x.*, row_number() over (partition by id order by begin desc) as k from {spans('ctx', 'id', 'before', 'l', 0, WORD)} x join ctx using (id) where edge = 0 or begin > 0),
+ r as (select x.*, row_number() over (partition by id order by begin) as k from {spans('ctx', 'id', 'after', 'r', 1, WORD)} x join ctx c using (id) where length(text) - c.stop <= {pii.SPREAD} or x.stop < {pii.SPREAD}),
  w as (select id, rank, begin::bigint as b, stop::bigint as e, hit from l where k <= {pii.REACH} union all select id, rank, begin::bigint, stop::bigint, hit from r where k <= {pii.REACH}),
  seen as (select id, string_agg(lower(hit), ' ' order by rank, b) as context from w group by id),
- near as (select doc_id, entity, context, lower(hit) as term, case when w.rank = 0 then c.begin - length(before) + b else c.stop + b end as begin, case when w.rank = 0 then c.begin - length(before) + e else c.stop + e end as stop
-  from w join seen using (id) join ctx c using (id) where length(lower(hit)) >= {pii.MIN_LETTERS} and not regexp_matches(lower(hit), '[0-9@]')),
- n_both as (select entity, term, count(distinct context) as n_both from near group by all having count(distinct context) >= {pii.SUPPORT}),
- n_entity as (select entity, count(distinct doc_id) as n_entity from near group by all),
- n_term as (select term, count(*) as n_term from (select unnest(list_distinct(regexp_extract_all(lower(text), {quoted(WORD)}))) as term from d) where term in (select term from n_both) group by all),
- told as (select entity, term from n_both join n_entity using (entity) join n_term using (term), (select count(*) as n from d) where n_entity < n and log2(least(1.0, n_both::double / n_term)) + log2(n::double / n_entity) >= {pii.THRESHOLD} * log2(n::double / n_entity)),
+ near as (select doc_id, entity, context, lower(hit) as term, case when w.rank = 0 then c.edge + b else c.stop + b end as begin, case when w.rank = 0 then c.edge + e else c.stop + e end as stop
+  from w join seen using (id) join ctx c using (id) where not regexp_matches(lower(hit), '[0-9@]')),
+ pairs as (select entity, term from near group by all having count(distinct context) >= {pii.SUPPORT}),
+ holds as (select distinct entity, text from ctx),
+ n_entity as (select entity, count(*) as n_entity from holds group by all),
+ says as (select text, unnest(list_distinct(regexp_extract_all(lower(text), {quoted(WORD)}))) as term from (select distinct text from d)),
+ n_term as (select term, count(*) as n_term from says where term in (select term from pairs) group by all),
+ n_both as (select entity, term, count(*) as n_both from pairs join holds using (entity) join says using (text, term) group by all),
+ told as (select entity, term from n_both join n_entity using (entity) join n_term using (term), (select count(distinct text) as n from d) where n_entity < n and log2(least(1.0, n_both::double / n_term)) + log2(n::double / n_entity) >= {pii.THRESHOLD} * log2(n::double / n_entity)),
  everything as (select doc_id, kind, rank, begin, stop from base union all select distinct doc_id, 'term', 4, begin, stop from near join told using (entity, term))
  select d.doc_id, {', '.join(f"(select count(*) from base b where b.doc_id = d.doc_id and kind = '{k}') as n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
   sha256(coalesce(x.s, '')) as base_sha256, coalesce(y.s, '') as spans
@@ -72,8 +75,8 @@ OP5 = f"""with {DOCS}, w as (select doc_id, source, text, regexp_extract_all(tex
  g as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w)),
  twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from g) where n > 1),
  covered as (select doc_id, sum(n)::bigint as n from (select doc_id, least(8, coalesce(lead(i) over (partition by doc_id order by i) - i, 8)) as n from twice) group by doc_id),
- longest as (select doc_id, max((length(x), x)) as signature from (select doc_id, unnest(w) as x from w) group by doc_id),
- lines as (select doc_id, source, signature, line, len(string_split(line, ' ')) as n from (select doc_id, source, trim(regexp_replace(unnest(string_split(lower(text), chr(10))), '[ \\t\\x0b\\x0c\\r]+', ' ', 'g')) as line from d) left join longest using (doc_id) where line <> ''),
+ even as (select doc_id, source, regexp_replace(lower(text), '[ \\t\\x0b\\x0c\\r]+', ' ', 'g') as even from d),
+ lines as (select doc_id, source, signature, line, len(string_split(line, ' ')) as n from (select doc_id, source, trim(even) as signature, trim(unnest(string_split(even, chr(10)))) as line from even) where line <> ''),
  hosts as (select source, count(distinct signature) as docs from lines group by source),
  often as (select c.source, line from (select source, line, count(distinct signature) as n from lines group by all) c join hosts on c.source is not distinct from hosts.source where n > {quality.LEAST} and n > {quality.SHARE} * docs),
  gone as (select doc_id, sum(n)::bigint as gone from lines where exists (select 1 from often o where o.line = lines.line and o.source is not distinct from lines.source) group by doc_id),

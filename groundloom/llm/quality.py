@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import WORD, as_text, kept, own, words
+from groundloom.llm.common import WORD, as_text, kept, own, whole_rows, with_text, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SHARE, LEAST, KEEP_PERCENT = 0.05, 20, 30
@@ -108,6 +108,20 @@ def common_lines(lines: DataFrame, share: float, least: int) -> DataFrame:
     return counts.join(hosts, "host").where(F.col("n") > share * F.col("docs")).select("host", "line")
 
 
+def _judged(docs: DataFrame, share: float, least: int, keep_percent: int) -> DataFrame:
+    rows = own(docs, "doc_id", "text", "source").withColumn("text", as_text(F.col("text")))
+    rows = rows.select("doc_id", "text", F.xxhash64("source").alias("host"), F.xxhash64("text", "source").alias("mark"))
+    lines = kept(lines_of(rows), "lines")  # read by three branches, computed once
+    common = common_lines(lines, share, least)
+    removed = lines.join(common, ["host", "line"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    m = text_measures(rows)
+    both = m.join(removed, m["doc_id"].eqNullSafe(removed["doc_id"]) & (m["mark"] == removed["mark"]), "left").select(m["*"], "gone")
+    n_gone = F.aggregate("gone", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    left = (F.col("n_words") - F.coalesce(n_gone, F.lit(0))).cast("long")
+    out = both.select(*m.columns, left.alias("n_left_words"), F.transform("gone", lambda x: x["pos"]).alias("gone"))
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_left_words") >= keep_percent * F.col("n_words")))
+
+
 def judge_quality(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """doc_id, mark, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left_words, kept.
 
@@ -118,15 +132,22 @@ def judge_quality(docs: DataFrame, share: float = SHARE, least: int = LEAST, kee
     space. mark is a hash of text and source; rows alike in doc_id and mark have
     the same verdict.
     """
-    rows = own(docs, "doc_id", "text", "source").withColumn("text", as_text(F.col("text")))
-    rows = rows.select("doc_id", "text", F.xxhash64("source").alias("host"), F.xxhash64("text", "source").alias("mark"))
-    lines = kept(lines_of(rows), "lines")  # read by three branches, computed once
-    common = common_lines(lines, share, least)
-    removed = lines.join(common, ["host", "line"]).select("doc_id", "mark", "pos", "n").distinct().groupBy("doc_id", "mark").agg(F.sum("n").alias("gone"))
-    m = text_measures(rows)
-    both = m.join(removed, m["doc_id"].eqNullSafe(removed["doc_id"]) & (m["mark"] == removed["mark"]), "left").select(m["*"], "gone")
-    left = (F.col("n_words") - F.coalesce("gone", F.lit(0))).cast("long")
-    return both.select(*m.columns, left.alias("n_left_words")).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_left_words") >= keep_percent * F.col("n_words")))
+    return _judged(docs, share, least, keep_percent).drop("gone")
+
+
+def clean_good(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+    """The rows of docs that are kept, with the lines above their host's limit cut from the text.
+
+    Columns stay as they are, whatever their names; n_chars, where present,
+    follows a changed text. Verdicts are those of judge_quality().
+    """
+    good = _judged(docs, share, least, keep_percent).where("kept").select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "gone").dropDuplicates(["of_id", "of_mark"])
+    rows = whole_rows(docs, "text", "source").join(good, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    return with_text(rows, docs.columns, _without(F.col("row.text"), F.col("gone")), F.col("gone").isNotNull())
+
+
+def _without(text: Column, gone: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
@@ -144,10 +165,7 @@ def without_common_lines(docs: DataFrame, share: float = SHARE, least: int = LEA
     rows = own(docs, "doc_id", "text", "source").withColumn("text", as_text(F.col("text")))
     rows = rows.select("doc_id", "text", F.xxhash64("source").alias("host"), F.xxhash64("text", "source").alias("mark"))
     lines = kept(lines_of(rows), "lines")
-    gone = lines.join(common_lines(lines, share, least), ["host", "line"]).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("pos").alias("_gone"))
-    on = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(as_text(docs["text"]), docs["source"]) == gone["_mark"])
-    left = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    out = docs.join(gone, on, "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    common = common_lines(lines, share, least)
+    gone = lines.join(common, ["host", "line"]).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.collect_set("pos").alias("gone"))
+    rows = whole_rows(docs, "text", "source").join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
+    return with_text(rows, docs.columns, _without(F.col("row.text"), F.col("gone")), F.col("gone").isNotNull())

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import as_text, every, found, joined, labelled, own
+from groundloom.llm.common import as_text, every, found, joined, labelled, own, spliced, whole_rows, with_text
 
 # The patterns of the contract, spelled without flags so that every engine reads them alike.
 ASSIGN = (
@@ -129,22 +129,7 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]")
     new text; a null text stays null. An endpoint is context, not a secret, and
     stays in the text.
     """
-    hits = scan_secrets(docs, scope)
-    hide = F.array_sort(F.filter(F.col("all"), lambda s: s["kind"] != "endpoint"))
-    hits = hits.where(F.size(hide) > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), hide.alias("_hide")).dropDuplicates(["_id", "_mark"])
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        skip = s["stop"] <= acc["at"]
-        overlaps = s["begin"] < acc["at"]
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["begin"] - acc["at"]).cast("int"))
-        out = F.when(overlaps, acc["out"]).otherwise(F.concat(acc["out"], between, F.lit(mask)))
-        return F.when(skip, acc).otherwise(F.struct(s["stop"].alias("at"), out.alias("out")))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("_hide"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(as_text(docs["text"])) == F.col("_mark"))
-    out = docs.join(hits, on, "left").withColumn("text", F.when(F.col("_hide").isNull(), text).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hide").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    hide = F.transform(F.filter(F.col("all"), lambda s: s["kind"] != "endpoint"), lambda s: F.struct(s["begin"].alias("begin"), s["stop"].alias("stop"), F.lit(mask).alias("put")))
+    hits = scan_secrets(docs, scope).where(F.size(hide) > 0).select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), hide.alias("hide")).dropDuplicates(["of_id", "of_mark"])
+    rows = whole_rows(docs, "text").join(hits, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
+    return with_text(rows, docs.columns, spliced(F.col("row.text"), F.col("hide")), F.col("hide").isNotNull())

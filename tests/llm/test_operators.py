@@ -165,6 +165,36 @@ def test_copies_hide_no_disclosure(spark):
     assert not got[got.index >= 300].any()
 
 
+def test_sanitised_text(spark):
+    # Beside one address a word that is nowhere else, and one that is in more texts without the address than with it.
+    rows = [(i, f"the {i}th by Quixotina\nq@r.st for Umbrellia today {i}, +49 30 1234567{i % 10}", "kept") for i in range(6)]
+    rows += [(100 + i, f"note {i} says Umbrellia", "kept") for i in range(8)]
+    rows += [(300 + i, f"the plain text by number {i} for today", None) for i in range(3000)]
+    rows += [(9000, None, "null"), (0, rows[0][1], "kept"), (9001, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hide string").repartition(4)
+    docs = docs.withColumns({"n_chars": F.length("text").cast("long"), "row": F.lit(1), "mark": F.lit("m"), "of_id": F.lit(2)})
+    out = pii.sanitise(docs, threshold=0.7)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    got = {r.doc_id: r for r in out.collect()}
+    for i in range(6):
+        assert got[i].text == f"the {i}th by \n[EMAIL] for [WORD] today {i}, [PHONE]"
+        assert got[i].n_chars == len(got[i].text) and (got[i].hide, got[i].row, got[i].mark, got[i].of_id) == ("kept", 1, "m", 2)
+    for i, text, hide in rows[6:]:
+        assert i < 6 or (got[i].text, got[i].hide) == (text, hide)
+
+
+def test_clashing_columns_stay(docs):
+    names = ("_id", "_mark", "_hide", "_gone", "_n", "_i", "_copies", "_rows", "row", "id", "of_id", "of_mark", "hide", "gone", "copies", "n", "col", "rows", "put")
+    more = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    for change in (secrets.redact_secrets, pii.sanitise, quality.without_common_lines, quality.clean_good, quality.keep_good, mixing.take, simhash.one_of_each):
+        out = change(more)
+        assert out.columns == more.columns
+        rows = [r for r in out.collect() if r.doc_id is not None]
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), change
+        same = change(docs).drop("mark")
+        assert sorted(map(repr, out.select(same.columns).collect())) == sorted(map(repr, same.collect())), change
+
+
 def test_words_elsewhere_in_the_text_count(spark):
     # The name stands beside the address three times, else on another line of a text that holds the address.
     rows = [(i, f"note {i} by Quixotina at q@r.st now" if i < 3 else f"by Quixotina again {i}\n\nq@r.st\n") for i in range(30)]
