@@ -11,11 +11,14 @@ of five. Within a band's bucket, leaders are chosen one after another: the node
 most like the bucket's commonest values takes what resembles it, and the rest go
 on. So a bucket of n nodes gives fewer than n candidates, never all pairs; a
 group of edited copies meets its common source. Candidates are then compared by
-their whole sets.
+their whole sets. Followers that turn out less alike than that go into another
+turn of the same bucket, without their leader, until none are left: followers
+alike to each other but not to a leader meet too.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Least share of equal bins at which a leader takes a node as a candidate: well under the similarity.
 RESEMBLES = 0.6
-#: Nodes of one bucket led in one task (400 bytes each); a larger bucket is led in parts.
-BUCKET = 200_000
+#: Nodes of one bucket led in one task (400 bytes each); a larger bucket is led in parts, dealt anew each turn.
+BUCKET = 20_000
 #: Sets held by a task at a time.
 SLICE = 256
 
@@ -88,35 +91,37 @@ def band_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def led(nodes: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
-    """(leader, follower) within one bucket."""
-    out, left = [], np.arange(len(nodes))
+    """(leader, follower) within one bucket. What is common is counted anew each time a fifth of the nodes has gone."""
+    out, left, counted = [], np.arange(len(nodes)), None
     while len(left) > 1:
-        some = least[left]
-        common = np.array([v[np.argmax(n)] for v, n in (np.unique(c, return_counts=True) for c in some.T)])
-        leader = left[np.argmax((some == common).sum(axis=1))]
-        near = (some == least[leader]).mean(axis=1) >= RESEMBLES
-        out += [(nodes[leader], nodes[i]) for i in left[near] if i != leader]
+        if counted is None or len(left) <= 0.8 * counted:
+            some, counted = least[left], len(left)
+            common = np.array([v[np.argmax(n)] for v, n in (np.unique(c, return_counts=True) for c in some.T)])
+            left = left[np.argsort(-(some == common).sum(axis=1), kind="stable")]
+        leader, left = left[0], left[1:]
+        near = (least[left] == least[leader]).mean(axis=1) >= RESEMBLES
+        out += [(nodes[leader], nodes[i]) for i in left[near]]
         left = left[~near]
     return out
 
 
 def leaders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a, b: candidates of each bucket. frames come sorted by key; a bucket may go on in the next frame."""
+    """bucket, a, b: followers b of leaders a. frames come sorted by bucket and part; a part may go on in the next frame."""
 
     def pairs(f: pd.DataFrame) -> pd.DataFrame:
-        key, nodes = f["key"].to_numpy(), f["node"].to_numpy()
+        key, part, nodes = f["bucket"].to_numpy(), f["part"].to_numpy(), f["node"].to_numpy()
         least = np.frombuffer(b"".join(f["least"]), dtype=np.uint32).reshape(len(f), -1)
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        out = [p for at, stop in zip(edge[:-1], edge[1:], strict=True) if stop - at > 1 for p in led(nodes[at:stop], least[at:stop])]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
+        out = [(key[at], *p) for at, stop in zip(edge[:-1], edge[1:], strict=True) if stop - at > 1 for p in led(nodes[at:stop], least[at:stop])]
+        return pd.DataFrame(out, columns=["bucket", "a", "b"], dtype="int64")
 
     held: list[pd.DataFrame] = []
     for f in frames:
         if not len(f):
             continue
-        key = f["key"].to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        if last == 0 and held and held[-1]["key"].iloc[-1] == key[-1]:
+        same = ((f["bucket"] == f["bucket"].iloc[-1]) & (f["part"] == f["part"].iloc[-1])).to_numpy()
+        last = int(np.argmax(same))
+        if last == 0 and held and (held[-1]["bucket"].iloc[-1], held[-1]["part"].iloc[-1]) == (f["bucket"].iloc[-1], f["part"].iloc[-1]):
             held.append(f)
             continue
         if last or held:
@@ -136,33 +141,40 @@ def sets_of(width: int):
     return run
 
 
-def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, node) for each row of docs, and links a, b of nodes with at least that similarity.
 
     A null text counts as empty; texts without words are one node. mark is a
     hash of the text. Rows alike give the same node. Only doc_id and text are
-    read; an empty table gives empty tables.
+    read; an empty table gives empty tables. A bucket of over ``bucket`` nodes is
+    led in parts; leaders of its parts meet in further turns while those bring
+    links (a pair that this misses still meets in the buckets of other bands).
     """
     rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
     found = kept(rows.mapInPandas(tidy(described(width)), "doc_id bigint, mark bigint, node bigint, least binary"), "shingles")
     nodes = found.groupBy("node").agg(F.min("least").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"))
-    keys = nodes.select("node", "least").mapInPandas(tidy(band_keys), "node bigint, key bigint")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = kept(keys.join(shared, "key"), "bands")
+    keys = nodes.select("node", "least").mapInPandas(tidy(band_keys), "node bigint, key bigint").withColumnRenamed("key", "bucket")
+    sizes = lambda some: some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = kept(keys.join(sizes(keys), "bucket"), "bands")
     marks = nodes.select("node", "least")
-    deal = lambda some: some.join(marks, "node").repartition("key").sortWithinPartitions("key", "node").mapInPandas(tidy(leaders), "a bigint, b bigint")
-    # A bucket too large for one task is led in parts; then the parts' leaders meet under the whole bucket's key.
-    part = F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BUCKET))).otherwise(F.lit(0))
-    few = kept(deal(met.select("node", F.xxhash64("key", part).alias("key"))), "led")
-    large = met.where(F.col("n") > BUCKET).select("node", "key")
-    if large.head(1):
-        few = few.unionByName(deal(large.join(few.select(F.col("a").alias("node")).distinct(), "node", "left_semi")))
-    pairs = kept(few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = left.select("node").distinct()
     ones = nodes.join(wanted, "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
     read = rows.join(ones, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
     sets = kept(read.mapInPandas(tidy(sets_of(width)), "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-    return found.select("doc_id", "mark", "node"), cut(alike.select("a", "b"))
+    links = None
+    for turn in itertools.count():
+        part = F.when(F.col("n") > bucket, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / bucket))).otherwise(F.lit(0)).alias("part")
+        dealt = left.select("node", "bucket", part).join(marks, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+        tried = kept(dealt.mapInPandas(tidy(leaders), "bucket bigint, a bigint, b bigint"), "led").withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+        pairs = tried.select("x", "y").distinct()
+        both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
+        common = F.size(F.array_intersect("p", "q"))
+        alike = kept(both.where(common >= F.lit(similarity) * (F.size("p") + F.size("q") - common)).select("x", "y"), "links")
+        links = alike if links is None else links.unionByName(alike)
+        rest = tried.join(alike, ["x", "y"], "left_anti").select("bucket", F.col("b").alias("node"))
+        if alike.head(1):
+            large = left.where(F.col("n") > bucket)
+            rest = rest.unionByName(large.join(tried.join(alike, ["x", "y"]).select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")).distinct()
+        left = kept(rest.join(sizes(rest), "bucket"), "unresolved")
+        if not left.head(1):
+            return found.select("doc_id", "mark", "node"), cut(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())

@@ -622,6 +622,37 @@ def test_shingles_find_near_copies(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(expected.values()))
 
 
+@pytest.mark.parametrize("bucket", [20_000, 4])
+def test_followers_meet_without_their_leader(spark, bucket):
+    # Many copies of one source, each too far from it and from the others, with a near copy of its own.
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    source = [r.choice(vocabulary) for _ in range(300)]
+
+    def edited(words, n):
+        out = words[:]
+        for at in r.sample(range(len(out)), n):
+            out[at] = r.choice(vocabulary)
+        return out
+
+    texts = [source]
+    for _ in range(40):
+        copy = edited(source, 13)
+        texts += [copy, edited(copy, 4)]
+    docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts)), "doc_id long, text string").repartition(3)
+    sets = [{" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    similarity = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if similarity(i, j) >= 0.8}
+    assert sum(similarity(0, i) < 0.8 for i in range(1, 81, 2)) > 30 and len(near) >= 35
+    nodes, links = shingles.similar_texts(docs, bucket=bucket)
+    of = {x.node: x.doc_id for x in nodes.collect()}
+    got = {(max(of[x.a], of[x.b]), min(of[x.a], of[x.b])) for x in links.collect()}
+    if bucket > len(texts):
+        assert got == near
+    else:  # parts may link a class by other pairs of its own
+        assert got <= near and len(got) >= 0.95 * len(near)
+
+
 def test_leaders_give_no_pairs_of_pairs():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 32, (3, 100), dtype=np.uint32)
