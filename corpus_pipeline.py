@@ -14,8 +14,8 @@ from groundloom.llm.common import kept, load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or that boilerplate lines leave depleted, go."""
-    return quality.keep_good(docs)
+    """Documents that fail the rules, or that boilerplate lines leave depleted, go; such lines go from the text of the others."""
+    return quality.clean_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
