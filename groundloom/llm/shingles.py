@@ -11,14 +11,15 @@ of five. Within a band's bucket, leaders are chosen one after another: the node
 most like the bucket's commonest values takes what resembles it, and the rest go
 on. So a bucket of n nodes gives fewer than n candidates, never all pairs; a
 group of edited copies meets its common source. Candidates are then compared by
-their whole sets. Followers that turn out less alike than that go into another
-turn of the same bucket, without their leader, until none are left: followers
-alike to each other but not to a leader meet too.
+their whole sets. Followers that turn out less alike than that go into a second
+turn of the same bucket, without their leader: followers alike to each other but
+not to a hub meet too. There are two turns; in a class whose members are all just
+short of the threshold, more would come to all its pairs. A pair of 0.8 shares
+six or seven of the 20 bands, so it has as many buckets to meet in.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,9 @@ BANDS, ROWS = 20, 5
 RESEMBLES = 0.6
 #: Nodes of one bucket led in one task (400 bytes each); a larger bucket is led in parts, dealt anew each turn.
 BUCKET = 20_000
+TURNS = 2
+#: Nodes whose ids may be sent to all executors (8 bytes each); more are shuffled.
+FEW = 500_000
 #: Sets held by a task at a time.
 SLICE = 256
 
@@ -147,8 +151,7 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     A null text counts as empty; texts without words are one node. mark is a
     hash of the text. Rows alike give the same node. Only doc_id and text are
     read; an empty table gives empty tables. A bucket of over ``bucket`` nodes is
-    led in parts; leaders of its parts meet in further turns while those bring
-    links (a pair that this misses still meets in the buckets of other bands).
+    led in parts, whose leaders meet in the second turn.
     """
     rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
     found = kept(rows.mapInPandas(tidy(described(width)), "doc_id bigint, mark bigint, node bigint, least binary"), "shingles")
@@ -162,19 +165,20 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     read = rows.join(ones, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
     sets = kept(read.mapInPandas(tidy(sets_of(width)), "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
     links = None
-    for turn in itertools.count():
+    for turn in range(TURNS):
         part = F.when(F.col("n") > bucket, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / bucket))).otherwise(F.lit(0)).alias("part")
         dealt = left.select("node", "bucket", part).join(marks, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
         tried = kept(dealt.mapInPandas(tidy(leaders), "bucket bigint, a bigint, b bigint"), "led").withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
         pairs = tried.select("x", "y").distinct()
+        if turn:  # few are left
+            met = kept(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "met")
+            sets = sets.join(F.broadcast(met) if met.count() <= FEW else met, "node", "left_semi")
         both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
         common = F.size(F.array_intersect("p", "q"))
         alike = kept(both.where(common >= F.lit(similarity) * (F.size("p") + F.size("q") - common)).select("x", "y"), "links")
         links = alike if links is None else links.unionByName(alike)
         rest = tried.join(alike, ["x", "y"], "left_anti").select("bucket", F.col("b").alias("node"))
-        if alike.head(1):
-            large = left.where(F.col("n") > bucket)
-            rest = rest.unionByName(large.join(tried.join(alike, ["x", "y"]).select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")).distinct()
-        left = kept(rest.join(sizes(rest), "bucket"), "unresolved")
-        if not left.head(1):
-            return found.select("doc_id", "mark", "node"), cut(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        followers = tried.join(alike, ["x", "y"]).select("bucket", F.col("b").alias("node"))
+        rest = rest.unionByName(left.where(F.col("n") > bucket).join(followers, ["bucket", "node"], "left_anti").select("bucket", "node")).distinct()
+        left = rest.join(sizes(rest), "bucket")
+    return found.select("doc_id", "mark", "node"), cut(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
