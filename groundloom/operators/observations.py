@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundloom.functions import dates as D
+from groundloom.operators.stats import binned, offsets
 
 
 def collapse_tiles(index: DataFrame, tile: str, date: str) -> DataFrame:
@@ -83,12 +84,23 @@ def numbered_patches(patches: DataFrame, observation: str) -> DataFrame:
     return patches.withColumn("patch_no", F.lpad((F.row_number().over(order) - 1).cast("string"), 4, "0"))
 
 
-def best_median_worst(df: DataFrame, by: str, score: str, key: str) -> DataFrame:
-    """The best, median and worst row of each group."""
-    order = Window.partitionBy(by).orderBy(score, key)
-    n = df.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    role = F.when(F.col("_i") == F.col("_n"), "best").when(F.col("_i") == 1, "worst").when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, "median")
-    return n.withColumn("role", role).where("role is not null").drop("_i", "_n")
+def best_median_worst(df: DataFrame, by: str, score: str, key: str, bins: int = 4096) -> DataFrame:
+    """The best, median and worst row of each group, by score, then key; a null score is the least.
+
+    Best and worst are sums with map-side combine. The median is looked for in
+    the one bin of scores that holds its rank, so no group is sorted as a whole.
+    """
+    rows = binned(df, score, [by], bins)
+    row, order = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(score, key)
+    ends = rows.groupBy(by).agg(F.max_by(row, order).alias("best"), F.min_by(row, order).alias("worst"), F.first("_n").alias("_n"))
+    role = F.when(F.col("_n") > 1, F.array(F.struct(F.col("best").alias("r"), F.lit("best").alias("role")), F.struct(F.col("worst").alias("r"), F.lit("worst").alias("role"))))
+    ends = ends.select(F.explode(F.coalesce(role, F.array(F.struct(F.col("best").alias("r"), F.lit("best").alias("role"))))).alias("x"))
+    middle = F.floor(F.col("_n") / 2)
+    at = offsets(rows, [by]).where((middle >= F.col("_from")) & (middle < F.col("_to")) & (F.col("_n") > 2)).select(F.col(by).alias("_by"), F.col("_bin").alias("_b"), "_from")
+    near = rows.join(at, rows[by].eqNullSafe(at["_by"]) & (rows["_bin"] == at["_b"]))
+    near = near.select(row.alias("r"), (F.col("_from") + F.row_number().over(Window.partitionBy("_by", "_b").orderBy(score, key)) - 1 == middle).alias("hit"))
+    both = ends.select("x.r", "x.role").unionByName(near.where("hit").select("r", F.lit("median").alias("role")))
+    return both.select(*(F.col("r").getField(c).alias(c) for c in df.columns), "role")
 
 
 def season_weights(df: DataFrame, season: str) -> DataFrame:

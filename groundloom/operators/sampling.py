@@ -1,17 +1,18 @@
-"""Draws: eligibility and strata in Spark, the order-dependent choice in a bounded group."""
+"""Draws: eligibility, order and conflicts in Spark; the order-dependent choice over bounded batches of the next candidates."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Buckets of keys over which weights are summed up.
 BUCKETS = 1024
+#: Candidates fetched at a time for a draw.
+BATCH = 512
 
 
 def eligible(df: DataFrame, min_cover: float) -> tuple[DataFrame, DataFrame]:
@@ -27,14 +28,34 @@ def eligible(df: DataFrame, min_cover: float) -> tuple[DataFrame, DataFrame]:
     return df.where(reduce(lambda a, b: a & b, tests.values())), df.agg(*costs)
 
 
-def thinned(df: DataFrame, key: str, spacing: float, per_cell: int, seed: int, by: list[str]) -> DataFrame:
-    """A bounded pool for a draw: in each stratum and square of the spacing, the first few in a random order of their hashes.
+class Next:
+    """The next candidates in the random order of their hashes, a batch at a time, until there are none left.
 
-    Two drawn points can't be nearer than the spacing, so of one square few can be drawn at all.
+    Spark leaves out what can't be drawn any more before it orders: candidates
+    that ``open_`` refuses and those nearer than the spacing to a chosen point.
+    None that could still be drawn is ever left out.
     """
-    square = [F.floor(F.col(c) / spacing) for c in ("x", "y")]
-    order = Window.partitionBy(*by, *square).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_cell).drop("_n")
+
+    def __init__(self, candidates: DataFrame, key: str, spacing: float, seed: int, batch: int):
+        square = [F.floor(F.col(c) / spacing).cast("long").alias(f"_{c}") for c in ("x", "y")]
+        self.rows = candidates.select("*", F.xxhash64(F.col(key), F.lit(seed)).alias("_order"), *square)
+        self.key, self.spacing, self.batch, self.last = key, spacing, batch, None
+
+    def fetch(self, open_: Column, chosen: list[tuple[float, float]]) -> list:
+        rows = self.rows.where(open_)
+        if self.last is not None:
+            after = F.struct("_order", self.key) > F.struct(F.lit(self.last[0]).alias("_order"), F.lit(self.last[1]).alias(self.key))
+            rows = rows.where(after)
+        if chosen:  # no more than the draw's targets
+            around = [(int(x // self.spacing) + i, int(y // self.spacing) + j, x, y) for x, y in chosen for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            near = self.rows.sparkSession.createDataFrame(around, "_x long, _y long, _u double, _v double")
+            close = F.pow(F.col("x") - F.col("_u"), 2) + F.pow(F.col("y") - F.col("_v"), 2) < self.spacing**2
+            on = (rows["_x"] == near["_x"]) & (rows["_y"] == near["_y"]) & close
+            rows = rows.join(F.broadcast(near), on, "left_anti")
+        out = rows.orderBy("_order", self.key).limit(self.batch).collect()
+        if out:
+            self.last = (out[-1]["_order"], out[-1][self.key])
+        return out
 
 
 class Spaced:
@@ -52,64 +73,83 @@ class Spaced:
         return True
 
 
-def training_draw(candidates: DataFrame, key: str, stratum: str, targets: dict[str, int], spacing: float, per_flight: int, seed: int) -> DataFrame:
+def training_draw(candidates: DataFrame, key: str, stratum: str, targets: dict[str, int], spacing: float, per_flight: int, seed: int, batch: int = BATCH) -> DataFrame:
     """key, stratum, turn: the neediest stratum draws next, at most per_flight tiles a flight date, none nearer than the spacing.
 
-    The order of the draw matters, so it is one sequence, over a pool that
-    thinned() bounds. candidates: key, stratum, flight_date, x, y.
+    The order of the draw matters, so it is one sequence; it holds a batch of
+    candidates a stratum and what is chosen, no more than the targets, and goes
+    on until these are met or no candidate is left. candidates: key, stratum,
+    flight_date, x, y. The same seed gives the same tiles, whatever the batch.
     """
-    pool = thinned(candidates.where(F.col(stratum).isNotNull()), key, spacing, 4, seed, [stratum])
+    coming = {s: Next(candidates.where(F.col(stratum) == s), key, spacing, seed, batch) for s in targets}
+    queues: dict[str, list] = {s: [] for s in targets}
+    got, flights, chosen, points, out = dict.fromkeys(targets, 0), {}, Spaced(spacing), [], []
+    need = [s for s in targets if targets[s] > 0]
+    while need:
+        s = min(need, key=lambda k: got[k] / targets[k])
+        if not queues[s]:
+            full = [f for f, n in flights.items() if n >= per_flight]
+            open_ = F.lit(True)
+            for f in full:
+                open_ = open_ & ~F.col("flight_date").eqNullSafe(F.lit(f))
+            queues[s] = coming[s].fetch(open_, points)[::-1]
+            if not queues[s]:
+                need.remove(s)
+                continue
+        row = queues[s].pop()
+        flight = row["flight_date"]
+        if flights.get(flight, 0) < per_flight and chosen.take(row["x"], row["y"]):
+            flights[flight] = flights.get(flight, 0) + 1
+            got[s] += 1
+            points.append((float(row["x"]), float(row["y"])))
+            out.append((row[key], s, len(out)))
+            if got[s] >= targets[s]:
+                need.remove(s)
     kind = candidates.schema[key].dataType.simpleString()
+    return candidates.sparkSession.createDataFrame(out, f"{key} {kind}, {stratum} string, turn int")
+
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        draw = np.random.default_rng(seed)
-        f = f.sort_values(key).iloc[draw.permutation(len(f))]
-        queues = {s: list(f[f[stratum] == s].itertuples(index=False)) for s in targets}
-        got, flights, chosen, out = dict.fromkeys(targets, 0), {}, Spaced(spacing), []
-        while need := [s for s in targets if queues[s] and got[s] < targets[s]]:
-            s = min(need, key=lambda k: got[k] / targets[k])
-            row = queues[s].pop()
-            flight = row.flight_date
-            if flights.get(flight, 0) < per_flight and chosen.take(row.x, row.y):
-                flights[flight] = flights.get(flight, 0) + 1
-                got[s] += 1
-                out.append((getattr(row, key), s, len(out)))
-        return pd.DataFrame(out, columns=[key, stratum, "turn"])
-
-    return pool.groupBy().applyInPandas(run, f"{key} {kind}, {stratum} string, turn int")
-
-
-def validation_draw(candidates: DataFrame, key: str, strata: list[str], per_level: int, spacing: float, seed: int) -> DataFrame:
+def validation_draw(candidates: DataFrame, key: str, strata: list[str], per_level: int, spacing: float, seed: int, batch: int = BATCH) -> DataFrame:
     """key, turn: until every level of every stratum column has per_level samples; each sample counts for all its levels.
 
-    Rows with a null stratum are left out.
+    Rows with a null stratum are left out. Candidates come in batches, as in
+    training_draw(); a level is done when it is full or has no candidate left.
     """
     whole = candidates.where(reduce(lambda a, b: a & b, (F.col(s).isNotNull() for s in strata)))
-    pool = thinned(whole, key, spacing, 4, seed, strata)
-    kind = candidates.schema[key].dataType.simpleString()
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(key).iloc[np.random.default_rng(seed).permutation(len(f))]
-        got: dict[tuple, int] = {}
-        chosen, out = Spaced(spacing), []
-        for row in f.itertuples(index=False):
-            levels = [(s, getattr(row, s)) for s in strata]
-            if any(got.get(v, 0) < per_level for v in levels) and chosen.take(row.x, row.y):
+    coming = Next(whole, key, spacing, seed, batch)
+    got: dict[tuple, int] = {}
+    chosen, points, out = Spaced(spacing), [], []
+    while True:
+        full = {s: [v for (c, v), n in got.items() if c == s and n >= per_level] for s in strata}
+        lacking = reduce(lambda a, b: a | b, (~F.col(s).isin(full[s]) if full[s] else F.lit(True) for s in strata))
+        rows = coming.fetch(lacking, points)
+        if not rows:
+            break
+        for row in rows:
+            levels = [(s, row[s]) for s in strata]
+            if any(got.get(v, 0) < per_level for v in levels) and chosen.take(row["x"], row["y"]):
                 for v in levels:
                     got[v] = got.get(v, 0) + 1
-                out.append((getattr(row, key), len(out)))
-        return pd.DataFrame(out, columns=[key, "turn"])
-
-    return pool.groupBy().applyInPandas(run, f"{key} {kind}, turn int")
+                points.append((float(row["x"]), float(row["y"])))
+                out.append((row[key], len(out)))
+    kind = candidates.schema[key].dataType.simpleString()
+    return candidates.sparkSession.createDataFrame(out, f"{key} {kind}, turn int")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
     """df with split: train, val and test by rank of a hash within the stratum; strata of under three rows go to train."""
-    order = Window.partitionBy(stratum).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    i = F.row_number().over(order)
+    # Hashes are even, so their first digits cut a stratum of any size into parts of about 1/4096; ranks are the part's offset and the rank in it.
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    rows = df.select("*", digest.alias("_h"), F.substring(digest, 1, 3).alias("_b"))
+    sizes = rows.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_s", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_from"), F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
+    met = rows.join(sizes, rows[stratum].eqNullSafe(sizes["_s"]) & (rows["_b"] == sizes["_p"]))
+    i = F.col("_from") + F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key))
+    n = F.col("_n")
     train, val = F.rint(shares[0] * n), F.rint((shares[0] + shares[1]) * n)
-    return df.withColumn("split", F.when((n < 3) | (i <= train), "train").when(i <= val, "val").otherwise("test"))
+    split = F.when((n < 3) | (i <= train), "train").when(i <= val, "val").otherwise("test")
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), split.alias("split"))
 
 
 def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:

@@ -64,7 +64,7 @@ def overlaps(a: str, b: str, closed: bool) -> Column:
 
 
 def boxes_overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float, closed: bool = False, shrink: float = 0.0, extra: list[str] | None = None) -> DataFrame:
-    """left_key, right_key of overlapping boxes; left is shrunk on each side; extra columns must be equal (a reference system).
+    """left_key, right_key of overlapping boxes, and is_open if closed (they do more than touch); left is shrunk on each side; extra columns must be equal (a reference system).
 
     A pair that shares several cells is kept in one of them, the cell of the
     lower left corner of what they share, so no distinct is needed.
@@ -76,4 +76,4 @@ def boxes_overlapping(left: DataFrame, right: DataFrame, left_key: str, right_ke
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cx", "cy", *extra)]
     corner = lambda i, n: F.floor(F.greatest(F.col(f"a.{n}"), F.col(f"b.{n}")) / size) == F.col(f"a.{i}")
     met = a.join(b, reduce(lambda u, v: u & v, same)).where(overlaps("a", "b", closed) & corner("cx", "x0") & corner("cy", "y0"))
-    return met.select(F.col(f"a.{left_key}").alias(left_key), F.col(f"b.{right_key}").alias(right_key))
+    return met.select(F.col(f"a.{left_key}").alias(left_key), F.col(f"b.{right_key}").alias(right_key), *([overlaps("a", "b", False).alias("is_open")] if closed else []))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,47 @@ def shares(df: DataFrame, *by: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def percentiles(df: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
-    """Exact, interpolated."""
-    return df.groupBy(*by).agg(*(F.percentile(value, p).alias(f"p{round(100 * p):02d}") for p in points))
+def binned(df: DataFrame, value: str, by: list[str], bins: int) -> DataFrame:
+    """df with _bin, of equal width between its group's least and greatest value (null: -1), and _n, the rows of the group."""
+    limits = df.groupBy(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by))).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    same = [df[c].eqNullSafe(limits[f"_by{i}"]) for i, c in enumerate(by)]
+    both = df.join(limits, reduce(lambda a, b: a & b, same)) if by else df.crossJoin(F.broadcast(limits))  # one row
+    share = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
+    at = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.coalesce(F.floor(share * bins), F.lit(0)).cast("int"))
+    return both.select(*df.columns, "_n", at.alias("_bin"))
+
+
+def offsets(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, _bin, _n, _from, _to: the ranks (from 0, _to left out) that each bin of binned() rows holds."""
+    sizes = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    to = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin"))
+    return sizes.select(*by, "_bin", "_n", (to - F.col("_c")).alias("_from"), to.alias("_to"))
+
+
+def percentiles(df: DataFrame, value: str, points: list[float], *by: str, bins: int = 4096) -> DataFrame:
+    """Exact, interpolated; null for a group without values.
+
+    Two passes: counts of bins tell which bins hold the ranks wanted, and only
+    the values of these are counted and put in order. No task holds a group.
+    """
+    by = list(by)
+    rows = binned(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), "_v", by, bins)
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(float(p))).alias("pos")) for i, p in enumerate(points))))
+    wanted = offsets(rows, by).select("*", at.alias("_p")).select(*by, "_bin", "_from", "_to", "_p.i", "_p.pos", F.explode(F.array(F.floor("_p.pos"), F.ceil("_p.pos"))).alias("rank"))
+    wanted = wanted.where((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))).distinct()
+    some = rows.alias("r").join(wanted.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_bin").alias("_b")).distinct(), reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("r._bin") == F.col("_b")]), "left_semi")
+    values = some.groupBy(*by, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_bin").orderBy("_v"))
+    values = values.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_bin").alias("_b"), "_v", (upto - F.col("_c")).alias("_after"), upto.alias("_upto"))
+    rank = F.col("rank") - F.col("_from")
+    met = wanted.join(values, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_bin") == F.col("_b"), rank >= F.col("_after"), rank < F.col("_upto")]))
+    part = F.when(F.floor("pos") == F.ceil("pos"), F.col("_v")).when(F.col("rank") == F.floor("pos"), (F.ceil("pos") - F.col("pos")) * F.col("_v")).otherwise((F.col("pos") - F.floor("pos")) * F.col("_v"))
+    found = met.groupBy(*by).agg(*(F.sum(F.when(F.col("i") == i, part)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(points)))
+    if not by:
+        return found
+    groups = df.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by))).distinct()
+    out = groups.join(found, reduce(lambda a, b: a & b, [F.col(f"_by{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]), "left")
+    return out.select(*(F.col(f"_by{i}").alias(c) for i, c in enumerate(by)), *(f"p{round(100 * p):02d}" for p in points))
 
 
 def stretched(value: Column, low: Column, high: Column) -> Column:

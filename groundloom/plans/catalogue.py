@@ -493,7 +493,7 @@ def on_land_flag(spark, d):
     return flagged.agg(n(F.col("on_land")).alias("n_on_land"), n(~F.col("on_land")).alias("n_off_land"))
 
 
-BOX_SQL = "b as (select o_orderkey as id, (o_custkey % 100)::double as x0, (o_orderkey % 90)::double as y0, (o_custkey % 100 + 2)::double as x1, (o_orderkey % 90 + 2)::double as y1 from orders where o_orderkey % 10 = 0), p as (select p_partkey as part, (p_partkey % 97)::double as x0, (p_size % 89)::double as y0, (p_partkey % 97 + 3)::double as x1, (p_size % 89 + 3)::double as y1 from part)"
+BOX_SQL = "b as (select o_orderkey as id, (o_custkey % 1000)::double as x0, (o_orderkey % 900)::double as y0, (o_custkey % 1000 + 2)::double as x1, (o_orderkey % 900 + 2)::double as y1 from orders), p as (select p_partkey as part, (p_partkey % 997)::double as x0, (p_size * 17 % 889)::double as y0, (p_partkey % 997 + 3)::double as x1, (p_size * 17 % 889 + 3)::double as y1 from part)"
 
 
 @query(f"with {BOX_SQL} select id, count(*) filter (b.x0 < p.x1 and p.x0 < b.x1 and b.y0 < p.y1 and p.y0 < b.y1) as n_open, count(*) as n_closed from b join p on b.x0 <= p.x1 and p.x0 <= b.x1 and b.y0 <= p.y1 and p.y0 <= b.y1 group by id")
@@ -501,12 +501,9 @@ def bbox_range_join(spark, d):
     def box(df, key, x, y, size):
         return df.select(key, x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + size).cast("double").alias("x1"), (y + size).cast("double").alias("y1"))
 
-    o = box(V.table(spark, d, "orders").where("o_orderkey % 10 = 0").withColumnRenamed("o_orderkey", "id"), "id", F.col("o_custkey") % 100, F.col("id") % 90, 2)
-    p = box(V.table(spark, d, "part").withColumnRenamed("p_partkey", "part"), "part", F.col("part") % 97, F.col("p_size") % 89, 3)
-    closed = spatial.boxes_overlapping(o, p, "id", "part", 8.0, closed=True).withColumn("c", F.lit(True))
-    open_ = spatial.boxes_overlapping(o, p, "id", "part", 8.0).withColumn("o", F.lit(True))
-    both = closed.join(open_, ["id", "part"], "left")
-    return both.groupBy("id").agg(F.count("o").alias("n_open"), F.count(F.lit(1)).alias("n_closed"))
+    o = box(V.table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"), "id", F.col("o_custkey") % 1000, F.col("id") % 900, 2)
+    p = box(V.table(spark, d, "part").withColumnRenamed("p_partkey", "part"), "part", F.col("part") % 997, F.col("p_size") * 17 % 889, 3)
+    return spatial.boxes_overlapping(o, p, "id", "part", 8.0, closed=True).groupBy("id").agg(F.count_if("is_open").alias("n_open"), F.count(F.lit(1)).alias("n_closed"))
 
 
 @query()
@@ -616,9 +613,9 @@ def boundless_window(spark, d):
     return V.rasters(spark, d).select("tile", _text(windows.boundless(F.col("values"), 8, 8, -1, 6, 4, 4, 255)).alias("w"))
 
 
-@query(f"with {V.RASTERS}, m as (select label % 5 as k, r, c, coalesce(arg_min(v, tile) filter (v <> 255), 255) as v from pixels join rasters using (tile) where tile % 7 = 0 group by all) select k, string_agg(v::varchar, ',' order by r, c) as merged from m group by k")
+@query(f"with {V.RASTERS}, m as (select label % 5 as k, r, c, coalesce(arg_min(v, tile) filter (v <> 255), 255) as v from pixels join rasters using (tile) group by all) select k, string_agg(v::varchar, ',' order by r, c) as merged from m group by k")
 def piece_merge(spark, d):
-    p = V.rasters(spark, d).where("tile % 7 = 0").select((F.col("label") % 5).alias("k"), "tile", "values")
+    p = V.rasters(spark, d).select((F.col("label") % 5).alias("k"), "tile", "values")
     return windows.merge_pieces(p, "k", "tile", "values").select("k", _text(F.col("values")).alias("merged"))
 
 
