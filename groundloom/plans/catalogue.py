@@ -515,6 +515,13 @@ def utm_round_trip(spark, d):
     return rounded(t.select("pos", "g.lon", "g.lat", (F.col("b.x") - F.col("x")).alias("dx"), (F.col("b.y") - F.col("y")).alias("dy"), P.geodesic_area_factor(F.col("x"), F.col("y"), F.col("zone")).alias("area_factor")), 7)
 
 
+@query("select count(*) as n, 0::bigint as n_far from orders")
+def utm_round_trip_error(spark, d):
+    """Tile centres that come back over a millimetre away."""
+    far = F.greatest(F.abs("dx"), F.abs("dy")) > 1e-3
+    return utm_round_trip(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("n_far"))
+
+
 # Statistics -----------------------------------------------------------------------------------------------------------
 
 
@@ -573,6 +580,18 @@ def training_draw(spark, d):
     return sampling.training_draw(_draw_candidates(spark, d), "o_orderkey", "tcd_bin", dict.fromkeys(B.DENSITY_LABELS, 30), 2000.0, 3, 100)
 
 
+@query(f"select b as tcd_bin, 30::bigint as got, 0::bigint as n_too_near, 0::bigint as n_flights_over from (select unnest([{', '.join(repr(x) for x in B.DENSITY_LABELS)}]) as b)")
+def training_draw_rules(spark, d):
+    """What holds for any draw where candidates suffice: targets met, none too near, no flight over its limit."""
+    c = _draw_candidates(spark, d).select("o_orderkey", "flight_date", "x", "y")
+    drawn = training_draw(spark, d).join(c, "o_orderkey")
+    a, b = drawn.alias("a"), drawn.alias("b")
+    near = F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2) < 2000.0**2
+    too_near = a.join(b, (F.col("a.turn") < F.col("b.turn")) & near).agg(F.count(F.lit(1)).alias("n_too_near"))  # no more rows than the targets
+    over = drawn.groupBy("flight_date").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 3).alias("n_flights_over"))
+    return drawn.groupBy("tcd_bin").agg(F.count(F.lit(1)).alias("got")).crossJoin(too_near).crossJoin(over)
+
+
 @query()
 def validation_draw(spark, d):
     return sampling.validation_draw(_draw_candidates(spark, d), "o_orderkey", ["tcd_bin", "urban"], 20, 500.0, 42)

@@ -211,6 +211,38 @@ def test_draws(spark):
     assert s.take(0, 0) and not s.take(9, 0) and s.take(10, 0) and not s.take(-3, -3)
 
 
+def test_draws_use_every_candidate(spark):
+    # One square holds all of a stratum's candidates; only the last by hash aren't of a full flight or too near.
+    rows = [(i, "B1", "full", 100.0 + i % 7, 100.0) for i in range(400)] + [(1000 + i, "B1", f"f{i}", 100.0 + 50 * i, 900.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "id int, bin string, flight_date string, x double, y double")
+    several = [sampling.training_draw(df.repartition(n), "id", "bin", {"B1": 8, "B2": 3}, 40.0, 1, 7, batch).collect() for n, batch in ((1, 512), (5, 3), (3, 64))]
+    assert len({tuple(map(tuple, x)) for x in several}) == 1
+    assert sum(r.id >= 1000 for r in several[0]) == 6 and len(several[0]) == 7
+    some = [sampling.validation_draw(df.repartition(n), "id", ["bin"], 7, 40.0, 7, batch).collect() for n, batch in ((1, 512), (4, 5))]
+    assert some[0] == some[1] and len(some[0]) == 7
+
+
+def test_percentiles_and_ranks(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, None if i % 50 == 9 else float(v), i) for k in ("a", None, "one") for i, v in enumerate(r.integers(0, 9, 1 if k == "one" else 301) ** 3)]
+    rows += [("none", None, 1), ("two", 5.0, 1), ("two", 5.0, 2), ("same", 1.0, 2), ("same", 1.0, 1), ("same", 1.0, 3)]
+    df = spark.createDataFrame(rows, "k string, v double, id int").repartition(4)
+    got = {x.k: tuple(x)[1:] for x in stats.percentiles(df, "v", [0.5, 0.02, 0.98], "k", bins=16).collect()}
+    for k in {x[0] for x in rows}:
+        of = [x[1] for x in rows if x[0] == k and x[1] is not None]
+        assert got[k] == (pytest.approx(np.quantile(of, [0.5, 0.02, 0.98])) if of else (None, None, None))
+    whole = stats.percentiles(df, "v", [0.5]).first()
+    assert whole.p50 == np.median([x[1] for x in rows if x[1] is not None])
+    ranked = {(x.k, x.role): x.id for x in observations.best_median_worst(df, "k", "v", "id", bins=16).collect()}
+    for k in {x[0] for x in rows}:
+        of = sorted((-1.0 if x[1] is None else x[1], x[2]) for x in rows if x[0] == k)
+        assert ranked[k, "best"] == of[-1][1]
+        assert len(of) < 2 or ranked[k, "worst"] == of[0][1]
+        assert len(of) < 3 or ranked[k, "median"] == of[len(of) // 2][1]
+    first = overlap.first_of_each(df, ["k"], ["v", "id"]).collect()
+    assert {x.k: x.id for x in first} == {k: min((-1.0 if x[1] is None else x[1], x[2]) for x in rows if x[0] == k)[1] for k in {x[0] for x in rows}}
+
+
 def test_split_sizes_and_weights(spark):
     df = spark.createDataFrame([(i, "a") for i in range(100)] + [(200, "b"), (201, "b")], "id int, s string")
     n = {(r.s, r.split): r["count"] for r in sampling.stratified_split(df, "id", "s").groupBy("s", "split").count().collect()}
