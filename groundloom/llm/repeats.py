@@ -44,7 +44,7 @@ from groundloom.llm.common import as_text, kept, own, tidy
 
 LEAST, GRAM = 400, 100
 #: A passage is a run of over PASSAGE_WORDS words, covered by strings of PASSAGE bytes or more that start elsewhere too.
-PASSAGE, PASSAGE_WORDS = 270, 50
+PASSAGE, PASSAGE_WORDS = 250, 50
 #: Surroundings of one gram that one task scans (700 bytes each).
 GROUP = 20_000
 #: Texts that a worker describes at a time.
