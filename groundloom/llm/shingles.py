@@ -5,17 +5,20 @@ near-copies at a similarity of 0.8 differ in 3 to 11 bits (one in 300 of the
 test tables' near-copies differs in two), so where near-copies are to be merged
 the links of both are joined.
 
-Texts with the same set of shingles are one node. A node has one least hash for
-each of 100 bins (one permutation, empty bins borrow from the next), in 20 bands
-of five. Within a band's bucket, leaders are chosen one after another: the node
-most like the bucket's commonest values takes what resembles it, and the rest go
-on. So a bucket of n nodes gives fewer than n candidates, never all pairs; a
-group of edited copies meets its common source. Candidates are then compared by
-their whole sets. Followers that turn out less alike than that go into a second
-turn of the same bucket, without their leader: followers alike to each other but
-not to a hub meet too. There are two turns; in a class whose members are all just
-short of the threshold, more would come to all its pairs. A pair of 0.8 shares
-six or seven of the 20 bands, so it has as many buckets to meet in.
+Texts with the same set of shingles are one node. A node has keys in 20 bands of
+five least hashes, and a sketch of 400 bytes: one byte of the least hash in each
+of 400 bins, zero where a bin is empty. Equal bytes, as a share of the bins that
+either fills, estimate the similarity within 0.02, better for short texts.
+
+Candidates come in two turns and are compared by their whole sets. First, within
+a band's bucket, leaders are chosen one after another: the node most like the
+bucket's commonest values takes what resembles it, and the rest go on, so a
+bucket of n nodes gives fewer than n candidates. What these links join is one
+group. Second, in buckets that still hold several groups, nodes of different
+groups meet, and those whose sketches resemble each other are compared too; a
+large class of copies is then one group, none of whose pairs are made. Larger
+buckets are led in parts in the first turn and cut into blocks of two parts in
+the second, so that any two of their nodes meet in some block.
 """
 
 from __future__ import annotations
@@ -29,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundloom.llm.common import as_text, cut, kept, own, tidy
+from groundloom.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Least share of equal bins at which a leader takes a node as a candidate: well under the similarity.
-RESEMBLES = 0.6
-#: Nodes of one bucket led in one task (400 bytes each); a larger bucket is led in parts, dealt anew each turn.
-BUCKET = 20_000
-TURNS = 2
+BINS = 400
+#: Least estimate at which two nodes are compared: four standard errors under the similarity.
+RESEMBLES = 0.72
+#: Nodes of one bucket that a task takes at a time (400 bytes each).
+BUCKET = 8_000
 #: Nodes whose ids may be sent to all executors (8 bytes each); more are shuffled.
 FEW = 500_000
 #: Sets held by a task at a time.
@@ -72,67 +76,94 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return ((least[source] + away * 0x9E3779B1) & 0xFFFFFFFF).astype(np.uint32)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each bin 1 to 255, from its least hash; 0 where it is empty."""
+    bins, value = (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS)
+    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, bins, value)
+    out = np.zeros(BINS, np.uint8)
+    out[bins] = 1 + least[bins] % np.uint64(255)
+    return out
+
+
+def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one sketch with each of many; 0 where neither has a shingle."""
+    blank = np.count_nonzero((many | one) == 0, axis=1)
+    return (np.count_nonzero(many == one, axis=1) - blank) / np.maximum(BINS - blank, 1)
+
+
 def described(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            nodes, least = [], []
+            nodes, sketches, keys = [], [], []
             for t in f["text"]:  # one set at a time
                 hashes = shingle_set(t, width)
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63))
-                least.append(least_hashes(hashes).tobytes())
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "mark": f["mark"], "node": nodes, "least": least})
+                sketches.append(sketch(hashes).tobytes())
+                least = least_hashes(hashes).reshape(BANDS, ROWS)
+                keys.append([xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) - (1 << 63) for i, band in enumerate(least)])
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "mark": f["mark"], "node": nodes, "sketch": sketches, "keys": keys})
 
     return run
 
 
-def band_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        if not len(f):
-            continue
-        least = np.frombuffer(b"".join(f["least"]), dtype=np.uint32).reshape(-1, BANDS, ROWS)
-        keys = [[xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(node)] for node in least]
-        yield pd.DataFrame({"node": np.repeat(f["node"].to_numpy(), BANDS), "key": np.array(keys, dtype=np.uint64).view(np.int64).ravel()})
-
-
-def led(nodes: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
+def led(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
     """(leader, follower) within one bucket. What is common is counted anew each time a fifth of the nodes has gone."""
     out, left, counted = [], np.arange(len(nodes)), None
     while len(left) > 1:
         if counted is None or len(left) <= 0.8 * counted:
-            some, counted = least[left], len(left)
-            common = np.array([v[np.argmax(n)] for v, n in (np.unique(c, return_counts=True) for c in some.T)])
+            some, counted = sketches[left], len(left)
+            common = np.array([np.bincount(c, minlength=256).argmax() for c in some.T], dtype=np.uint8)
             left = left[np.argsort(-(some == common).sum(axis=1), kind="stable")]
         leader, left = left[0], left[1:]
-        near = (least[left] == least[leader]).mean(axis=1) >= RESEMBLES
+        near = resemblance(sketches[leader], sketches[left]) >= RESEMBLES
         out += [(nodes[leader], nodes[i]) for i in left[near]]
         left = left[~near]
     return out
 
 
-def leaders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """bucket, a, b: followers b of leaders a. frames come sorted by bucket and part; a part may go on in the next frame."""
+def crossed(nodes: np.ndarray, sketches: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of nodes of different groups that resemble each other. The largest group comes last and meets only the others."""
+    _, of, n = np.unique(groups, return_inverse=True, return_counts=True)
+    order = np.lexsort((of, n[of]))
+    nodes, sketches, of = nodes[order], sketches[order], of[order]
+    ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
+    out, begin = [], 0
+    for end in ends[:-1]:
+        for i in range(begin, end):
+            out += [(nodes[i], nodes[j]) for j in end + np.flatnonzero(resemblance(sketches[i], sketches[end:]) >= RESEMBLES)]
+        begin = end
+    return out
+
+
+def by_part(match, *columns: str):
+    """a, b: what match gives for each bucket and part. frames come sorted by both; a part may go on in the next frame."""
 
     def pairs(f: pd.DataFrame) -> pd.DataFrame:
-        key, part, nodes = f["bucket"].to_numpy(), f["part"].to_numpy(), f["node"].to_numpy()
-        least = np.frombuffer(b"".join(f["least"]), dtype=np.uint32).reshape(len(f), -1)
+        key, part = f["bucket"].to_numpy(), f["part"].to_numpy()
+        sketches = np.frombuffer(b"".join(f["sketch"]), dtype=np.uint8).reshape(len(f), -1)
+        values = [f["node"].to_numpy(), sketches, *(f[c].to_numpy() for c in columns)]
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
-        out = [(key[at], *p) for at, stop in zip(edge[:-1], edge[1:], strict=True) if stop - at > 1 for p in led(nodes[at:stop], least[at:stop])]
-        return pd.DataFrame(out, columns=["bucket", "a", "b"], dtype="int64")
-
-    held: list[pd.DataFrame] = []
-    for f in frames:
-        if not len(f):
-            continue
-        same = ((f["bucket"] == f["bucket"].iloc[-1]) & (f["part"] == f["part"].iloc[-1])).to_numpy()
-        last = int(np.argmax(same))
-        if last == 0 and held and (held[-1]["bucket"].iloc[-1], held[-1]["part"].iloc[-1]) == (f["bucket"].iloc[-1], f["part"].iloc[-1]):
-            held.append(f)
-            continue
-        if last or held:
-            yield pairs(pd.concat([*held, f.iloc[:last]]))
-        held = [f.iloc[last:]]
-    if held:
-        yield pairs(pd.concat(held))
+        out = [p for at, stop in zip(edge[:-1], edge[1:], strict=True) if stop - at > 1 for p in match(*(v[at:stop] for v in values))]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            if not len(f):
+                continue
+            same = ((f["bucket"] == f["bucket"].iloc[-1]) & (f["part"] == f["part"].iloc[-1])).to_numpy()
+            last = int(np.argmax(same))
+            if last == 0 and held and (held[-1]["bucket"].iloc[-1], held[-1]["part"].iloc[-1]) == (f["bucket"].iloc[-1], f["part"].iloc[-1]):
+                held.append(f)
+                continue
+            if last or held:
+                yield pairs(pd.concat([*held, f.iloc[:last]]))
+            held = [f.iloc[last:]]
+        if held:
+            yield pairs(pd.concat(held))
+
+    return run
 
 
 def sets_of(width: int):
@@ -146,39 +177,51 @@ def sets_of(width: int):
 
 
 def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, node) for each row of docs, and links a, b of nodes with at least that similarity.
+    """(doc_id, mark, node) for each row of docs, and links a, b that span the groups of nodes with at least that similarity.
 
     A null text counts as empty; texts without words are one node. mark is a
     hash of the text. Rows alike give the same node. Only doc_id and text are
     read; an empty table gives empty tables. A bucket of over ``bucket`` nodes is
-    led in parts, whose leaders meet in the second turn.
+    led in parts, then met in blocks of two parts.
     """
     rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
-    found = kept(rows.mapInPandas(tidy(described(width)), "doc_id bigint, mark bigint, node bigint, least binary"), "shingles")
-    nodes = found.groupBy("node").agg(F.min("least").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"))
-    keys = nodes.select("node", "least").mapInPandas(tidy(band_keys), "node bigint, key bigint").withColumnRenamed("key", "bucket")
-    sizes = lambda some: some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = kept(keys.join(sizes(keys), "bucket"), "bands")
-    marks = nodes.select("node", "least")
-    wanted = left.select("node").distinct()
-    ones = nodes.join(wanted, "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
-    read = rows.join(ones, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
+    found = kept(rows.mapInPandas(tidy(described(width)), "doc_id bigint, mark bigint, node bigint, sketch binary, keys array<bigint>"), "shingles")
+    keys = found.select("node", F.explode("keys").alias("bucket")).distinct()
+    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = kept(keys.join(sizes, "bucket"), "bands")
+    wanted = shared.select("node").distinct()
+    nodes = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "mark")).alias("one"))
+    nodes = kept(nodes.select("node", "sketch", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark")), "nodes")
+    read = rows.join(nodes.drop("sketch"), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["mark"] == F.col("_mark"))).select("node", "text")
     sets = kept(read.mapInPandas(tidy(sets_of(width)), "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
-    links = None
-    for turn in range(TURNS):
-        part = F.when(F.col("n") > bucket, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / bucket))).otherwise(F.lit(0)).alias("part")
-        dealt = left.select("node", "bucket", part).join(marks, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
-        tried = kept(dealt.mapInPandas(tidy(leaders), "bucket bigint, a bigint, b bigint"), "led").withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
-        pairs = tried.select("x", "y").distinct()
-        if turn:  # few are left
-            met = kept(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "met")
-            sets = sets.join(F.broadcast(met) if met.count() <= FEW else met, "node", "left_semi")
-        both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
+    sketches = nodes.select("node", "sketch")
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.join(sketches, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+
+    def pairs(tried: DataFrame) -> DataFrame:
+        return tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one, other = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("x", "p"), ("y", "q")))
         common = F.size(F.array_intersect("p", "q"))
-        alike = kept(both.where(common >= F.lit(similarity) * (F.size("p") + F.size("q") - common)).select("x", "y"), "links")
-        links = alike if links is None else links.unionByName(alike)
-        rest = tried.join(alike, ["x", "y"], "left_anti").select("bucket", F.col("b").alias("node"))
-        followers = tried.join(alike, ["x", "y"]).select("bucket", F.col("b").alias("node"))
-        rest = rest.unionByName(left.where(F.col("n") > bucket).join(followers, ["bucket", "node"], "left_anti").select("bucket", "node")).distinct()
-        left = rest.join(sizes(rest), "bucket")
-    return found.select("doc_id", "mark", "node"), cut(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        enough = common >= F.lit(similarity) * (F.size("p") + F.size("q") - common)
+        return pairs.join(one, "x").join(other, "y").where(enough).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    parts = F.ceil(F.col("n") / bucket).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    followers = dealt(shared.select("node", "bucket", part.alias("part"))).mapInPandas(tidy(by_part(led)), "a bigint, b bigint")
+    first = kept(pairs(followers), "led")
+    links = kept(alike(first, sets), "links")
+
+    group = F.coalesce("root", "node")
+    grouped = kept(shared.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", "n", group.alias("group")), "groups")
+    several = grouped.groupBy("bucket").agg(F.min("group").alias("p"), F.max("group").alias("q")).where("p < q").select("bucket")
+    # A bucket of k parts has a block for each two of them; a node is in the k blocks of its part.
+    blocks = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(q, part).cast("long") * parts + F.greatest(q, part))).alias("part")
+    met = dealt(grouped.join(several, "bucket", "left_semi").select("node", "bucket", "group", blocks)).mapInPandas(tidy(by_part(crossed, "group")), "a bigint, b bigint")
+    second = kept(pairs(met).join(first, ["x", "y"], "left_anti"), "met")
+    few = kept(second.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "few")
+    rest = sets.join(F.broadcast(few) if few.count() <= FEW else few, "node", "left_semi")
+    links = links.unionByName(alike(second, rest))
+    return found.select("doc_id", "mark", "node"), cut(links.distinct())

@@ -622,7 +622,7 @@ def test_shingles_find_near_copies(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(expected.values()))
 
 
-@pytest.mark.parametrize("bucket", [20_000, 4])
+@pytest.mark.parametrize("bucket", [8_000, 4])
 def test_followers_meet_without_their_leader(spark, bucket):
     # Many copies of one source, each too far from it and from the others, with a near copy of its own.
     r = random.Random(3)
@@ -647,16 +647,59 @@ def test_followers_meet_without_their_leader(spark, bucket):
     nodes, links = shingles.similar_texts(docs, bucket=bucket)
     of = {x.node: x.doc_id for x in nodes.collect()}
     got = {(max(of[x.a], of[x.b]), min(of[x.a], of[x.b])) for x in links.collect()}
-    if bucket > len(texts):
-        assert got == near
-    else:  # parts may link a class by other pairs of its own
-        assert got <= near and len(got) >= 0.95 * len(near)
+    assert got <= near and classes(got, len(texts)) == classes(near, len(texts))
+
+
+def classes(pairs, n):
+    """Least member of each one's class."""
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("bucket", [8_000, 5])
+def test_chains_of_edits_are_one_class(spark, bucket):
+    # Each text is near the one before only, so nobody resembles all: leaders alone would break the chain.
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for _ in range(4):
+        now = [r.choice(vocabulary) for _ in range(200)]
+        for step in range(25):
+            texts.append(now)
+            now = now[:]
+            at = (step * 37) % 190
+            now[at : at + 8] = [r.choice(vocabulary) for _ in range(8)]
+    rows = list(enumerate(" ".join(t) for t in texts)) + [(None, None), (500, ""), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [{" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    near = {(i, j) for i in range(100) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(set(classes(near, 100))) == 4
+    nodes, links = shingles.similar_texts(docs, bucket=bucket)
+    of = {x.node: x.doc_id for x in nodes.where("doc_id < 100").collect()}
+    assert classes({(of[x.a], of[x.b]) for x in links.collect()}, 100) == classes(near, 100)
 
 
 def test_leaders_give_no_pairs_of_pairs():
     r = np.random.default_rng(5)
-    base = r.integers(0, 1 << 32, (3, 100), dtype=np.uint32)
-    least = base[r.integers(0, 3, 500)]
-    least[r.random(least.shape) < 0.15] = 7
-    links = shingles.led(np.arange(500), least)
+    base = r.integers(1, 256, (3, 400)).astype(np.uint8)
+    of = r.integers(0, 3, 500)
+    sketches = base[of]
+    sketches[r.random(sketches.shape) < 0.08] = 7
+    links = shingles.led(np.arange(500), sketches)
     assert len(links) == 497 and len({b for _, b in links}) == 497
+    assert shingles.crossed(np.arange(500), sketches, of) == []
+    split = np.where(np.arange(500) == 17, 9, of)  # one node that isn't in its group yet meets all of it
+    assert len(shingles.crossed(np.arange(500), sketches, split)) == (of == of[17]).sum() - 1
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(2)
+    for n in (40, 400, 4000):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n * 9 // 10], r.integers(0, 1 << 63, n // 10, dtype=np.uint64)])
+        got = shingles.resemblance(shingles.sketch(np.unique(a)), np.stack([shingles.sketch(np.unique(b)), np.zeros(400, np.uint8)]))
+        assert abs(got[0] - 9 / 11) < 0.06 and got[1] == 0
+    assert shingles.resemblance(np.zeros(400, np.uint8), np.zeros((1, 400), np.uint8))[0] == 0
