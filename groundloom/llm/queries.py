@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundloom.llm import bpe, html_main, images, mixing, pii, quality, repeats, secrets, simhash, urls
+from groundloom.llm import bpe, html_main, images, mixing, pii, prefixes, quality, repeats, scoring, secrets, simhash, urls, whitening
 from groundloom.llm.common import load
 from groundloom.llm.oracles import ORACLES
 
@@ -55,6 +55,18 @@ def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(docs))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(load(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(load(spark, sf_dir, "embeddings")))
+
+
+def op13_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_repeat_removal": op1_repeat_removal,
     "op2_main_text": op2_main_text,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_simhash_copies": op8_simhash_copies,
     "op9_source_mix": op9_source_mix,
     "op10_byte_pairs": op10_byte_pairs,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_quality_score": op13_quality_score,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
