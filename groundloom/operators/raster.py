@@ -80,14 +80,38 @@ def dense(table: DataFrame, height: int, width: int, value: str) -> DataFrame:
 
 
 def components_of(mask: np.ndarray) -> np.ndarray:
-    """Labels of 4-connected parts of a mask, from 1; 0 outside."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(label, 1)
-        new = np.where(mask, np.max([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]], axis=0), 0)
-        if (new == label).all():
-            return label
-        label = new
+    """Labels of 4-connected parts of a mask, from 1; 0 outside. Runs of a row are joined with those above by union-find."""
+    h, w = mask.shape
+    flat = np.zeros((h, w + 2), dtype=np.int8)
+    flat[:, 1:-1] = mask
+    step = np.diff(flat, axis=1)
+    row, begin = np.nonzero(step == 1)
+    stop = np.nonzero(step == -1)[1]
+    head = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1)).tolist()
+    begins, stops = begin.tolist(), stop.tolist()
+    for r in range(1, h):
+        i, j = first[r - 1], first[r]
+        while i < first[r] and j < first[r + 1]:
+            if begins[i] < stops[j] and begins[j] < stops[i]:
+                a, b = find(i), find(j)
+                head[max(a, b)] = min(a, b)
+            if stops[i] < stops[j]:
+                i += 1
+            else:
+                j += 1
+    number = np.unique([find(i) for i in head], return_inverse=True)[1] + 1 if head else np.zeros(0, dtype=int)
+    ends = np.zeros((h, w + 1), dtype=np.int64)
+    np.add.at(ends, (row, begin), number)
+    np.add.at(ends, (row, stop), -number)
+    return np.cumsum(ends, axis=1)[:, :w]
 
 
 def without_small(mask: np.ndarray, most: int) -> np.ndarray:
@@ -100,40 +124,6 @@ def without_small(mask: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def ground_surface(row: np.ndarray, col: np.ndarray, z: np.ndarray, height: int, width: int, power: float = 2.0, near: int = 12) -> np.ndarray:
-    """Ground heights between points by inverse distance over the nearest points; no points give no-data."""
-    out = np.full((height, width), np.nan)
-    if not len(z):
-        return out
-    for r in range(height):
-        d = np.hypot(row[None, :] - r, col[None, :] - np.arange(width)[:, None])
-        k = min(near, len(z))
-        i = np.argpartition(d, k - 1, axis=1)[:, :k]
-        w = 1 / np.maximum(np.take_along_axis(d, i, 1), 1e-6) ** power
-        out[r] = (w * z[i]).sum(axis=1) / w.sum(axis=1)
-    return out
-
-
-def canopy_masks(cells: DataFrame, key: str, height: int, width: int, largest_hole: int = 4) -> DataFrame:
-    """key, row, col, height_m, is_tree: canopy over interpolated ground, held to 0..100 m, small parts closed both ways.
-
-    cells: key, row, col, top, ground. A window is one group; its size is fixed by height and width.
-    """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        known = f[f["ground"].notna()]
-        floor = ground_surface(known["row"].to_numpy(), known["col"].to_numpy(), known["ground"].to_numpy(), height, width)
-        top = np.full((height, width), np.nan)
-        top[f["row"], f["col"]] = f["top"]
-        canopy = np.clip(np.where(np.isnan(top), 0, top - floor), 0, 100)
-        tree = without_small(np.nan_to_num(canopy) >= TREE_HEIGHT, largest_hole)
-        r, c = np.indices((height, width))
-        return pd.DataFrame({key: f[key].iloc[0], "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "height_m": canopy.ravel(), "is_tree": tree.ravel()})
-
-    kind = cells.schema[key].dataType.simpleString()
-    return cells.groupBy(key).applyInPandas(run, f"{key} {kind}, row int, col int, height_m double, is_tree boolean")
-
-
 def resampled(tiles: DataFrame, key: str, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
     """Area-weighted averages of an array column 'values' on another grid; equal grids are returned as they are."""
 

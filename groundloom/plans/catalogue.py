@@ -13,7 +13,7 @@ from groundloom.functions import names as N
 from groundloom.functions import projection as P
 from groundloom.operators import links as L
 from groundloom.operators import metrics as M
-from groundloom.operators import mosaic, observations, overlap, raster, release, sampling, spatial, stats, weighted, windows
+from groundloom.operators import canopy, mosaic, observations, overlap, raster, release, sampling, spatial, stats, weighted, windows
 from groundloom.plans import views as V
 from groundloom.streaming import live
 
@@ -418,10 +418,37 @@ def chm_grid_max_min(spark, d):
     return raster.grid_extremes(V.points(spark, d), 0.0, 0.0, 2.0, 10, 10)
 
 
-@query()
+def _beside(cells: str, flag: str, out: str) -> str:
+    """CTEs: of each cell whether its part (cells of equal flag, by sides) has at most two cells, and that part's first cell."""
+    return f"""{out}_n as (select a.tile, a.i, a.{flag} as f, count(b.i) as n, min(b.i) as j from {cells} a left join (select x.tile, x.i as at, y.i, y.{flag} as f from {cells} x join beside on beside.i = x.i
+   join {cells} y on y.tile = x.tile and y.i = beside.j) b on b.tile = a.tile and b.at = a.i and b.f = a.{flag} group by all),
+ {out} as (select a.tile, a.i, a.f, a.n = 0 or (a.n = 1 and b.n = 1) as small, least(a.i, coalesce(a.j, a.i)) as part from {out}_n a left join {out}_n b on b.tile = a.tile and b.i = a.j)"""
+
+
+HEIGHTS = f"""{V.CANOPY}, middle as (select tile, median(ground) as g from canopy where mode = 2 group by tile),
+ least_top as (select tile, min(top) as m from canopy where mode = 1 group by tile),
+ around as (select a.tile, a.i, min(coalesce(b.top, m)) as g from canopy a join canopy b on a.tile = b.tile and abs(a.r - b.r) <= 2 and abs(a.c - b.c) <= 2 join least_top l on l.tile = a.tile where a.mode = 1 group by all),
+ high as (select c.tile, c.i, c.r, c.c, c.building, case when c.top is not null then least(100.0, greatest(0.0, c.top - case mode when 0 then plane when 1 then around.g else middle.g end)) end as h
+  from canopy c left join around on around.tile = c.tile and around.i = c.i left join middle on middle.tile = c.tile)"""
+
+
+@query(f"""with {HEIGHTS}, beside as (select a.i, b.i as j from range(64) a(i), range(64) b(i) where abs(a.i // 8 - b.i // 8) + abs(a.i % 8 - b.i % 8) = 1),
+ t0 as (select tile, i, coalesce(h >= 3, false) as t, h is null as nd from high), {_beside("t0", "t", "p0")},
+ t1 as (select tile, i, f or small as t from p0), {_beside("t1", "t", "p1")},
+ t2 as (select tile, i, f and not small as t from p1), {_beside("t0", "nd", "gap")},
+ votes as (select g.tile, g.part, 2 * count(*) filter (t2.t) >= count(*) as tree from gap g join beside using (i) join t2 on t2.tile = g.tile and t2.i = beside.j join t0 on t0.tile = g.tile and t0.i = beside.j
+  where g.f and g.small and not t0.nd group by all)
+ select high.tile as "window", high.r::int as row, high.c::int as col, round(h, 6) as height_m, coalesce(case when t0.nd then votes.tree else t2.t end, false) and not building as is_tree, t0.nd and votes.tree is null as is_nodata
+ from high join t0 using (tile, i) join t2 using (tile, i) join gap using (tile, i) left join votes on votes.tile = gap.tile and votes.part = gap.part and gap.f and gap.small""")
 def chm_interpolated(spark, d):
-    cells = V.points(spark, d).groupBy("window", F.floor(F.col("y") / 2).cast("int").alias("row"), F.floor(F.col("x") / 2).cast("int").alias("col")).agg(F.max("z").alias("top"), F.min(F.when(F.col("classification") == 2, F.col("z"))).alias("ground"))
-    return rounded(raster.canopy_masks(cells, "window", 10, 10))
+    cells = V.canopy_cells(spark, d)
+    return rounded(canopy.canopy_masks(cells.withColumnRenamed("tile", "window"), "window", 8, 8, resolution=2.0))
+
+
+@query(f"with {HEIGHTS} select tile as \"window\", (r - 2)::int as row, (c - 2)::int as col, round(h, 6) as height_m from high where r between 2 and 5 and c between 2 and 5")
+def canopy_without_buffer(spark, d):
+    cells = V.canopy_cells(spark, d).withColumnRenamed("tile", "window")
+    return rounded(canopy.canopy_masks(cells, "window", 8, 8, resolution=2.0, buffer_px=2).select("window", "row", "col", "height_m"))
 
 
 @query(f"with {V.RASTERS} select tile, r::int // 4 as row, c::int // 4 as col, round(avg(x), 6) as value from pixels group by all")

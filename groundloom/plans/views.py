@@ -89,6 +89,21 @@ RASTERS = """rasters as (select vec_id as tile, label, [x::double for x in embed
  pixels as (select tile, i // 8 as r, i % 8 as c, v, x from (select tile, unnest(range(64)) as i, unnest(vals) as v, unnest(value) as x from rasters))"""
 
 
+def canopy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 8 x 8 cells over sloping ground. By mode: enough ground to triangulate (0), none (1), three cells (2)."""
+    pixel = rasters(spark, sf_dir).select("tile", (F.col("label") % 3).alias("mode"), F.posexplode("value").alias("i", "x"))
+    row, col, corner = F.floor(F.col("i") / 8).cast("int"), F.col("i") % 8, F.col("i").isin(0, 7, 56, 63)
+    plane = 100.0 + row * F.lit(0.5) - col * F.lit(0.25) + (F.col("tile") % 7)
+    ground = ((F.col("mode") == 0) & ((F.col("x") >= 0) | corner)) | ((F.col("mode") == 2) & F.col("i").isin(9, 30, 54))
+    top = F.when((F.abs("x") >= 0.03) | corner, plane + F.abs("x") * 40)
+    return pixel.select("tile", row.alias("row"), col.alias("col"), top.alias("top"), F.when(ground, plane).alias("ground"), (F.col("x") > 0.2).alias("building"))
+
+
+CANOPY = f"""{RASTERS}, canopy as (select *, case when abs(x) >= 0.03 or i in (0, 7, 56, 63) then plane + abs(x) * 40 end as top,
+  case when (mode = 0 and (x >= 0 or i in (0, 7, 56, 63))) or (mode = 2 and i in (9, 30, 54)) then plane end as ground, x > 0.2 as building
+  from (select tile, label % 3 as mode, (r * 8 + c)::bigint as i, r, c, x, 100.0::double + r * 0.5::double - c * 0.25::double + tile % 7 as plane from pixels join rasters using (tile)))"""
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 20).cast("double").alias("x"), (F.col("event_id") % 20).cast("double").alias("y"), F.col("value").alias("z"), F.when(F.col("event_type") == "view", 2).otherwise(1).alias("classification"), (F.col("user_id") % 5).alias("window"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundloom.operators import links, metrics, mosaic, observations, overlap, raster, sampling, spatial, stats, weighted
+from groundloom.operators import canopy, links, metrics, mosaic, observations, overlap, raster, sampling, spatial, stats, weighted
 from groundloom.session import require_columns
 
 TILES = "lon_c double, lat_c double, tile_area_km2 double, ours double, other double"
@@ -121,10 +121,10 @@ def test_small_parts_change_sides():
 
 def test_canopy(spark):
     rows = [(1, r, c, 20.0 if (r, c) in ((2, 2), (2, 3), (3, 2), (3, 3), (2, 4)) else 1.0, 1.0) for r in range(8) for c in range(8)]
-    got = raster.canopy_masks(spark.createDataFrame(rows, "w int, row int, col int, top double, ground double"), "w", 8, 8).collect()
+    got = canopy.canopy_masks(spark.createDataFrame(rows, "w int, row int, col int, top double, ground double"), "w", 8, 8, largest_hole_m2=4.0).collect()
     assert len(got) == 64 and sum(r.is_tree for r in got) == 5 and max(r.height_m for r in got) == 19.0
-    empty = raster.ground_surface(np.array([]), np.array([]), np.array([]), 2, 2)
-    assert np.isnan(empty).all()
+    none = spark.createDataFrame(rows, "w int, row int, col int, top double, ground double").limit(0)
+    assert canopy.canopy_masks(none, "w", 8, 8).count() == 0
 
 
 def test_resampling_keeps_the_mean(spark):
