@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundloom.functions.binning import NODATA, TREE
+from groundloom.operators import polygons
 from groundloom.operators.raster import TREE_HEIGHT
-from groundloom.operators.spatial import points_in_rings
+from groundloom.operators.spatial import cells_of
 
 
 def _each(height: int, width: int, at) -> Column:
@@ -103,15 +104,22 @@ def surface_difference(pairs: DataFrame, key: str, top_size: tuple[int, int], gr
 def land_masks(tiles: DataFrame, units: DataFrame, key: str, height: int, width: int, pixel: float, block: float) -> DataFrame:
     """key, status, n_land: outside, inside or partial by the pixel centres strictly inside any unit.
 
-    tiles: key and the upper left corner (left, top); units: ring. Centres meet
-    units by grid cell; a centre in two units counts once.
+    tiles: key (unique) and the upper left corner (left, top); units: a key
+    ``unit`` and rings, see polygons. Only tiles near a side of a unit are
+    spread to pixels; of the others one centre tells. A centre in two units
+    counts once.
     """
-    n = F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("i")
-    centres = tiles.select(key, "left", "top", n)
+    x1, y0 = F.col("left") + width * pixel, F.col("top") - height * pixel
+    boxed = tiles.select(key, "left", "top", F.explode(cells_of(F.col("left"), y0, x1, F.col("top"), block)).alias("_c")).select(key, F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
+    border = polygons.covering(units, "unit", block).where("not inner").select("cx", "cy").distinct()
+    near = boxed.join(border, ["cx", "cy"], "left_semi").select(key).distinct().withColumn("_near", F.lit(True))
+    some = tiles.select(key, "left", "top").join(near, key, "left")
+    n = F.when(F.col("_near"), F.sequence(F.lit(0), F.lit(height * width - 1))).otherwise(F.array(F.lit(0)))
+    centres = some.select(key, "left", "top", F.coalesce("_near", F.lit(False)).alias("_near"), F.explode(n).alias("i"))
     x = F.col("left") + (F.col("i") % width + 0.5) * pixel
     y = F.col("top") - (F.floor(F.col("i") / width) + 0.5) * pixel
-    inside = points_in_rings(centres.select(key, "i", x.alias("x"), y.alias("y")), units.select("ring"), block).select(key, "i").distinct()
-    counts = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_land"))
+    held = polygons.points_in_polygons(centres.select(key, "i", "_near", x.alias("x"), y.alias("y")), units, "unit", block).select(key, "i", "_near").distinct()
+    counts = held.groupBy(key).agg(F.sum(F.when(F.col("_near"), 1).otherwise(height * width)).alias("n_land"))
     out = tiles.select(key).join(counts, key, "left").withColumn("n_land", F.coalesce("n_land", F.lit(0).cast("long")))
     status = F.when(F.col("n_land") == 0, "outside").when(F.col("n_land") == height * width, "inside").otherwise("partial")
     return out.select(key, status.alias("status"), "n_land")

@@ -13,7 +13,7 @@ from groundloom.functions import names as N
 from groundloom.functions import projection as P
 from groundloom.operators import links as L
 from groundloom.operators import metrics as M
-from groundloom.operators import canopy, mosaic, observations, overlap, raster, release, sampling, spatial, stats, weighted, windows
+from groundloom.operators import canopy, mosaic, observations, overlap, polygons, raster, release, sampling, spatial, stats, weighted, windows
 from groundloom.plans import views as V
 from groundloom.streaming import live
 
@@ -698,7 +698,7 @@ def surface_corners(spark, d):
 def land_windows(spark, d):
     u = V.units(spark, d).where("unit % 3 <> 0")
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    rings = u.select(F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"), point("x0", "y0")).alias("ring"))
+    rings = u.select("unit", F.array(F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"), point("x0", "y0"))).alias("rings"))
     k = F.col("p_partkey")
     t = V.table(spark, d, "part").select(k.alias("tile"), (F.lit(6.0) + (k % 90) * F.lit(0.11)).alias("left"), (F.lit(54.5) - (k % 70) * F.lit(0.11)).alias("top"))
     return windows.land_masks(t, rings, "tile", 4, 4, 0.05, 1.0)
@@ -743,3 +743,76 @@ def masks_of_images(spark, d):
     path = F.concat(F.lit("m"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"))
     m = V.table(spark, d, "lineitem").where("l_partkey % 3 = 0 and l_partkey % 50 < 40").groupBy(F.col("l_partkey").alias("stem"), (F.col("l_partkey") % 50).alias("tile")).agg(F.min(path).alias("path"))
     return observations.with_masks(i, m)
+
+
+@query(f"""with {V.TILES}, {V.SHAPES}, p as (select lon_c as x, lat_c as y, count(*) as n, sum(land_area_km2) as area from tiles group by all),
+ met as (select p.x, p.y, s.unit, p.n, p.area from p join sides s on p.x between 5.9 and 20 group by p.x, p.y, s.unit, p.n, p.area having {V.WITHIN})
+ select unit, sum(n)::bigint as n_points, round(sum(area), 4) as area from met group by unit""")
+def polygon_with_holes_join(spark, d):
+    t = V.tiles(spark, d).select(F.col("lon_c").alias("x"), F.col("lat_c").alias("y"), F.col("land_area_km2").alias("area"))
+    met = polygons.points_in_polygons(t, V.shapes(spark, d), "unit", 0.25)
+    return rounded(met.groupBy("unit").agg(F.count(F.lit(1)).alias("n_points"), F.sum("area").alias("area")), 4)
+
+
+@query(f"""with {V.TILES}, {V.SHAPES}, p as (select distinct lon_c as x, lat_c as y from tiles), held as (select p.x, p.y from p join sides s on s.unit % 2 = 0 group by p.x, p.y, s.unit having {V.WITHIN}),
+ each as (select unit, (lon_c, lat_c) in (select (x, y) from held) as excluded from tiles)
+ select unit, count(*) as n, count(*) filter (excluded) as n_excluded, round((select avg(excluded::int) from each), 6) as flagged_share, (select avg(excluded::int) from each) > 0.25 as is_suspect from each group by unit""")
+def excluded_by_polygons(spark, d):
+    t = V.tiles(spark, d).select("unit", F.col("lon_c").alias("x"), F.col("lat_c").alias("y")).withColumn("place", F.struct("x", "y"))
+    flagged = polygons.flag_inside(t.select("place", "x", "y").distinct(), "place", V.shapes(spark, d).where("unit % 2 = 0").withColumnRenamed("unit", "shape"), "shape", 0.25)
+    each = t.join(flagged.select("place", "excluded"), "place")
+    share = each.agg((F.count_if("excluded") / F.count(F.lit(1))).alias("flagged_share"))
+    n = each.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count_if("excluded").alias("n_excluded"))
+    return rounded(n.crossJoin(F.broadcast(share)).withColumn("is_suspect", F.col("flagged_share") > 0.25))  # one row
+
+
+@query(f"""with {V.SHAPES}, diamond as (select c_custkey as parcel, 6.0::double + (c_custkey % 97) * 0.09::double as u, 47.0::double + (c_custkey % 83) * 0.085::double as v, 0.02::double + (c_custkey % 13) * 0.02::double as w from customer),
+ other as (select parcel, unnest([u, u + w, u, u - w]) as ax, unnest([v - w, v, v + w, v]) as ay, unnest([u + w, u, u - w, u]) as ex, unnest([v, v + w, v, v - w]) as ey from diamond),
+ crossing as (select distinct unit, parcel from sides l join other r on least(l.ax, l.ex) <= greatest(r.ax, r.ex) and least(r.ax, r.ex) <= greatest(l.ax, l.ex) and least(l.ay, l.ey) <= greatest(r.ay, r.ey) and least(r.ay, r.ey) <= greatest(l.ay, l.ey)
+  where ((l.ex - l.ax) * (r.ay - l.ay) - (l.ey - l.ay) * (r.ax - l.ax)) * ((l.ex - l.ax) * (r.ey - l.ay) - (l.ey - l.ay) * (r.ex - l.ax)) <= 0
+  and ((r.ex - r.ax) * (l.ay - r.ay) - (r.ey - r.ay) * (l.ax - r.ax)) * ((r.ex - r.ax) * (l.ey - r.ay) - (r.ey - r.ay) * (l.ex - r.ax)) <= 0),
+ held as (select s.unit, p.parcel from (select parcel, u as x, v - w as y from diamond) p join sides s on true group by s.unit, p.parcel, p.x, p.y having {V.WITHIN}),
+ corner as (select unit, ring[1].x as x, ring[1].y as y from (select unit, unnest(rings) as ring from shapes)),
+ holds as (select p.unit, d.parcel from corner p join diamond d on abs(p.x - d.u) + abs(p.y - d.v) < d.w)
+ select * from crossing union select * from held union select * from holds""")
+def polygons_sharing_ground(spark, d):
+    k = F.col("c_custkey")
+    c = V.table(spark, d, "customer").select(k.alias("parcel"), (F.lit(6.0) + (k % 97) * F.lit(0.09)).alias("u"), (F.lit(47.0) + (k % 83) * F.lit(0.085)).alias("v"), (F.lit(0.02) + (k % 13) * F.lit(0.02)).alias("w"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    u, v, w = map(F.col, "uvw")
+    parcels = c.select("parcel", F.array(F.array(point(u, v - w), point(u + w, v), point(u, v + w), point(u - w, v))).alias("rings"))
+    return polygons.polygons_intersecting(V.shapes(spark, d), parcels, "unit", "parcel", 0.2)
+
+
+@query(f"""with {V.SHAPES}, t as (select p_partkey as tile, 6.0::double + (p_partkey % 90) * 0.11::double as l, 54.5::double - (p_partkey % 70) * 0.11::double as t from part),
+ px as (select tile, i, l + (i % 4 + 0.5::double) * 0.05::double as x, t - (i // 4 + 0.5::double) * 0.05::double as y from (select *, unnest(range(16)) as i from t)),
+ held as (select distinct tile, i from (select p.tile, p.i, s.unit from px p join sides s on true group by p.tile, p.i, p.x, p.y, s.unit having {V.WITHIN})),
+ n as (select t.tile, count(held.i) as n_land from t left join held using (tile) group by t.tile)
+ select tile, case n_land when 0 then 'outside' when 16 then 'inside' else 'partial' end as status, n_land from n""")
+def land_windows_with_holes(spark, d):
+    k = F.col("p_partkey")
+    t = V.table(spark, d, "part").select(k.alias("tile"), (F.lit(6.0) + (k % 90) * F.lit(0.11)).alias("left"), (F.lit(54.5) - (k % 70) * F.lit(0.11)).alias("top"))
+    return windows.land_masks(t, V.shapes(spark, d), "tile", 4, 4, 0.05, 0.1)
+
+
+#: The newest date of each cell: years of orders, 0 for those of low priority, on the ground of a customer's number.
+GROUND = """ground as (select zone, cx, cy, max(date) as date from (select o_custkey % 2 as zone, o_custkey // 2 % 31 as cx, o_custkey // 62 as cy,
+  case when o_orderpriority = '5-LOW' then 0 else year(o_orderdate)::int end as date from orders where o_custkey % 5 <> 4) group by all)"""
+
+
+@query(f"""with {GROUND}, side as (select zone, date, cx, cy, unnest([(1, 0), (-1, 0), (0, 1), (0, -1)]) as s from ground),
+ free as (select zone, date, count(*) as n from side x where not exists (select 1 from ground g where g.zone = x.zone and g.date = x.date and g.cx = x.cx + s[1] and g.cy = x.cy + s[2]) group by all),
+ quad as (select zone, date, x, y, count(*) as n, count(distinct dx) = 2 and count(distinct dy) = 2 as diagonal from (select zone, date, cx + dx as x, cy + dy as y, dx, dy from ground, range(2) a(dx), range(2) b(dy)) group by all),
+ euler as (select zone, date, (count(*) filter (n = 1) - count(*) filter (n = 3) + 2 * count(*) filter (n = 2 and diagonal)) // 4 as euler from quad group by all)
+ select g.zone, g.date, round(count(*) * 1e6, 3) as area_m2, round(any_value(free.n) * 1000.0::double, 3) as perimeter_m, any_value(euler.euler)::bigint as shells_less_holes, true as is_closed
+ from ground g join free using (zone, date) join euler using (zone, date) group by all""")
+def coverage_outlines(spark, d):
+    """Rings of the ground that each year is the newest for: areas, lengths and the Euler number of each year's cells."""
+    o = V.table(spark, d, "orders").where("o_custkey % 5 <> 4")
+    k = F.col("o_custkey")
+    date = F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(F.year("o_orderdate"))
+    tiles = o.select((k % 2).alias("zone"), (F.floor(k / 2) % 31).alias("cx"), F.floor(k / 62).alias("cy"), date.alias("date"))
+    rings = polygons.coverage_polygons(tiles, "zone", "date", 1000.0)
+    closed = (F.element_at("ring", 1) == F.element_at("ring", -1)) & (F.size("ring") == F.col("n_corners") + 1)
+    each = rings.groupBy("zone", "date").agg(F.sum("area").alias("area_m2"), F.sum("perimeter").alias("perimeter_m"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).alias("shells_less_holes"), F.every(closed).alias("is_closed"))
+    return rounded(each, 3)

@@ -122,6 +122,26 @@ UNITS = """units as (select n_nationkey as unit, x0, y0, x0 + 1.8::double as x1,
   (select n_nationkey, 6.0::double + (n_nationkey % 5) * 1.8::double as x0, 47.0::double + (n_nationkey // 5) * 1.44::double as y0 from nation))"""
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit as a slanted shell with a hole, an island in the hole and, for every third, a part of its own beyond the shell."""
+    u = units(spark, sf_dir)
+    at = lambda i, j: F.struct((F.col("x0") + i * F.lit(0.05)).alias("x"), (F.col("y0") + j * F.lit(0.05)).alias("y"))
+    ring = lambda r: F.array(*(at(i, j) for i, j in r))
+    three = F.array(*map(ring, SHAPE[:3]))
+    return u.select("unit", F.when(F.col("unit") % 3 == 0, F.concat(three, F.array(ring(SHAPE[3])))).otherwise(three).alias("rings"))
+
+
+#: Corners in steps of 0.05 degrees from a unit's corner.
+SHAPE = (((0, 0), (34, 2), (36, 27), (3, 25)), ((8, 6), (9, 20), (27, 18), (25, 5)), ((14, 9), (21, 10), (20, 16), (14, 15)), ((37, 10), (44, 9), (41, 19)))
+
+_rings = ", ".join("[" + ", ".join(f"{{'x': x0 + {i} * 0.05::double, 'y': y0 + {j} * 0.05::double}}" for i, j in r) + "]" for r in SHAPE)
+SHAPES = f"""{UNITS}, shapes as (select unit, case when unit % 3 = 0 then [{_rings}] else [{_rings}][1:3] end as rings from units),
+ sides as (select unit, ring[i].x as ax, ring[i].y as ay, ring[i % len(ring) + 1].x as ex, ring[i % len(ring) + 1].y as ey from (select unit, ring, unnest(range(1, len(ring) + 1)) as i from (select unit, unnest(rings) as ring from shapes)))"""
+#: Whether p.x, p.y lies in an odd number of rings, by its sides s, and on none.
+WITHIN = """count(*) filter ((ay > p.y) <> (ey > p.y) and p.x < ax + (p.y - ay) * (ex - ax) / nullif(ey - ay, 0)) % 2 = 1
+  and not bool_or((ex - ax) * (p.y - ay) = (ey - ay) * (p.x - ax) and p.x between least(ax, ex) and greatest(ax, ex) and p.y between least(ay, ey) and greatest(ay, ey))"""
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = F.when(F.col("l_returnflag") == "N", "dop").when(F.col("l_returnflag") == "A", "bdom").otherwise("dgm")
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tile"), F.trunc("l_shipdate", "month").alias("date"), product.alias("product")).distinct()
