@@ -619,6 +619,32 @@ def training_draw_rules(spark, d):
     return drawn.groupBy("tcd_bin").agg(F.count(F.lit(1)).alias("got")).crossJoin(too_near).crossJoin(over)
 
 
+@query(f"select level, true as is_enough, 0::bigint as n_too_near from (select unnest([{', '.join(repr(x) for x in B.DENSITY_LABELS)}, 'F', 'O', 'P']) as level)")
+def validation_draw_rules(spark, d):
+    """Where candidates suffice, every level has its samples (20, or all there are if fewer) and none is too near."""
+    c = _draw_candidates(spark, d)
+    drawn = validation_draw(spark, d).join(c, "o_orderkey")
+    a, b = drawn.alias("a"), drawn.alias("b")
+    near = F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2) < 500.0**2
+    too_near = a.join(b, (F.col("a.turn") < F.col("b.turn")) & near).agg(F.count(F.lit(1)).alias("n_too_near"))  # no more rows than the targets
+    level = F.explode(F.array("tcd_bin", "urban")).alias("level")
+    n = drawn.select(level).groupBy("level").agg(F.count(F.lit(1)).alias("got"))
+    return n.select("level", (F.col("got") >= 20).alias("is_enough")).crossJoin(too_near)
+
+
+@query(f"select b as tcd_bin, 30::bigint as got, true as is_level, 0::bigint as n_flights_over from (select unnest([{', '.join(repr(x) for x in B.DENSITY_LABELS)}]) as b)")
+def balanced_draw_rules(spark, d):
+    """A draw that keeps the two acquisition orders level and a limit of flights in each stratum: targets are met and the orders differ by a tenth of the draw at most."""
+    order = F.when(F.col("o_orderkey") % 5 == 0, sampling.ORDERS[1]).otherwise(sampling.ORDERS[0])
+    c = _draw_candidates(spark, d).withColumn("pattern", order).withColumn("months", F.array(F.substring("flight_date", 5, 2).cast("int")))
+    drawn = sampling.training_draw(c, "o_orderkey", "tcd_bin", dict.fromkeys(B.DENSITY_LABELS, 30), 2000.0, 5, 100, by_stratum=True, pattern="pattern", months="months")
+    drawn = drawn.join(c.select("o_orderkey", "flight_date", "pattern"), "o_orderkey")
+    apart = F.abs(F.sum(F.when(F.col("pattern") == sampling.ORDERS[0], 1).otherwise(-1)))
+    level = drawn.agg((apart <= F.count(F.lit(1)) / 10).alias("is_level"))
+    over = drawn.groupBy("tcd_bin", "flight_date").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 5).alias("n_flights_over"))
+    return drawn.groupBy("tcd_bin").agg(F.count(F.lit(1)).alias("got")).crossJoin(level).crossJoin(over)
+
+
 @query()
 def validation_draw(spark, d):
     return sampling.validation_draw(_draw_candidates(spark, d), "o_orderkey", ["tcd_bin", "urban"], 20, 500.0, 42)

@@ -200,25 +200,50 @@ def test_draws(spark):
     rows = [(i, "B1" if i % 4 else "B2", f"f{i % 50}", i % 60 * 5000.0, i // 60 * 5000.0, "u" if i % 3 else "r") for i in range(600)]
     df = spark.createDataFrame(rows, "id int, bin string, flight_date string, x double, y double, kind string")
     got = sampling.training_draw(df, "id", "bin", {"B1": 30, "B2": 10}, 2000.0, 3, 100).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, sampling.training_draw(df.repartition(7), "id", "bin", {"B1": 30, "B2": 10}, 2000.0, 3, 100).collect()))
     assert sum(r.bin == "B1" for r in got) == 30 and sum(r.bin == "B2" for r in got) == 10
     flights = [rows[r.id][2] for r in got]
     assert max(map(flights.count, flights)) <= 3
     levels = [rows[r.id] for r in sampling.validation_draw(df, "id", ["bin", "kind"], 12, 500.0, 42).collect()]
     assert all(sum(x[i] == v for x in levels) >= 12 for i, v in ((1, "B1"), (1, "B2"), (5, "u"), (5, "r")))
-    assert not sampling.Spaced(10).take.__self__.squares
-    s = sampling.Spaced(10)
-    assert s.take(0, 0) and not s.take(9, 0) and s.take(10, 0) and not s.take(-3, -3)
+    none = df.where("bin = 'B3'")
+    assert sampling.training_draw(none, "id", "bin", {"B3": 2}, 10.0, 3, 1).count() == 0 and sampling.validation_draw(none, "id", ["bin"], 2, 10.0, 1).count() == 0
+
+
+def test_draws_keep_their_distance_and_balance(spark):
+    r = np.random.default_rng(4)
+    orders = ["summer_then_non-summer", "non-summer_then_summer", "both"]
+    rows = [(i, "ab"[i % 2], [f"d{i % 40}", f"d{i % 17}"], float(x), float(y), orders[0 if i % 10 else i // 10 % 3], [1 + i % 3] if i % 12 else [5, 6, 7, 8]) for i, (x, y) in enumerate(r.uniform(0, 900, (1500, 2)))]
+    df = spark.createDataFrame(rows, "id int, s string, flight_date array<string>, x double, y double, pattern string, months array<int>")
+    got = sampling.training_draw(df, "id", "s", {"a": 40, "b": 20}, 30.0, 6, 1, by_stratum=True, pattern="pattern").collect()
+    assert [r.turn for r in sorted(got, key=lambda r: r.turn)] == list(range(60)) and sum(x.s == "a" for x in got) == 40
+    at = np.array([rows[x.id][3:5] for x in got])
+    apart = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))[np.triu_indices(60, 1)]
+    assert apart.min() >= 30
+    dates = [(x.s, d) for x in got for d in set(rows[x.id][2])]
+    assert max(map(dates.count, dates)) <= 6
+    plain = sampling.training_draw(df, "id", "s", {"a": 40, "b": 20}, 30.0, 6, 1, by_stratum=True).collect()
+    behind = lambda drawn: sum(rows[x.id][5] == orders[1] for x in drawn)
+    rare = lambda drawn: sum(len(rows[x.id][6]) == 4 for x in drawn)
+    by_month = sampling.training_draw(df, "id", "s", {"a": 40, "b": 20}, 30.0, None, 1, months="months").collect()
+    assert behind(got) > behind(plain) and rare(by_month) > rare(plain)
+    dense = sampling.training_draw(df, "id", "s", {"a": 500, "b": 500}, 100.0, None, 1).collect()
+    spots = np.array([rows[x.id][3:5] for x in dense])
+    free = [i for i, row in enumerate(rows) if np.hypot(*(spots - row[3:5]).T).min() >= 100]
+    assert not free  # it ends only when no candidate is left
+    levels = sampling.validation_draw(df, "id", ["s", "pattern"], 15, 30.0, 2).collect()
+    spots = np.array([rows[x.id][3:5] for x in levels])
+    assert np.hypot(*(spots[:, None] - spots[None]).transpose(2, 0, 1))[np.triu_indices(len(spots), 1)].min() >= 30
+    assert all(sum(rows[x.id][k] == v for x in levels) >= 15 for k, v in ((1, "a"), (1, "b"), (5, orders[0]), (5, orders[1]), (5, orders[2])))
 
 
 def test_draws_use_every_candidate(spark):
     # One square holds all of a stratum's candidates; only the last by hash aren't of a full flight or too near.
     rows = [(i, "B1", "full", 100.0 + i % 7, 100.0) for i in range(400)] + [(1000 + i, "B1", f"f{i}", 100.0 + 50 * i, 900.0) for i in range(6)]
     df = spark.createDataFrame(rows, "id int, bin string, flight_date string, x double, y double")
-    several = [sampling.training_draw(df.repartition(n), "id", "bin", {"B1": 8, "B2": 3}, 40.0, 1, 7, batch).collect() for n, batch in ((1, 512), (5, 3), (3, 64))]
+    several = [sampling.training_draw(df.repartition(n), "id", "bin", {"B1": 8, "B2": 3}, 40.0, 1, 7).collect() for n in (1, 5)]
     assert len({tuple(map(tuple, x)) for x in several}) == 1
     assert sum(r.id >= 1000 for r in several[0]) == 6 and len(several[0]) == 7
-    some = [sampling.validation_draw(df.repartition(n), "id", ["bin"], 7, 40.0, 7, batch).collect() for n, batch in ((1, 512), (4, 5))]
+    some = [sampling.validation_draw(df.repartition(n), "id", ["bin"], 7, 40.0, 7).collect() for n in (1, 4)]
     assert some[0] == some[1] and len(some[0]) == 7
 
 
