@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundloom.functions import dates as D
-from groundloom.operators.stats import binned, offsets
+from groundloom.operators.stats import FITS, rows_at_ranks
 
 
 def collapse_tiles(index: DataFrame, tile: str, date: str) -> DataFrame:
@@ -84,23 +85,18 @@ def numbered_patches(patches: DataFrame, observation: str) -> DataFrame:
     return patches.withColumn("patch_no", F.lpad((F.row_number().over(order) - 1).cast("string"), 4, "0"))
 
 
-def best_median_worst(df: DataFrame, by: str, score: str, key: str, bins: int = 4096) -> DataFrame:
+def best_median_worst(df: DataFrame, by: str, score: str, key: str, fits: int = FITS) -> DataFrame:
     """The best, median and worst row of each group, by score, then key; a null score is the least.
 
-    Best and worst are sums with map-side combine. The median is looked for in
-    the one bin of scores that holds its rank, so no group is sorted as a whole.
+    A group of one has only a best, of two a best and a worst. Ranks are found
+    as in stats.ranked_values(), so no group is sorted as a whole.
     """
-    rows = binned(df, score, [by], bins)
-    row, order = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(score, key)
-    ends = rows.groupBy(by).agg(F.max_by(row, order).alias("best"), F.min_by(row, order).alias("worst"), F.first("_n").alias("_n"))
-    role = F.when(F.col("_n") > 1, F.array(F.struct(F.col("best").alias("r"), F.lit("best").alias("role")), F.struct(F.col("worst").alias("r"), F.lit("worst").alias("role"))))
-    ends = ends.select(F.explode(F.coalesce(role, F.array(F.struct(F.col("best").alias("r"), F.lit("best").alias("role"))))).alias("x"))
-    middle = F.floor(F.col("_n") / 2)
-    at = offsets(rows, [by]).where((middle >= F.col("_from")) & (middle < F.col("_to")) & (F.col("_n") > 2)).select(F.col(by).alias("_by"), F.col("_bin").alias("_b"), "_from")
-    near = rows.join(at, rows[by].eqNullSafe(at["_by"]) & (rows["_bin"] == at["_b"]))
-    near = near.select(row.alias("r"), (F.col("_from") + F.row_number().over(Window.partitionBy("_by", "_b").orderBy(score, key)) - 1 == middle).alias("hit"))
-    both = ends.select("x.r", "x.role").unionByName(near.where("hit").select("r", F.lit("median").alias("role")))
-    return both.select(*(F.col("r").getField(c).alias(c) for c in df.columns), "role")
+    ranks = lambda n: F.when(n > 2, F.array(n - 1, F.floor(n / 2), F.lit(0).cast("long"))).when(n == 2, F.array(n - 1, F.lit(0).cast("long"))).otherwise(F.array(n - 1))
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
+    found = rows_at_ranks(df, [by], score, key, ranks, fits)
+    out = found.join(sizes, found[by].eqNullSafe(sizes["_by"]))
+    role = F.when(F.col("_rank") == F.col("_n") - 1, "best").when(F.col("_rank") == 0, "worst").otherwise("median")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), role.alias("role"))
 
 
 def season_weights(df: DataFrame, season: str) -> DataFrame:
@@ -132,12 +128,64 @@ def exclude_where(df: DataFrame, predicate: str) -> DataFrame:
     return df.where(~hit)
 
 
-def even_spread(df: DataFrame, by: str, value: str, key: str, n: int) -> DataFrame:
-    """n rows of each group at evenly spaced ranks of the value: the bin centres (i + 0.5) / n."""
-    order = Window.partitionBy(by).orderBy(value, key)
-    ranked = df.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.least(F.floor((i + 0.5) / n * F.col("_n")), F.col("_n") - 1))
-    return ranked.where(F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n")
+def even_spread(df: DataFrame, by: str, value: str, key: str, n: int, fits: int = FITS) -> DataFrame:
+    """n rows of each group at evenly spaced ranks of the value: the bin centres (i + 0.5) / n; a null value is the least."""
+    ranks = lambda size: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.least(F.floor((i + 0.5) / n * size), size - 1))
+    return rows_at_ranks(df, [by], value, key, ranks, fits).drop("_rank")
+
+
+def spread_examples(pairs: DataFrame, by: str, value: str, key: str, date: str, contrast: str, n: int, near: int = 2, first: str | None = None, n_first: int = 1, fits: int = FITS) -> DataFrame:
+    """Up to n rows of each group, spread over the ranks of value, no two of one date if it can be helped.
+
+    Around each bin centre, rank round((i + 0.5) / n * (size - 1)), the row
+    within ``near`` ranks wins whose date no chosen row has, then the one of the
+    greatest contrast, then the nearest. first: a boolean column; of its true
+    rows n_first are chosen first (fewer if there are fewer), and the rest from
+    the others, which avoid their dates. Rows without a value are left out; a
+    group of at most n rows is returned as it is. A group's choice looks at
+    (2 * near + 1) * n rows of each kind.
+    """
+    known = pairs.where(F.col(value).isNotNull())
+    kind = F.coalesce(F.col(first), F.lit(False)) if first else F.lit(False)
+    rows = known.withColumn("_first", kind)
+    sizes = rows.groupBy(by).agg(F.count_if("_first").alias("_a"), F.count_if(~F.col("_first")).alias("_b"))
+    few = F.least(F.lit(n_first if first else 0), F.lit(n), F.col("_a"))
+    sizes = sizes.select(F.col(by).alias("_by"), F.explode(F.array(F.struct(F.lit(True).alias("f"), few.alias("n"), F.col("_a").alias("size")), F.struct(F.lit(False).alias("f"), (n - few).alias("n"), F.col("_b").alias("size")))).alias("_s"), (F.col("_a") + F.col("_b") <= n).alias("_all"))
+    sizes = sizes.select("_by", F.col("_s.f").alias("_f"), F.col("_s.n").alias("_n"), F.col("_s.size").alias("_size"), "_all")
+    met = rows.join(sizes, rows[by].eqNullSafe(sizes["_by"]) & (rows["_first"] == sizes["_f"])).drop("_by", "_f")
+    short = met.where(F.col("_all") | (F.col("_size") <= F.col("_n")))
+    whole = short.select(*rows.columns, "_n", "_size", F.lit(None).cast("long").alias("_rank"))
+    rest = met.where(~(F.col("_all") | (F.col("_size") <= F.col("_n"))) & (F.col("_n") > 0))
+    i, last = F.col("_i"), F.col("_size") - 1
+    centre = F.least(last, F.rint((i + 0.5) / F.col("_n") * last).cast("long"))
+    asked = sizes.where(~F.col("_all") & (F.col("_size") > F.col("_n")) & (F.col("_n") > 0)).select(F.col("_by").alias(by), F.col("_f").alias("_first"), "_n", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+    asked = asked.select(by, "_first", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), centre - near), F.least(last, centre + near))).alias("_rank"))
+    found = rows_at_ranks(rest, [by, "_first"], value, key, asked, fits).drop("_all")
+    candidates, names = whole.unionByName(found.select(*whole.columns)), pairs.columns
+
+    def choose(f: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for one in (True, False):
+            pool = f[f["_first"] == one]
+            if pool.empty:
+                continue
+            if pool["_rank"].isna().any():
+                out.append(pool)
+                used |= set(pool[date])
+                continue
+            m, last, taken = int(pool["_n"].iloc[0]), int(pool["_size"].iloc[0]) - 1, set()
+            for i in range(m):
+                target = min(last, round((i + 0.5) / m * last))
+                window = pool[((pool["_rank"] - target).abs() <= near) & ~pool["_rank"].isin(taken)]
+                if window.empty:
+                    continue
+                best = max(window.index, key=lambda j: (window.at[j, date] not in used, window.at[j, contrast], -abs(window.at[j, "_rank"] - target)))  # noqa: B023
+                taken.add(window.at[best, "_rank"])
+                used.add(window.at[best, date])
+                out.append(window.loc[[best]])
+        return pd.concat(out)[names] if out else f.iloc[:0][names]
+
+    return candidates.orderBy("_rank").groupBy(by).applyInPandas(choose, pairs.schema)
 
 
 def split_report(patches: DataFrame) -> DataFrame:

@@ -236,6 +236,57 @@ def test_draws_keep_their_distance_and_balance(spark):
     assert all(sum(rows[x.id][k] == v for x in levels) >= 15 for k, v in ((1, "a"), (1, "b"), (5, orders[0]), (5, orders[1]), (5, orders[2])))
 
 
+def test_order_statistics_of_skewed_values(spark):
+    r = np.random.default_rng(6)
+    values = list(map(float, [*(10.0 ** r.uniform(-300, 300, 3000)), *[7.0] * 2000, 1e308, -1e308, *r.normal(0, 1e-9, 2000)]))
+    df = spark.createDataFrame([("g", v, f"key{i % 3000}") for i, v in enumerate(values)] + [("h", 1.0, "x"), (None, 2.0, "y")], "g string, v double, id string").repartition(6)
+    points = [0.0, 0.1, 0.37, 0.5, 0.98, 1.0]
+    got = {x.g: x for x in stats.percentiles(df, "v", points, "g", fits=50).collect()}
+    assert list(got["g"])[1:] == pytest.approx(list(np.quantile(values, points)), rel=1e-9)
+    assert got["h"].p50 == 1 and got[None].p50 == 2
+    ranks = [0, 3, 1999, 2500, 4000, 6000, len(values) - 1]
+    picked = stats.rows_at_ranks(df.where("g = 'g'"), ["g"], "v", "id", lambda n: F.array(*map(F.lit, ranks)), fits=50).collect()
+    assert [x.v for x in sorted(picked, key=lambda x: x._rank)] == [sorted(values)[k] for k in ranks]
+    rows = stats.ranked_values(df.select("g", "v").selectExpr("struct(g) as _g", "v as _v"), df.where("g = 'g'").limit(1).selectExpr("struct(g) as _g", "4000L as _rank"), fits=50).first()
+    assert rows._v == sorted(values)[4000] and rows._below == sum(v < rows._v for v in values) and rows._same == values.count(rows._v)
+
+
+def brute_examples(rows, n, n_first):
+    out, used = [], set()
+    if len(rows) <= n:
+        return sorted(x["id"] for x in rows)
+    kinds = [[x for x in rows if x["u"]], [x for x in rows if not x["u"]]]
+    few = min(n_first, n, len(kinds[0]))
+    for pool, m in zip(kinds, (few, n - few), strict=True):
+        pool = sorted(pool, key=lambda x: (x["v"], x["id"]))
+        if m <= 0 or not pool:
+            continue
+        if m >= len(pool):
+            out += pool
+            used |= {x["d"] for x in pool}
+            continue
+        last, taken = len(pool) - 1, set()
+        for i in range(m):
+            target = min(last, round((i + 0.5) / m * last))
+            window = [j for j in range(max(0, target - 2), min(last, target + 2) + 1) if j not in taken]
+            if window:
+                best = max(window, key=lambda j: (pool[j]["d"] not in used, pool[j]["c"], -abs(j - target)))
+                taken.add(best)
+                used.add(pool[best]["d"])
+                out.append(pool[best])
+    return sorted(x["id"] for x in out)
+
+
+def test_examples_are_spread_and_differ_in_date(spark):
+    r = np.random.default_rng(8)
+    rows = [dict(g=g, id=k * 1000 + i, v=float(r.integers(0, 400)) if i % 9 else float(i), d=f"d{r.integers(0, 4)}", c=int(r.integers(0, 1000)), u=bool(r.random() < 0.3)) for k, (g, size) in enumerate((("a", 90), ("b", 4), ("c", 2), ("d", 30))) for i in range(size)]
+    rows += [dict(g="a", id=9999, v=None, d="d0", c=1, u=True)]
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], "g string, id int, v double, d string, c int, u boolean")
+    got = observations.spread_examples(df, "g", "v", "id", "d", "c", 3, first="u", fits=8).collect()
+    for g in "abcd":
+        assert sorted(x.id for x in got if x.g == g) == brute_examples([x for x in rows if x["g"] == g and x["v"] is not None], 3, 1)
+
+
 def test_draws_use_every_candidate(spark):
     # One square holds all of a stratum's candidates; only the last by hash aren't of a full flight or too near.
     rows = [(i, "B1", "full", 100.0 + i % 7, 100.0) for i in range(400)] + [(1000 + i, "B1", f"f{i}", 100.0 + 50 * i, 900.0) for i in range(6)]
@@ -252,13 +303,13 @@ def test_percentiles_and_ranks(spark):
     rows = [(k, None if i % 50 == 9 else float(v), i) for k in ("a", None, "one") for i, v in enumerate(r.integers(0, 9, 1 if k == "one" else 301) ** 3)]
     rows += [("none", None, 1), ("two", 5.0, 1), ("two", 5.0, 2), ("same", 1.0, 2), ("same", 1.0, 1), ("same", 1.0, 3)]
     df = spark.createDataFrame(rows, "k string, v double, id int").repartition(4)
-    got = {x.k: tuple(x)[1:] for x in stats.percentiles(df, "v", [0.5, 0.02, 0.98], "k", bins=16).collect()}
+    got = {x.k: tuple(x)[1:] for x in stats.percentiles(df, "v", [0.5, 0.02, 0.98], "k", fits=8).collect()}
     for k in {x[0] for x in rows}:
         of = [x[1] for x in rows if x[0] == k and x[1] is not None]
         assert got[k] == (pytest.approx(np.quantile(of, [0.5, 0.02, 0.98])) if of else (None, None, None))
     whole = stats.percentiles(df, "v", [0.5]).first()
     assert whole.p50 == np.median([x[1] for x in rows if x[1] is not None])
-    ranked = {(x.k, x.role): x.id for x in observations.best_median_worst(df, "k", "v", "id", bins=16).collect()}
+    ranked = {(x.k, x.role): x.id for x in observations.best_median_worst(df, "k", "v", "id", fits=8).collect()}
     for k in {x[0] for x in rows}:
         of = sorted((-1.0 if x[1] is None else x[1], x[2]) for x in rows if x[0] == k)
         assert ranked[k, "best"] == of[-1][1]
