@@ -14,11 +14,19 @@ Candidates come in two turns and are compared by their whole sets. First, within
 a band's bucket, leaders are chosen one after another: the node most like the
 bucket's commonest values takes what resembles it, and the rest go on, so a
 bucket of n nodes gives fewer than n candidates. What these links join is one
-group. Second, in buckets that still hold several groups, nodes of different
-groups meet, and those whose sketches resemble each other are compared too; a
-large class of copies is then one group, none of whose pairs are made. Larger
-buckets are led in parts in the first turn and cut into blocks of two parts in
-the second, so that any two of their nodes meet in some block.
+group, and a large class of copies is then one group none of whose pairs are
+made.
+
+Second, what leaders have missed is found by prefixes. Shingles are ordered by
+how many nodes hold them, rarest first. Two sets of similarity t must share
+their first common shingle so early that what is left of either can still reach
+the overlap that t asks for: of the smaller one at least 2t / (1 + t) is left.
+So nodes of different groups meet under the shingles of their prefixes only,
+and only where both have enough left. Pages of one template that are less alike
+than t have rarer shingles of their own in front, more than a prefix holds, and
+never meet: such a class costs its size. Larger buckets are led in parts in the
+first turn and cut into blocks of two parts in the second, so that any two of
+their nodes meet in some block. The bands alone decide which nodes take part.
 """
 
 from __future__ import annotations
@@ -107,7 +115,7 @@ def described(width: int):
     return run
 
 
-def led(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+def led(nodes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
     """(leader, follower) within one bucket. What is common is counted anew each time a fifth of the nodes has gone."""
     out, left, counted = [], np.arange(len(nodes)), None
     while len(left) > 1:
@@ -117,23 +125,34 @@ def led(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
             left = left[np.argsort(-(some == common).sum(axis=1), kind="stable")]
         leader, left = left[0], left[1:]
         near = resemblance(sketches[leader], sketches[left]) >= RESEMBLES
-        out += [(nodes[leader], nodes[i]) for i in left[near]]
+        out.append(np.stack([np.full(np.count_nonzero(near), nodes[leader]), nodes[left[near]]], axis=1))
         left = left[~near]
-    return out
+    return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def crossed(nodes: np.ndarray, sketches: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of nodes of different groups that resemble each other. The largest group comes last and meets only the others."""
-    _, of, n = np.unique(groups, return_inverse=True, return_counts=True)
-    order = np.lexsort((of, n[of]))
-    nodes, sketches, of = nodes[order], sketches[order], of[order]
-    ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
-    out, begin = [], 0
-    for end in ends[:-1]:
-        for i in range(begin, end):
-            out += [(nodes[i], nodes[j]) for j in end + np.flatnonzero(resemblance(sketches[i], sketches[end:]) >= RESEMBLES)]
-        begin = end
-    return out
+def sketched(nodes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    return led(nodes, np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1))
+
+
+def crossed(similarity: float):
+    """Makes the match of one shingle's bucket: nodes of different groups that may be similar, by where in each the shingle stands and how large each is."""
+
+    def match(nodes: np.ndarray, groups: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+        left = size - pos
+        of, n = np.unique(groups, return_inverse=True, return_counts=True)[1:]
+        largest = int(n.argmax())
+        others = np.flatnonzero(of != largest)
+        out = []
+        for i in np.flatnonzero(left >= np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)):  # as the smaller of two
+            to = others if of[i] == largest else np.arange(len(nodes))
+            to = to[(size[to] >= size[i]) & (of[to] != of[i])]
+            enough = np.minimum(left[i], left[to]) >= np.ceil(similarity / (1 + similarity) * (size[i] + size[to]) - 1e-9)
+            hit = to[enough]
+            if len(hit):
+                out.append(np.stack([np.full(len(hit), nodes[i]), nodes[hit]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+
+    return match
 
 
 def by_part(match, *columns: str):
@@ -141,11 +160,10 @@ def by_part(match, *columns: str):
 
     def pairs(f: pd.DataFrame) -> pd.DataFrame:
         key, part = f["bucket"].to_numpy(), f["part"].to_numpy()
-        sketches = np.frombuffer(b"".join(f["sketch"]), dtype=np.uint8).reshape(len(f), -1)
-        values = [f["node"].to_numpy(), sketches, *(f[c].to_numpy() for c in columns)]
+        values = [f[c].to_numpy() for c in ("node", *columns)]
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
-        out = [p for at, stop in zip(edge[:-1], edge[1:], strict=True) if stop - at > 1 for p in match(*(v[at:stop] for v in values))]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        out = [match(*(v[at:stop] for v in values)) for at, stop in zip(edge[:-1], edge[1:], strict=True) if stop - at > 1]
+        return pd.DataFrame(np.concatenate([np.empty((0, 2), dtype=np.int64), *out]), columns=["a", "b"]).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -176,6 +194,17 @@ def sets_of(width: int):
     return run
 
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, bucket (a shingle that others have too), pos (its place from 0, rarest first), size: the part of each set in which the first shingle shared with a similar set must stand."""
+    size = F.size("hashes")
+    each = sets.select("node", size.alias("size"), F.explode("hashes").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = each.join(counts, "bucket").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("s"))
+    own_ = F.col("size") - F.size("s")
+    most = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1 - own_
+    return found.where(most > 0).select("node", "size", own_.alias("own"), F.posexplode(F.slice("s", F.lit(1), most)).alias("i", "x")).select("node", F.col("x.bucket").alias("bucket"), (F.col("own") + F.col("i")).alias("pos"), "size")
+
+
 def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, node) for each row of docs, and links a, b that span the groups of nodes with at least that similarity.
 
@@ -197,7 +226,7 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     sketches = nodes.select("node", "sketch")
 
     def dealt(some: DataFrame) -> DataFrame:
-        return some.join(sketches, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+        return some.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
     def pairs(tried: DataFrame) -> DataFrame:
         return tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
@@ -210,16 +239,17 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
 
     parts = F.ceil(F.col("n") / bucket).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    followers = dealt(shared.select("node", "bucket", part.alias("part"))).mapInPandas(tidy(by_part(led)), "a bigint, b bigint")
+    followers = dealt(shared.select("node", "bucket", part.alias("part")).join(sketches, "node")).mapInPandas(tidy(by_part(sketched, "sketch")), "a bigint, b bigint")
     first = kept(pairs(followers), "led")
     links = kept(alike(first, sets), "links")
 
-    group = F.coalesce("root", "node")
-    grouped = kept(shared.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", "n", group.alias("group")), "groups")
-    several = grouped.groupBy("bucket").agg(F.min("group").alias("p"), F.max("group").alias("q")).where("p < q").select("bucket")
+    prefixes = _prefixes(sets, similarity)
+    prefixes = prefixes.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", "pos", "size", F.coalesce("root", "node").alias("group"))
+    prefixes = kept(prefixes, "prefixes")
+    several = prefixes.groupBy("bucket").agg(F.min("group").alias("p"), F.max("group").alias("q"), F.count(F.lit(1)).alias("n")).where("p < q").select("bucket", "n")
     # A bucket of k parts has a block for each two of them; a node is in the k blocks of its part.
     blocks = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(q, part).cast("long") * parts + F.greatest(q, part))).alias("part")
-    met = dealt(grouped.join(several, "bucket", "left_semi").select("node", "bucket", "group", blocks)).mapInPandas(tidy(by_part(crossed, "group")), "a bigint, b bigint")
+    met = dealt(prefixes.join(several, "bucket").select("node", "bucket", "group", "pos", "size", blocks)).mapInPandas(tidy(by_part(crossed(similarity), "group", "pos", "size")), "a bigint, b bigint")
     second = kept(pairs(met).join(first, ["x", "y"], "left_anti"), "met")
     few = kept(second.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "few")
     rest = sets.join(F.broadcast(few) if few.count() <= FEW else few, "node", "left_semi")

@@ -689,10 +689,37 @@ def test_leaders_give_no_pairs_of_pairs():
     sketches = base[of]
     sketches[r.random(sketches.shape) < 0.08] = 7
     links = shingles.led(np.arange(500), sketches)
-    assert len(links) == 497 and len({b for _, b in links}) == 497
-    assert shingles.crossed(np.arange(500), sketches, of) == []
-    split = np.where(np.arange(500) == 17, 9, of)  # one node that isn't in its group yet meets all of it
-    assert len(shingles.crossed(np.arange(500), sketches, split)) == (of == of[17]).sum() - 1
+    assert len(links) == 497 and len({b for _, b in links.tolist()}) == 497
+
+
+def test_prefixes_lose_no_similar_pair(spark):
+    r = np.random.default_rng(7)
+    base = r.integers(0, 400, (12, 60))
+    sets = [np.unique(np.where(r.random(60) < r.choice([0.02, 0.08, 0.2]), r.integers(0, 400, 60), base[i % 12])[: r.integers(45, 60)]) for i in range(150)]
+    sets += [np.arange(k) + 900 for k in range(1, 12)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "node bigint, hashes array<bigint>")
+    rows = shingles._prefixes(df, 0.8).toPandas()
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert len(near) > 100
+    for groups in (rows["node"], rows["node"] % 5):  # nodes of one group needn't meet
+        met = set()
+        for _, f in rows.assign(group=groups).groupby("bucket"):
+            met |= {(max(p), min(p)) for p in shingles.crossed(0.8)(*(f[c].to_numpy() for c in ("node", "group", "pos", "size"))).tolist()}
+        of = dict(zip(rows["node"], groups, strict=True))
+        assert {p for p in near if of[p[0]] != of[p[1]]} <= met
+        assert len(met) < 0.3 * len(sets) ** 2 / 2
+
+
+def test_a_template_below_the_threshold_costs_its_size(spark):
+    # 20000 pages of 100 shingles, 85 of which all share: 0.74 alike, so no two may be compared.
+    n = 20_000
+    template = shingles.crossed(0.8)(np.arange(n), np.arange(n), np.full(n, 15), np.full(n, 100))
+    assert len(template) == 0
+    rows = [(i, [*range(85), *range(1000 + 15 * i, 1015 + 15 * i)]) for i in range(300)]
+    prefixes = shingles._prefixes(spark.createDataFrame(rows, "node bigint, hashes array<bigint>"), 0.8).toPandas()
+    assert len(prefixes) <= 300 * 6 and prefixes["pos"].min() == 15
+    rows = [(i, [*range(70), *range(1000 + 30 * i, 1030 + 30 * i)]) for i in range(300)]
+    assert shingles._prefixes(spark.createDataFrame(rows, "node bigint, hashes array<bigint>"), 0.8).count() == 0
 
 
 def test_sketches_estimate_similarity():
