@@ -50,6 +50,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+OPEN = re.compile(r"<(?!!--|!\[CDATA\[)")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
@@ -62,13 +63,19 @@ def _named_boilerplate(attributes: str) -> bool:
     return any(w in HINTS for w in re.split(r"[^a-z0-9]+", names))
 
 
+def closed(page: str) -> str:
+    """page with each < after the last > written as text, but for comments: no tag can end there, and looking for its end again and again takes long."""
+    at = page.rfind(">") + 1
+    return page[:at] + OPEN.sub("&lt;", page[at:])
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """(text, place) for each block: place is 0 for boilerplate, 1 for other text, 2 for text inside the article."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     # Open elements: name, whether text below is boilerplate, whether it is inside the article.
     open_: list[tuple[str, bool, bool]] = [("", False, False)]
-    page = page or ""
+    page = closed(page or "")
 
     def flush() -> None:
         if held:
@@ -307,6 +314,27 @@ def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _frames(_walk(_pages(frames), False))
 
 
+#: A template's line stands in so many of a host's articles at least, as a share and as a number, and of these in so many at one place.
+OFTEN, FEWEST, FIXED = 0.1, 5, 0.9
+
+
+def templates(forms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """host, key: of the wanted lines those that many of the host's articles have at one place, counted from the first or from the last line.
+
+    A passage that articles quote stands now here, now there, and stays, as do
+    lines that only a few articles share, such as copies of one another.
+    Only hashes, places and counts are dealt out, summed before they are.
+    """
+    own_ = F.filter(F.arrays_zip("keys", "sizes"), lambda x: x["sizes"] > 0)
+    each = forms.where(F.col("needs") == SEVERAL).select("host", F.size(own_).alias("n"), F.posexplode(own_).alias("first", "x"))
+    each = each.select("host", F.col("x.keys").alias("key"), "first", (F.col("n") - F.col("first")).alias("last")).join(wanted, ["host", "key"])
+    articles = forms.where(F.col("needs") == SEVERAL).groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
+    total = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("all")).join(articles, "host").where(F.col("all") >= F.greatest(F.lit(FEWEST), OFTEN * F.col("articles")))
+    at = each.select("host", "key", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("first").alias("place")), F.struct(F.lit(1).alias("end"), F.col("last").alias("place")))).alias("x"))
+    most = at.groupBy("host", "key", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("host", "key").agg(F.max("c").alias("c"))
+    return total.join(most, ["host", "key"]).where(F.col("c") >= FIXED * F.col("all")).select("host", "key")
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
     """page_id, mark, shared: for pages that lose lines, the places of those."""
     rows = kept(pages.mapInPandas(seen, SEEN), "seen")
@@ -315,9 +343,12 @@ def neighbours(pages: DataFrame) -> DataFrame:
     ranges = cut(forms.repartitionByRange(*order).sortWithinPartitions(*order))
     none = F.lit(0).alias("before"), F.lit(0).alias("after")
     diff = kept(ranges.select("*", F.spark_partition_id().alias("part"), *none).mapInPandas(compared, DIFF), "diff")
-    ends = diff.where("end").repartition(1).sortWithinPartitions(*order)  # a few rows a range
+    ends = diff.where("end").repartition(1).sortWithinPartitions(*order)  # a few rows a range; of a run of copies, all that wait for a neighbour
     found = diff.where("not end").unionByName(ends.mapInPandas(across, DIFF)).select("host", "form", "needs", F.explode("shared").alias("line"))
-    lines = found.groupBy("host", "form", "needs", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= needs")
+    lines = kept(found.groupBy("host", "form", "needs", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= needs"), "lines")
+    named = lines.where(F.col("needs") == SEVERAL).join(forms.select("host", "form", "keys"), ["host", "form"]).select("host", "form", "needs", "line", F.get("keys", F.col("line")).alias("key"))
+    fixed = named.join(templates(forms, named.select("host", "key").distinct()), ["host", "key"]).select("host", "form", "needs", "line")
+    lines = lines.where(F.col("needs") != SEVERAL).select("host", "form", "needs", "line").unionByName(fixed)
     gone = lines.groupBy("host", "form").agg(F.collect_list("line").alias("shared"))
     return rows.join(gone, ["host", "form"]).select("page_id", "mark", "shared").dropDuplicates(["page_id", "mark"])
 

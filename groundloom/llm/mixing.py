@@ -116,10 +116,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     source is a source, ranked last. Repeated rows are documents of their own.
     An empty table gives no rows. Only doc_id, text and source are read. A hot
     source is dealt over as many chunks as its documents need. mark is a hash of
-    the text.
+    text and source.
     """
     rows = own(docs, "doc_id", "text", "source").withColumn("text", as_text(F.col("text")))
-    sizes = cut(rows.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("mark"), n_words(F.col("text")).alias("size")))
+    sizes = cut(rows.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text", "source").alias("mark"), n_words(F.col("text")).alias("size")))
     goal = cut(targets(sizes, weights, most))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(times + 1e-9)
@@ -150,12 +150,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """docs as mixed: each row as often as it is taken."""
+    """docs as mixed: each row as often as it is taken.
+
+    Rows alike in id, text and source share their copies: each gives the whole
+    part of their number, and the first ones, by a hash of all columns, one
+    more. Rows alike in all columns are one row with a number.
+    """
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    alike = whole_rows(docs, "text").join(taken.where("copies > 0"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
-    # Rows alike share their copies: each gives the whole part, the first ones one more.
-    order = Window.partitionBy("of_id", "of_mark").orderBy(F.lit(0))
-    once = alike.where("rows = 1").select("row", F.col("copies").alias("n"))
-    more = alike.where("rows > 1").select("row", (F.floor(F.col("copies") / F.col("rows")) + (F.row_number().over(order) <= F.col("copies") % F.col("rows")).cast("long")).alias("n"))
+    met = whole_rows(docs, "text", "source").join(taken.where("copies > 0"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    once = met.where("rows = 1").select("row", F.col("copies").alias("n"))
+    alike = met.where("rows > 1").withColumn("whole", F.xxhash64("row"))
+    sizes = alike.groupBy("of_id", "of_mark", "copies", "rows", "whole").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("times"))
+    before = F.sum("times").over(Window.partitionBy("of_id", "of_mark").orderBy("whole")) - F.col("times")
+    over = F.greatest(F.lit(0).cast("long"), F.least(F.col("times"), F.col("copies") % F.col("rows") - before))
+    more = sizes.select("row", (F.col("times") * F.floor(F.col("copies") / F.col("rows")) + over).alias("n"))
     both = once.unionByName(more).where("n > 0")
     return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

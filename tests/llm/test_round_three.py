@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from decimal import Decimal
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundloom.llm import prefixes, scoring, whitening
+from groundloom.llm import html_main, mixing, prefixes, scoring, whitening
 from groundloom.llm.common import load
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, id bigint, pos int, unit string, part int"
@@ -201,3 +202,53 @@ def test_scores_of_odd_tables(spark):
     held = [k for k in range(10, 90) if zlib.crc32(str(k).encode()) % 5 == 0]
     again = scoring.score(docs, labels.where(~labels["doc_id"].isin(held))).toPandas()
     assert np.allclose(again["score"].sort_values(), out["score"].sort_values())
+
+
+def test_rows_alike_of_several_sources_are_taken_as_mixed(spark):
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, "same words in each of them", k, s, 0) for s, n in (("a", 200), ("b", 150), (None, 50)) for k in (["x"] * (n // 2) + ["y"] * (n - n // 2))]
+    rows += [(i, " ".join(["w"] * (3 + i % 9)), "z", "abc"[i % 3], 0) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, kind).repartition(5)
+    got = mixing.mix(docs, chunk=40, fan_in=4).toPandas()
+    taken = mixing.take(docs, chunk=40, fan_in=4).toPandas()
+    words = taken.assign(n=taken["text"].str.split().str.len(), source=taken["source"].fillna("-")).groupby("source")["n"].sum()
+    goal = mixing.targets(docs.selectExpr("source", "cast(size(split(text, ' ')) as bigint) as size")).toPandas().assign(source=lambda f: f["source"].fillna("-")).set_index("source")["target"]
+    assert len(taken) == got["copies"].sum() and set(words.index) == set(goal.index)
+    assert ((words - goal).abs() <= 12).all()
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<a href=\"", "<", "</b ", "<p class='x", "<!", "a<b "])
+def test_broken_markup_takes_time_in_proportion(broken):
+    n = 100_000
+    began = time.perf_counter()
+    lines = html_main.lines_of("<article><p>Some text here.</p></article>" + broken * n)
+    assert time.perf_counter() - began < 10 and lines[0] == ("Some text here.", 2)
+    assert html_main.lines_of("<p>1 &lt; 2 <b") == [("1 < 2 <b", 1)]
+
+
+def test_articles_lose_template_lines_and_keep_quotations(spark):
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    quotes = [words(20) for _ in range(6)]
+    top, bottom = "Our shop sends every order within two days.", "Written by the team of this site, all rights kept."
+    rows, expected, planted = [], {}, 0
+    for i in range(120):
+        body = [words(25) for _ in range(r.randint(3, 9))]
+        for q in r.sample(quotes, 2):
+            body.insert(r.randint(0, len(body)), q)
+        lines = [top, *body, bottom]
+        planted += 2
+        page = "<html><body><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body></html>"
+        rows.append((i, f"https://host.example/a/{i:04d}", page))
+        expected[i] = body
+    got = html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    lost_true = sum(len(set(expected[g.page_id]) - set(g.text.split("\n\n"))) for g in got)
+    left = sum((top in g.text) + (bottom in g.text) for g in got)
+    assert lost_true == 0 and left <= 0.1 * planted
+
+
+def test_given_pages_keep_every_line_of_their_articles(spark):
+    pages = load(spark, "/root/testdata/sf0.1", "pages")
+    got = {g.page_id: g.text for g in html_main.extract_main(pages).collect()}
+    for p in pages.collect():
+        assert got[p.page_id] == html_main.main_text(html_main.lines_of(p.html), set())
