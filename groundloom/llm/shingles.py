@@ -26,7 +26,8 @@ and only where both have enough left. Pages of one template that are less alike
 than t have rarer shingles of their own in front, more than a prefix holds, and
 never meet: such a class costs its size. Larger buckets are led in parts in the
 first turn and cut into blocks of two parts in the second, so that any two of
-their nodes meet in some block. The bands alone decide which nodes take part.
+their nodes meet in some block. The bands alone decide which nodes take part:
+those in a bucket that still holds several groups.
 """
 
 from __future__ import annotations
@@ -243,8 +244,13 @@ def similar_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     first = kept(pairs(followers), "led")
     links = kept(alike(first, sets), "links")
 
-    prefixes = _prefixes(sets, similarity)
-    prefixes = prefixes.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", "pos", "size", F.coalesce("root", "node").alias("group"))
+    groups = cut(components(links).withColumnRenamed("node", "of"))
+    grouped = lambda some: some.join(groups, F.col("node") == F.col("of"), "left").select(*some.columns, F.coalesce("root", "node").alias("group"))
+    # Only nodes of band buckets that still hold several groups can be similar to one of another group.
+    banded = kept(grouped(shared.select("node", "bucket")), "groups")
+    mixed = banded.groupBy("bucket").agg(F.min("group").alias("p"), F.max("group").alias("q")).where("p < q").select("bucket")
+    open_ = banded.join(mixed, "bucket", "left_semi").select("node").distinct()
+    prefixes = grouped(_prefixes(sets.join(open_, "node", "left_semi"), similarity)).select("node", "bucket", "pos", "size", "group")
     prefixes = kept(prefixes, "prefixes")
     several = prefixes.groupBy("bucket").agg(F.min("group").alias("p"), F.max("group").alias("q"), F.count(F.lit(1)).alias("n")).where("p < q").select("bucket", "n")
     # A bucket of k parts has a block for each two of them; a node is in the k blocks of its part.
