@@ -46,11 +46,12 @@ STAGES = [
     ("byte pairs", byte_pairs),
 ]
 
-#: Random rounding and byte-pair encoding have no SQL form; tests/llm checks the stages against brute force.
+#: Random rounding and byte-pair encoding have no SQL form. tests/llm checks the operators against brute force, and of the stages ids and counts.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids and digests of what the stages make of documents, one row for each row that the mix takes; empty tables give no rows."""
     docs = load(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
