@@ -28,6 +28,22 @@ def zonal(values: Column, kind: str, nodata: float | None = None) -> Column:
     return top / F.nullif(F.size(ok), F.lit(0))
 
 
+def pooled_cover(rasters: DataFrame, key: str, values: str, nodata: float, most: float = 100.0) -> DataFrame:
+    """key, cover: the mean over all rasters of a key, without no-data, nulls and values above most; 0.0 where nothing is left."""
+    ok = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (v != nodata) & (v <= most))
+    each = rasters.select(key, ok.alias("_ok")).select(key, F.size("_ok").alias("_n"), F.aggregate("_ok", F.lit(0.0), lambda acc, v: acc + v).alias("_s"))
+    sums = each.groupBy(key).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    return sums.select(key, F.coalesce(F.try_divide("_s", "_n"), F.lit(0.0)).alias("cover"))
+
+
+def class_shares(rasters: DataFrame, key: str, values: str, urban: list[int], nodata: int) -> DataFrame:
+    """key, modal_class (of ties the smallest), urban_share: over all valid pixels of a key; null without any."""
+    pixels_ = rasters.select(key, F.explode(values).alias("_v")).where(F.col("_v").isNotNull() & (F.col("_v") != nodata))
+    n = pixels_.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = n.groupBy(key).agg(F.max(F.struct("_n", (-F.col("_v")).alias("_v"))).alias("_m"), (F.sum(F.when(F.col("_v").isin(urban), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("urban_share"))
+    return rasters.select(key).distinct().join(found.select(key, (-F.col("_m._v")).alias("modal_class"), "urban_share"), key, "left")
+
+
 def tile_statistics(tiles: DataFrame, pixel_m2: float, values: str = "values", land: str | None = None) -> DataFrame:
     """Areas and cover of each tile: land leaves out no-data and what the mask puts outside; no land gives 0 %.
 

@@ -44,6 +44,33 @@ def without_halo(values: Column, height: int, width: int, halo: int) -> Column:
     return cut(values, width, halo, halo, height - 2 * halo, width - 2 * halo)
 
 
+def with_halo(tiles: DataFrame, x: str, y: str, values: str, height: int, width: int, halo: int, fill) -> DataFrame:
+    """x, y, values: each tile with so many pixels of its eight neighbours around it, fill where there is none.
+
+    tiles: column x and row y of the mosaic (unique; rows count downwards) and
+    their pixels. Each tile sends its neighbours the strips that they need, no
+    whole tiles; a tile gets nine pieces at most. halo is at most a tile's side.
+    """
+    span = lambda side, n: (0, n) if side == 0 else (n - halo, halo) if side < 0 else (0, halo)
+    pieces = []
+    for i in (-1, 0, 1):  # the piece's place, seen from the tile that gets it
+        for j in (-1, 0, 1):
+            (row, h), (col, w) = span(j, height), span(i, width)
+            pieces.append(F.struct((F.col(x) - i).alias(x), (F.col(y) - j).alias(y), F.lit(3 * j + i).alias("side"), cut(F.col(values), width, row, col, h, w).alias("piece")))
+    sent = tiles.select(F.explode(F.array(*pieces)).alias("_p")).select("_p.*")
+    sides = sent.join(tiles.select(x, y), [x, y], "left_semi").groupBy(x, y).agg(F.map_from_entries(F.collect_list(F.struct("side", "piece"))).alias("_m"))
+
+    def at(r: Column, c: Column) -> Column:
+        y_, x_ = r - halo, c - halo
+        side = lambda v, n: F.when(v < 0, -1).when(v >= n, 1).otherwise(0)
+        j, i = side(y_, height), side(x_, width)
+        inner = lambda v, n, s: F.when(s < 0, v + halo).when(s > 0, v - n).otherwise(v)
+        w = F.when(i == 0, width).otherwise(halo)
+        return F.coalesce(F.get(F.try_element_at(F.col("_m"), 3 * j + i), (inner(y_, height, j) * w + inner(x_, width, i)).cast("int")), F.lit(fill))
+
+    return sides.select(x, y, _each(height + 2 * halo, width + 2 * halo, at).alias(values))
+
+
 def thinned(values: Column, height: int, width: int, most: int) -> Column:
     """Every n-th pixel, so that the longer side has at most so many."""
     n = -(-max(height, width) // most)

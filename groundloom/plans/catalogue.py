@@ -842,3 +842,27 @@ def coverage_outlines(spark, d):
     closed = (F.element_at("ring", 1) == F.element_at("ring", -1)) & (F.size("ring") == F.col("n_corners") + 1)
     each = rings.groupBy("zone", "date").agg(F.sum("area").alias("area_m2"), F.sum("perimeter").alias("perimeter_m"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).alias("shells_less_holes"), F.every(closed).alias("is_closed"))
     return rounded(each, 3)
+
+
+@query(f"""with {V.RASTERS}, mosaic as (select tile % 25 as x, tile // 25 as y, tile % 25 * 8 + c as gx, tile // 25 * 8 + r as gy, v from pixels),
+ spot as (select t.x, t.y, i, t.x * 8 + i % 12 - 2 as gx, t.y * 8 + i // 12 - 2 as gy from (select distinct x, y from mosaic) t, range(144) n(i))
+ select spot.x::bigint as x, spot.y::bigint as y, count(*) filter (m.v is null) as n_fill, sum((i + 1) * coalesce(m.v, -1))::bigint as weighted from spot left join mosaic m using (gx, gy) group by all""")
+def halo_of_neighbours(spark, d):
+    t = F.col("tile")
+    tiles = V.rasters(spark, d).select((t % 25).alias("x"), F.floor(t / 25).alias("y"), "values")
+    out = windows.with_halo(tiles, "x", "y", "values", 8, 8, 2, -1)
+    weighted = F.aggregate(F.transform("values", lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return out.select("x", "y", F.size(F.filter("values", lambda v: v == -1)).cast("long").alias("n_fill"), weighted.alias("weighted"))
+
+
+@query(f"with {V.RASTERS}, p as (select tile % 40 as area, case when v = 255 then 255 else abs(x) * 400 end as v from pixels) select area, round(coalesce(avg(v) filter (v <> 255 and v <= 100), 0.0::double), 6) as cover from p group by area")
+def pooled_cover_of_rasters(spark, d):
+    v = F.zip_with("value", "values", lambda x, c: F.when(c == 255, 255.0).otherwise(F.abs(x) * 400))
+    return rounded(raster.pooled_cover(V.rasters(spark, d).select((F.col("tile") % 40).alias("area"), v.alias("v")), "area", "v", 255.0))
+
+
+@query(f"""with {V.RASTERS}, p as (select tile % 40 as area, floor(abs(x) * 20)::int as v from pixels where v <> 255), n as (select area, v, count(*) as n from p group by all)
+ select area, arg_max(v, n * 1000 - v) as modal_class, round(sum(n) filter (v in (2, 3)) / sum(n)::double, 6) as urban_share from n group by area""")
+def modal_class_and_urban_share(spark, d):
+    v = F.zip_with("value", "values", lambda x, c: F.when(c == 255, 255).otherwise(F.floor(F.abs(x) * 20).cast("int")))
+    return rounded(raster.class_shares(V.rasters(spark, d).select((F.col("tile") % 40).alias("area"), v.alias("v")), "area", "v", [2, 3], 255))
