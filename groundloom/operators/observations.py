@@ -63,6 +63,18 @@ def patch_windows(rasters: DataFrame, key: str, size: int, stride: int) -> DataF
     return cols.select(key, (F.col("r") * stride).alias("row_off"), (F.col("c") * stride).alias("col_off"))
 
 
+def mosaic_windows(rasters: DataFrame, key: str, size: int) -> DataFrame:
+    """key, tile_id, row_off, col_off, height, width: windows side by side, row by row, the last of each axis as short as it must be.
+
+    rasters: key, height, width; an empty raster has no window.
+    """
+    at = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int"), F.lit(size)))
+    some = rasters.where((F.col("height") > 0) & (F.col("width") > 0))
+    cut = some.select(key, F.col("height").alias("_h"), F.col("width").alias("_w"), at("height").alias("row_off")).select("*", F.explode(F.sequence(F.lit(0), (F.col("_w") - 1).cast("int"), F.lit(size))).alias("col_off"))
+    short = lambda n, off: F.least(F.lit(size), F.col(n) - F.col(off)).cast("int")
+    return cut.select(key, F.format_string("r%07d_c%07d", "row_off", "col_off").alias("tile_id"), "row_off", "col_off", short("_h", "row_off").alias("height"), short("_w", "col_off").alias("width"))
+
+
 def axis_plan(rasters: DataFrame, key: str, length: str, size: int, inner: int) -> DataFrame:
     """key, start, inner_start, inner_stop: patches of one axis, the last at the far edge; inner spans cover the axis once.
 
@@ -197,6 +209,17 @@ def split_report(patches: DataFrame) -> DataFrame:
     return names.join(n, "split", "left").na.fill(0)
 
 
+def compared_totals(patches: DataFrame, published: dict[str, int]) -> DataFrame:
+    """name, published, actual, is_equal for tiles, observations, patches, train_patches and val_patches, where published has the name."""
+    n = lambda split: F.count_if(F.coalesce(F.col("split") == split, F.lit(False)))
+    sums = {"tiles": F.count_distinct("tile_id"), "observations": F.count_distinct("obs_id"), "patches": F.count(F.lit(1)), "train_patches": n("train"), "val_patches": n("val")}
+    unknown = set(published) - set(sums)
+    if unknown:
+        raise ValueError(f"no such totals: {sorted(unknown)}")
+    lines = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).cast("long").alias("published"), F.col(k).alias("actual")) for k, v in published.items()))
+    return patches.agg(*(sums[k].alias(k) for k in published)).select(F.explode(lines).alias("t")).select("t.*").withColumn("is_equal", F.col("published") == F.col("actual"))
+
+
 def observations_by_split(patches: DataFrame) -> DataFrame:
     """split, observations: sorted, distinct; splits without any have an empty list."""
     names = patches.sparkSession.createDataFrame([("train",), ("val",), ("test",)], "split string")

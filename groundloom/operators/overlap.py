@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundloom.functions.names import is_dated
+
 
 def newest_per_cell(tiles: DataFrame, cell: list[str], date: str = "date", state: str = "state", name: str = "name") -> DataFrame:
     """The newest tile of each cell (then the last state, then the last name), with n_rejected.
@@ -33,6 +35,15 @@ def contest_report(tiles: DataFrame, cell: list[str]) -> DataFrame:
     return overlap_report(tiles, cell).groupBy("rejected_state").agg(F.count(F.lit(1)).alias("n_lost"))
 
 
+def contest_summary(tiles: DataFrame, cell: list[str], date: str = "date", state: str = "state", name: str = "name") -> DataFrame:
+    """One row: cells, contested ones, their share in percent (0 without cells), and contested ones that an undated tile won, where only the tiebreak decided."""
+    won = tiles.groupBy(*cell).agg(F.max(F.struct(date, state, name)).alias("w"), F.count(F.lit(1)).alias("n"))
+    contested = F.col("n") > 1
+    undated = contested & ~F.coalesce(is_dated(F.col(f"w.{date}")), F.lit(False))
+    sums = won.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(contested).alias("n_contested"), F.count_if(undated).alias("n_undated_winners"))
+    return sums.withColumn("contested_pct", F.coalesce(F.try_divide(100.0 * F.col("n_contested"), F.col("n_cells")), F.lit(0.0)))
+
+
 def coverage_by_date(tiles: DataFrame, cell: list[str], date: str = "date") -> DataFrame:
     """Area of each date, every cell belonging to its newest; undated (0) ranks last."""
     newest = tiles.groupBy(*cell).agg(F.max(date).alias(date))

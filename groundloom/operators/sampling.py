@@ -239,6 +239,20 @@ def boxes_around(points: DataFrame, size_m: float) -> DataFrame:
     return points.withColumns({"x0": F.col("x") - half, "y0": F.col("y") - half, "x1": F.col("x") + half, "y1": F.col("y") + half})
 
 
+def months_of_draw(drawn: DataFrame, months: str) -> DataFrame:
+    """month (1 to 12, all of them), n, share_pct of all flights of the drawn rows; 0 without any. months: an array of months a row."""
+    got = drawn.select(F.explode(months).alias("month")).groupBy(F.col("month").cast("int").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    every = drawn.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    n = every.join(got, "month", "left").select("month", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    total = n.agg(F.sum("n").alias("_all"))
+    return n.crossJoin(F.broadcast(total)).select("month", "n", F.coalesce(F.try_divide(100.0 * F.col("n"), F.col("_all")), F.lit(0.0)).alias("share_pct"))  # total is one row
+
+
+def stopped_early(drawn: DataFrame, targets: dict[str, int]) -> DataFrame:
+    """One row: got, target, stopped_early (fewer rows than the targets ask for)."""
+    return drawn.agg(F.count(F.lit(1)).alias("got")).select("got", F.lit(sum(targets.values())).cast("long").alias("target")).withColumn("stopped_early", F.col("got") < F.col("target"))
+
+
 def draw_report(drawn: DataFrame, stratum: str, targets: dict[str, int]) -> DataFrame:
     """stratum, target, got, is_short."""
     goal = drawn.sparkSession.createDataFrame(list(targets.items()), f"{stratum} string, target long")

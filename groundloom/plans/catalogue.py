@@ -13,8 +13,9 @@ from groundloom.functions import names as N
 from groundloom.functions import projection as P
 from groundloom.operators import links as L
 from groundloom.operators import metrics as M
-from groundloom.operators import canopy, mosaic, observations, overlap, polygons, raster, release, sampling, spatial, stats, weighted, windows
+from groundloom.operators import canopy, mosaic, observations, outcomes, overlap, polygons, raster, release, sampling, spatial, stats, weighted, windows
 from groundloom.plans import views as V
+from groundloom.sources import answers, tables
 from groundloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -866,3 +867,134 @@ def pooled_cover_of_rasters(spark, d):
 def modal_class_and_urban_share(spark, d):
     v = F.zip_with("value", "values", lambda x, c: F.when(c == 255, 255).otherwise(F.floor(F.abs(x) * 20).cast("int")))
     return rounded(raster.class_shares(V.rasters(spark, d).select((F.col("tile") % 40).alias("area"), v.alias("v")), "area", "v", [2, 3], 255))
+
+
+# Outcome rows ---------------------------------------------------------------------------------------------------------
+
+#: Rasters of which some are missing (every 11th) and some cut short (every 13th), as observations of 8 x 8 pixels.
+WHOLE = "tile % 11 <> 0 and tile % 13 <> 0"
+
+
+@query(f"""with {V.RASTERS}, w as (select tile, i // 3 * 2 as row_off, i % 3 * 2 as col_off from rasters, range(9) t(i) where {WHOLE}),
+ n as (select w.tile, row_off, col_off, count(*) filter (v <> 255) as valid, count(*) filter (v = 1) as tree from w join pixels p on p.tile = w.tile and r >= row_off and r < row_off + 4 and c >= col_off and c < col_off + 4 group by all),
+ good as (select tile, (row_number() over (partition by tile order by row_off, col_off) - 1)::int as patch_no, row_off::int as row_off, col_off::int as col_off, round(100.0::double * tree / valid, 2) as tree_cover_pct, 'ok' as status from n where valid > 0 and 1 - valid / 16.0::double <= 0.15 and 100.0::double * tree / valid >= 40)
+ select * from good union all
+ select tile, null, null, null, null, case when {WHOLE} then 'no_patch' else 'unreadable' end from rasters where tile not in (select tile from good)""")
+def patches_of_observations(spark, d):
+    r = V.rasters(spark, d)
+    t = F.col("tile")
+    stored = r.where(t % 11 != 0).select("tile", F.lit(8).alias("height"), F.lit(8).alias("width"), F.when(t % 13 == 0, F.slice("values", 1, 60)).otherwise(F.col("values")).alias("values"))
+    return outcomes.patch_outcomes(r.select("tile"), stored, "tile", 4, 2, least_cover=40.0, most_nodata=0.15)
+
+
+@query(f"""with {V.RASTERS}, n as (select tile, max(abs(x)) as top, count(*) filter (r between 2 and 5 and c between 2 and 5 and x >= 0) as tree from pixels group by tile),
+ o as (select tile, case when tile % 7 = 0 then 'skipped' when tile % 5 = 0 then 'unavailable' when tile % 13 = 0 or top > 0.3 then 'error' else 'ok' end as status, tree from n)
+ select status, count(*) as n, round(avg(100.0::double * tree / 16) filter (status = 'ok'), 6) as tree_cover_pct from o group by status""")
+def prediction_statuses(spark, d):
+    def predict(image):
+        if abs(image).max() > 0.3:
+            raise ValueError("out of range")
+        return (image >= 0).astype(int)
+
+    r, t = V.rasters(spark, d), F.col("tile")
+    stored = r.where(t % 5 != 0).select("tile", F.when(t % 13 == 0, F.slice("value", 1, 60)).otherwise(F.col("value")).alias("values"))
+    made = outcomes.prediction_outcomes(r.select("tile"), r.where(t % 7 == 0), stored, "tile", predict, 4, 4, halo=2)
+    return rounded(outcomes.by_status(made, mean="tree_cover_pct"))
+
+
+@query(f"""with {V.RASTERS}, box as (select tile, label, case when tile % 9 = 0 then 'no_reference' when tile % 11 = 0 then 'no_prediction' when tile % 17 = 0 then 'unexpected_code' else 'ok' end as status from rasters where tile % 6 <> 5),
+ vote as (select tile, r // 2 as r, c // 2 as c, count(*) filter (v = 1) > count(*) filter (v = 0) and count(*) filter (v = 1) >= count(*) filter (v = 255) as p from pixels group by all),
+ cell as (select b.tile, p.v, coalesce(q.p, false) as p from box b join pixels p on p.tile = b.tile and p.r < 5 and p.c < 5 left join vote q on q.tile = b.tile and q.r = p.r and q.c = p.c where b.status = 'ok' and p.v <> 255),
+ n as (select tile, count(*) filter (v = 1 and p) as tp, count(*) filter (v <> 1 and p) as fp, count(*) filter (v = 1 and not p) as fn, count(*) filter (v <> 1 and not p) as tn from cell group by tile),
+ m as (select tile, tp, fp, fn, tn, {V.METRICS} from n)
+ select box.tile as sample_id, box.label::bigint as label, box.status, case when box.status = 'ok' then coalesce(tp, 0) end as tp, case when box.status = 'ok' then coalesce(fp, 0) end as fp, case when box.status = 'ok' then coalesce(fn, 0) end as fn, case when box.status = 'ok' then coalesce(tn, 0) end as tn,
+  round(iou, 6) as iou, round(f1, 6) as f1, round("precision", 6) as "precision", round(recall, 6) as recall, round(accuracy, 6) as accuracy from box left join m using (tile)""")
+def scored_boxes(spark, d):
+    """Box for box: references of 5 x 5 pixels, predictions of 8 x 8 halved onto their grid and padded."""
+    r, t = V.rasters(spark, d), F.col("tile")
+    boxes = outcomes.boxes_to_score(r.select("tile", F.col("label").cast("long").alias("label"), (t % 6 == 5).cast("int").alias("exclude")), "tile").drop("exclude")
+    five = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.slice("values", i * 8 + 1, F.lit(5))))
+    references = r.where(t % 9 != 0).select(F.col("tile").alias("sample_id"), five.alias("values"))
+    codes = F.when(t % 17 == 0, F.transform("values", lambda v, i: F.when(i == 3, 7).otherwise(v))).otherwise(F.col("values"))
+    predictions = r.where(t % 11 != 0).select(F.col("tile").alias("sample_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), codes.alias("values"))
+    scored = outcomes.score_outcomes(boxes, references, predictions, "sample_id", 5, 5, 2)
+    return rounded(scored.drop("tile", "reference_cover_pct", "model_cover_pct"))
+
+
+@query(f"""with {V.POINTS}, box as (select c_custkey as sample, c_mktsegment as segment, (c_custkey % 23)::double as x0, (c_custkey // 23 % 23)::double as y0, case when c_custkey % 19 = 0 then 0.0::double else 2.0::double end as w from customer),
+ tile as (select n_nationkey % 5 * 5.0::double as x0, n_nationkey // 5 * 5.0::double as y0 from nation where n_nationkey % 4 <> 3),
+ hit as (select sample from box b where exists (select 1 from tile t where b.x0 <= t.x0 + 4 and t.x0 <= b.x0 + w and b.y0 <= t.y0 + 4 and t.y0 <= b.y0 + w)),
+ spot as (select x, y, count(*) as k from points where (x * 3 + y)::bigint % 7 <> 0 group by all),
+ n as (select sample, sum(k)::bigint as n from box join spot p on p.x between x0 - 0.5 and x0 + w + 0.5 and p.y between y0 - 0.5 and y0 + w + 0.5 group by sample)
+ select sample, segment, case when sample % 8 = 0 then 'cached' when hit.sample is null then 'no_lidar_tile' when n.n is null then 'no_points' when w = 0 then 'chm_failed' else 'ok' end as status,
+  case when sample % 8 = 0 or hit.sample is null then 0 else coalesce(n.n, 0) end::bigint as n_points from box left join hit using (sample) left join n using (sample)""")
+def reference_statuses(spark, d):
+    """What becomes of each validation box on its way to a mask."""
+    k = F.col("c_custkey")
+    w = F.when(k % 19 == 0, 0.0).otherwise(2.0)
+    at = V.table(spark, d, "customer").select(k.alias("sample"), F.col("c_mktsegment").alias("segment"), (k % 23).cast("double").alias("x0"), (F.floor(k / 23) % 23).cast("double").alias("y0"), w.alias("_w"))
+    boxes = at.select("sample", "segment", "x0", "y0", (F.col("x0") + F.col("_w")).alias("x1"), (F.col("y0") + F.col("_w")).alias("y1"))
+    n = F.col("n_nationkey")
+    lidar = V.table(spark, d, "nation").select((n % 5 * F.lit(5.0)).alias("x0"), (F.floor(n / 5) * F.lit(5.0)).alias("y0"), F.when(n % 4 == 3, "").otherwise(F.concat(F.lit("tile/"), n.cast("string"))).alias("url"))
+    lidar = lidar.select("x0", "y0", (F.col("x0") + 4).alias("x1"), (F.col("y0") + 4).alias("y1"), "url")
+    points = V.points(spark, d).where((F.col("x") * 3 + F.col("y")).cast("long") % 7 != 0)
+    told, _ = outcomes.reference_outcomes(boxes, boxes.where("sample % 8 = 0"), lidar, points, "sample", 4.0, buffer=0.5)
+    return told.select("sample", "segment", "status", "n_points")
+
+
+#: Status codes that the recorded service gives, attempt by attempt, by an order's priority.
+RECORDED = {"1-URGENT": [200], "2-HIGH": [503, 200], "3-MEDIUM": [400], "4-NOT SPECIFIED": [503, 503, 503], "5-LOW": [503, 503, 200]}
+
+
+@query("""with a as (select o_orderkey as tile, o_custkey % 4 as k, case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 when '3-MEDIUM' then 1 else 3 end as attempts,
+  case o_orderpriority when '3-MEDIUM' then 'refused' when '4-NOT SPECIFIED' then 'unreachable' else 'ok' end as status from orders)
+ select status, attempts::int as attempts, count(*) as n_requests, sum(case when status = 'ok' then k else 0 end)::bigint as n_items from a group by all""")
+def recorded_service(spark, d):
+    """Requests to a recorded service with its failures: retried, refused at once, or given up."""
+
+    def ask(request, attempt):
+        code = RECORDED[request["priority"]][attempt - 1]
+        if code == 400:
+            raise answers.Refused("no such product")
+        if code != 200:
+            raise ConnectionError(str(code))
+        return request["recorded"]
+
+    k = F.col("o_custkey") % 4
+    items = F.transform(F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), k.cast("int")), lambda i: F.struct(i.alias("gsd")))
+    body = F.to_json(F.struct(items.alias("items")))
+    got = answers.fetch(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("tile"), F.col("o_orderpriority").alias("priority"), body.alias("recorded")), ask, pause=0.0)
+    n = tables.recorded_answers(got.where("status = 'ok'").select("tile", "body"), "gsd: int").groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    return got.join(n, "tile", "left").groupBy("status", "attempts").agg(F.count(F.lit(1)).alias("n_requests"), F.sum(F.coalesce("n", F.lit(0).cast("long"))).alias("n_items"))
+
+
+@query("""with p as (select p_partkey as mosaic, p_size * 37 as h, floor(p_retailprice / 2)::int as w from part), a as (select mosaic, unnest(range(0, h, 256)) as row_off, h, w from p), b as (select *, unnest(range(0, w, 256)) as col_off from a)
+ select mosaic, 'r' || lpad(row_off::varchar, 7, '0') || '_c' || lpad(col_off::varchar, 7, '0') as tile_id, row_off::int as row_off, col_off::int as col_off, least(256, h - row_off)::int as height, least(256, w - col_off)::int as width from b""")
+def mosaic_windows(spark, d):
+    p = V.table(spark, d, "part").select(F.col("p_partkey").alias("mosaic"), (F.col("p_size") * 37).cast("int").alias("height"), F.floor(F.col("p_retailprice") / 2).cast("int").alias("width"))
+    return observations.mosaic_windows(p, "mosaic", 256)
+
+
+@query(f"with {V.CANDIDATES}, c as (select cell, max((date, state, name)) as w, count(*) as n from candidates group by cell) select count(*) as n_cells, count(*) filter (n > 1) as n_contested, count(*) filter (n > 1 and w[1] = '00000000') as n_undated_winners, round(100.0::double * count(*) filter (n > 1) / count(*), 6) as contested_pct from c")
+def contest_summary(spark, d):
+    return rounded(overlap.contest_summary(V.candidates(spark, d), ["cell"]))
+
+
+@query("""select month::int as month, coalesce(n, 0) as n, round(100.0::double * coalesce(n, 0) / sum(n) over (), 6) as share_pct from range(1, 13) t(month) left join
+ (select month(o_orderdate) as month, count(*) as n from orders where o_orderstatus = 'F' and month(o_orderdate) <> 5 group by all) using (month)""")
+def flight_months_of_draw(spark, d):
+    o = V.table(spark, d, "orders").where("o_orderstatus = 'F' and month(o_orderdate) <> 5")
+    flights = o.groupBy("o_custkey").agg(F.collect_list(F.month("o_orderdate")).alias("months"))
+    return rounded(sampling.months_of_draw(flights, "months"))
+
+
+#: Published totals that the comparison holds the patches against.
+PUBLISHED = {"tiles": 200, "observations": 1500, "patches": 6005, "train_patches": 2000, "val_patches": 2100}
+
+
+@query("""with n as (select count(distinct l_partkey) as tiles, count(distinct l_orderkey) as observations, count(*) as patches, count(*) filter (l_returnflag = 'N') as train_patches, count(*) filter (l_returnflag = 'A') as val_patches from lineitem)
+ select name, published, actual, published = actual as is_equal from (select 'tiles' as name, 200::bigint as published, tiles as actual from n union all select 'observations', 1500, observations from n union all select 'patches', 6005, patches from n union all select 'train_patches', 2000, train_patches from n union all select 'val_patches', 2100, val_patches from n)""")
+def totals_against_published(spark, d):
+    split = F.when(F.col("l_returnflag") == "N", "train").when(F.col("l_returnflag") == "A", "val").otherwise("test")
+    patches = V.table(spark, d, "lineitem").select(F.col("l_partkey").alias("tile_id"), F.col("l_orderkey").alias("obs_id"), split.alias("split"))
+    return observations.compared_totals(patches, PUBLISHED)
