@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundloom.lineage import released
+
 #: One word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
@@ -38,7 +40,8 @@ def _checkpoint_folder(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint, in the folder the cluster names."""
     _checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    with released(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, as a plan keeps the setting it was made under
 
 
 def own(docs: DataFrame, *names: str) -> DataFrame:
@@ -151,5 +154,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     _checkpoint_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with released(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

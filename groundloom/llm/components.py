@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundloom.lineage import released
 from groundloom.llm.common import cut
 
 
@@ -34,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     state = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        with released(now.sparkSession):
+            mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == state or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = mark
