@@ -12,6 +12,8 @@ only those of their own row of cells.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def edges(units: DataFrame, key: str) -> DataFrame:
 
 
 def _rows(sides: DataFrame, size: float) -> DataFrame:
-    """sides with cy: each row of cells that a side touches."""
-    row = lambda c: F.floor(c / size)
-    return sides.withColumn("cy", F.explode(F.sequence(row(F.least("ay", "by")), row(F.greatest("ay", "by")))))
+    """sides with cy: each row of cells that a side touches, and perhaps a neighbour that it only comes near to."""
+    row, slack = (lambda c: F.floor(c / size)), 1e-9 * size
+    return sides.withColumn("cy", F.explode(F.sequence(row(F.least("ay", "by") - slack), row(F.greatest("ay", "by") + slack))))
 
 
 def _cells(rows: DataFrame, size: float) -> DataFrame:
@@ -77,18 +79,23 @@ def inside(x: Column, y: Column, sides: Column) -> Column:
     return (n % 2 == 1) & ~F.exists(sides, on)
 
 
-def points_in_polygons(points: DataFrame, units: DataFrame, key: str, size: float) -> DataFrame:
+def points_in_polygons(points: DataFrame, units: DataFrame, key: str, size: float, holds: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """points (x, y and other columns) with the key of each polygon that they lie strictly inside; a point in two is there twice.
 
     Points with a null coordinate, and points inside no polygon, are left out.
     units: key (unique) and rings. The sides of one polygon in one row of cells
-    are one array.
+    are one array. holds: the polygons' own test of a point (x, y) by other
+    columns of units, where their corners are rounded and only it is exact; it
+    stands in for the sides in border cells.
     """
     cells = covering(units, key, size)
     at = points.where("x is not null and y is not null").withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     met = at.join(cells, ["cx", "cy"])
-    in_row = _rows(edges(units, key), size).groupBy(key, "cy").agg(F.collect_list(F.struct(*EDGE)).alias("_sides"))
-    near = met.where("not inner").join(in_row, [key, "cy"]).where(inside(F.col("x"), F.col("y"), F.col("_sides")))
+    if holds is None:
+        in_row = _rows(edges(units, key), size).groupBy(key, "cy").agg(F.collect_list(F.struct(*EDGE)).alias("_sides"))
+        near = met.where("not inner").join(in_row, [key, "cy"]).where(inside(F.col("x"), F.col("y"), F.col("_sides")))
+    else:
+        near = met.where("not inner").join(units.drop("rings"), key).where(holds(F.col("x"), F.col("y")))
     keep = [*points.columns, key]
     return met.where("inner").select(*keep).unionByName(near.select(*keep))
 
@@ -101,11 +108,12 @@ def flag_inside(points: DataFrame, point_key: str, units: DataFrame, key: str, s
     return out.crossJoin(F.broadcast(share)).withColumn("is_suspect", F.col("flagged_share") > most)  # one row
 
 
-def polygons_intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float) -> DataFrame:
+def polygons_intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float, right_holds: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """left_key, right_key of polygons that share a point; touching counts. Keys must be unique and named differently.
 
     Either sides meet in some cell, or one polygon holds a ring of the other,
-    so one point of each ring tells.
+    so one point of each ring tells. right_holds: as points_in_polygons() takes
+    it, for right.
     """
     cells = lambda units, key, p: _cells(_rows(edges(units, key), size), size).select(key, "cx", "cy", *(F.col(c).alias(f"{p}{c}") for c in EDGE))
     met = cells(left, left_key, "l").join(cells(right, right_key, "r"), ["cx", "cy"])
@@ -121,7 +129,7 @@ def polygons_intersecting(left: DataFrame, right: DataFrame, left_key: str, righ
     crossing = ~apart("x") & ~apart("y") & (side("l", "r", "a") * side("l", "r", "b") <= 0) & (side("r", "l", "a") * side("r", "l", "b") <= 0)
     pairs = met.where(crossing).select(left_key, right_key)
     one = lambda units, key: units.select(key, F.explode("rings").alias("_r")).where(F.size("_r") > 0).select(key, F.get("_r", F.lit(0))["x"].alias("x"), F.get("_r", F.lit(0))["y"].alias("y"))
-    held = points_in_polygons(one(left, left_key), right, right_key, size).select(left_key, right_key)
+    held = points_in_polygons(one(left, left_key), right, right_key, size, right_holds).select(left_key, right_key)
     holds = points_in_polygons(one(right, right_key), left, left_key, size).select(left_key, right_key)
     return pairs.unionByName(held).unionByName(holds).distinct()
 

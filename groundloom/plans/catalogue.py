@@ -807,8 +807,8 @@ def polygons_sharing_ground(spark, d):
     c = V.table(spark, d, "customer").select(k.alias("parcel"), (F.lit(6.0) + (k % 97) * F.lit(0.09)).alias("u"), (F.lit(47.0) + (k % 83) * F.lit(0.085)).alias("v"), (F.lit(0.02) + (k % 13) * F.lit(0.02)).alias("w"))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     u, v, w = map(F.col, "uvw")
-    parcels = c.select("parcel", F.array(F.array(point(u, v - w), point(u + w, v), point(u, v + w), point(u - w, v))).alias("rings"))
-    return polygons.polygons_intersecting(V.shapes(spark, d), parcels, "unit", "parcel", 0.2)
+    parcels = c.select("*", F.array(F.array(point(u, v - w), point(u + w, v), point(u, v + w), point(u - w, v))).alias("rings"))
+    return polygons.polygons_intersecting(V.shapes(spark, d), parcels, "unit", "parcel", 0.2, lambda x, y: F.abs(x - u) + F.abs(y - v) < w)  # a diamond's corners are rounded
 
 
 @query(f"""with {V.SHAPES}, t as (select p_partkey as tile, 6.0::double + (p_partkey % 90) * 0.11::double as l, 54.5::double - (p_partkey % 70) * 0.11::double as t from part),

@@ -103,3 +103,28 @@ def test_features_are_geojson(spark):
     made = json.loads(whole.select(polygons.feature(F.col("rings"), ["date"], "urn:ogc:def:crs:EPSG::25832").alias("f")).first().f)
     assert made["geometry"]["type"] == "Polygon" and len(made["geometry"]["coordinates"]) == 2 and made["properties"] == {"date": "a"}
     assert made["geometry"]["coordinates"][0][0] == [0.0, 0.0] and made["crs"]["properties"]["name"].endswith("25832")
+
+
+def test_a_corner_on_a_rounded_side_is_judged_by_the_shapes_own_rule(spark):
+    """Corner (11.4, 48.44) lies on a diamond's side whose corners are rounded; its sides alone put it outside by 1e-16."""
+    u, v, w = 6.0 + 58 * 0.09, 47.0 + 16 * 0.085, 0.02 + 12 * 0.02
+    left = spark.createDataFrame([(8, [[(11.4, 48.44), (13.1, 48.54), (13.2, 49.79)]])], KIND)
+    right = spark.createDataFrame([(1, u, v, w, [[(u, v - w), (u + w, v), (u, v + w), (u - w, v)]])], "other int, u double, v double, w double, rings array<array<struct<x:double,y:double>>>")
+    own = lambda x, y: F.abs(x - F.col("u")) + F.abs(y - F.col("v")) < F.col("w")
+    for size in (0.2, 0.02, 3.0):
+        assert [r.unit for r in polygons.polygons_intersecting(left, right, "unit", "other", size, own).collect()] == [8]
+
+
+def test_shapes_sharing_ground_agree_with_their_sql_where_corners_touch(spark, tmp_path):
+    import duckdb
+
+    from groundloom.plans import catalogue
+
+    spark.createDataFrame([(8,), (12,)], "n_nationkey int").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(48073,), (90172,), (11486,)], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for t in ("nation", "customer"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(catalogue.ORACLES["polygons_sharing_ground"]).fetchall())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["polygons_sharing_ground"](spark, str(tmp_path)).select("unit", "parcel").collect())
+    assert (8, 48073) in want and got == want
