@@ -70,28 +70,32 @@ def reference_outcomes(samples: DataFrame, cached: DataFrame, lidar: DataFrame,
     (no tile with a url touches the box); 'no_points' in the closed buffered
     box; 'chm_failed' (the box has no width or height); 'ok'. Cells
     are key, row, col, top, ground from the buffered box's upper left corner, as
-    canopy.canopy_masks() takes them. Only boxes still open reach the points.
+    canopy.canopy_masks() takes them. Only boxes still open reach the points,
+    and boxes of one place, or points of one, do so once.
     """
-    known = _flag(samples, key, cached, "_cached")
-    open_ = known.where("not _cached").select(key, *BOX)
-    hit = boxes_overlapping(open_, lidar.where("url <> ''").select(*BOX, "url"), key, "url", block, closed=True)
-    open_ = open_.join(hit.select(key).distinct(), key, "left_semi")
+    known = _flag(samples, key, cached, "_cached").withColumn("_place", F.struct(*BOX))
+    # Boxes alike meet the points once, as do points alike; each sample then looks up its place.
+    places = known.where("not _cached").select("_place").distinct().select("_place", "_place.*")
+    hit = boxes_overlapping(places, lidar.where("url <> ''").select(*BOX, "url"), "_place", "url", block, closed=True).select("_place").distinct()
     wide = {"x0": F.col("x0") - buffer, "y0": F.col("y0") - buffer, "x1": F.col("x1") + buffer, "y1": F.col("y1") + buffer}
-    blocks = open_.withColumns(wide).withColumn("_c", F.explode(cells_of(*map(F.col, BOX), block))).select(key, *BOX, "_c.*")
-    near = points.select("x", "y", "z", "classification").withColumns({"cx": F.floor(F.col("x") / block), "cy": F.floor(F.col("y") / block)})
+    blocks = hit.select("_place", "_place.*").withColumns(wide).withColumn("_c", F.explode(cells_of(*map(F.col, BOX), block))).select("_place", *BOX, "_c.*")
+    spots = points.groupBy("x", "y").agg(F.max("z").alias("z"), F.min(F.when(F.col("classification") == 2, F.col("z"))).alias("_low"), F.count(F.lit(1)).alias("_k"))
+    near = spots.withColumns({"cx": F.floor(F.col("x") / block), "cy": F.floor(F.col("y") / block)})
     met = near.join(blocks, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     steps = lambda a, b: F.ceil((F.col(b) - F.col(a)) / resolution).cast("int")
     at = lambda c, n: F.greatest(F.lit(0), F.least(n - 1, F.floor(c / resolution).cast("int")))
     # A cell's heights come before the box's count: points are summed once, and a hot box is many cells.
-    cells = met.groupBy(key, at(F.col("y1") - F.col("y"), steps("y0", "y1")).alias("row"), at(F.col("x") - F.col("x0"), steps("x0", "x1")).alias("col")).agg(
-        F.max("z").alias("top"), F.min(F.when(F.col("classification") == 2, F.col("z"))).alias("ground"), F.count(F.lit(1)).alias("_n")
+    cells = met.groupBy("_place", at(F.col("y1") - F.col("y"), steps("y0", "y1")).alias("row"), at(F.col("x") - F.col("x0"), steps("x0", "x1")).alias("col")).agg(
+        F.max("z").alias("top"), F.min("_low").alias("ground"), F.sum("_k").alias("_n")
     )
-    n = cells.groupBy(key).agg(F.sum("_n").alias("n_points"))
-    told = _flag(known, key, hit, "_hit").join(n, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0).cast("long")))
+    n = cells.groupBy("_place").agg(F.sum("_n").alias("n_points"))
+    found = hit.withColumn("_hit", F.lit(True)).join(n, "_place", "left")
+    told = known.join(found, "_place", "left").withColumn("_hit", ~F.col("_cached") & F.coalesce("_hit", F.lit(False))).withColumn("n_points", F.when(F.col("_hit"), F.coalesce("n_points", F.lit(0).cast("long"))).otherwise(0))
     flat = (steps("x0", "x1") < 1) | (steps("y0", "y1") < 1)
     status = F.when(F.col("_cached"), "cached").when(~F.col("_hit"), "no_lidar_tile").when(F.col("n_points") == 0, "no_points").when(flat, "chm_failed").otherwise("ok")
-    outcomes = told.withColumn("status", status).select(*samples.columns, "status", "n_points")
-    return outcomes, cells.join(outcomes.where("status = 'ok'").select(key), key, "left_semi").drop("_n")
+    outcomes = told.withColumn("status", status)
+    good = outcomes.where("status = 'ok'").select(key, "_place").distinct()
+    return outcomes.select(*samples.columns, "status", "n_points"), good.join(cells, "_place").select(key, "row", "col", "top", "ground")
 
 
 def reference_masks(cells: DataFrame, key: str, height: int, width: int, **options) -> DataFrame:

@@ -152,3 +152,19 @@ def test_mosaic_windows_cover_once(spark):
                 seen[r.row_off : r.row_off + r.height, r.col_off : r.col_off + r.width] += 1
         assert (seen == 1).all()
     assert {r.tile_id for r in got if r.mosaic == 1} == {"r0000000_c0000000", "r0000000_c0000004", "r0000004_c0000000", "r0000004_c0000004"}
+
+
+def test_boxes_of_one_place_meet_the_points_once(spark, monkeypatch):
+    """200 samples over 300 points: one place of points and two of boxes reach the joins, and a sample listed twice has its points once."""
+    met = []
+    whole = outcomes.boxes_overlapping
+    monkeypatch.setattr(outcomes, "boxes_overlapping", lambda left, *a, **k: met.append(left.count()) or whole(left, *a, **k))
+    at = F.when(F.col("id") % 2 == 0, 0.0).otherwise(4.0)
+    boxes = spark.range(200).select(F.col("id").alias("sample"), at.alias("x0"), F.lit(0.0).alias("y0"), (at + 2).alias("x1"), F.lit(2.0).alias("y1"))
+    boxes = boxes.unionByName(boxes.where("sample = 2"))
+    lidar = spark.createDataFrame([(0.0, 0.0, 20.0, 20.0, "u")], "x0 double, y0 double, x1 double, y1 double, url string")
+    points = spark.range(300).select(F.lit(1.5).alias("x"), F.lit(0.5).alias("y"), F.col("id").cast("double").alias("z"), (F.col("id") % 2 + 1).cast("int").alias("classification"))
+    told, cells = outcomes.reference_outcomes(boxes, boxes.where("sample = 4"), lidar, points, "sample", 4.0)
+    n = {(r.status, r.n_points): r["count"] for r in told.groupBy("status", "n_points").count().collect()}
+    assert met == [2] and n == {("ok", 300): 100, ("cached", 0): 1, ("no_points", 0): 100}
+    assert {(r.row, r.col, r.top, r.ground) for r in cells.collect()} == {(1, 1, 299.0, 1.0)} and cells.count() == 99
