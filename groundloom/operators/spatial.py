@@ -77,3 +77,19 @@ def boxes_overlapping(left: DataFrame, right: DataFrame, left_key: str, right_ke
     corner = lambda i, n: F.floor(F.greatest(F.col(f"a.{n}"), F.col(f"b.{n}")) / size) == F.col(f"a.{i}")
     met = a.join(b, reduce(lambda u, v: u & v, same)).where(overlaps("a", "b", closed) & corner("cx", "x0") & corner("cy", "y0"))
     return met.select(F.col(f"a.{left_key}").alias(left_key), F.col(f"b.{right_key}").alias(right_key), *([overlaps("a", "b", False).alias("is_open")] if closed else []))
+
+
+def overlaps_of_boxes(left: DataFrame, right: DataFrame, left_key: str, size: float) -> DataFrame:
+    """left_key, n_open, n_closed: how many boxes of right a box of left overlaps, without and with those it only touches; none: no row.
+
+    Boxes alike meet once and count as many: pairs grow with the distinct boxes
+    of both sides, not with their rows.
+    """
+    place = F.struct(*BOX)
+    a = left.select(place.alias("_a")).distinct().select("_a", "_a.*")
+    b = right.groupBy(*BOX).agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", F.struct(*BOX, "_k"))
+    met = boxes_overlapping(a, b, "_a", "_b", size, closed=True)
+    k = F.col("_b._k")
+    n = met.groupBy("_a").agg(F.sum(F.when(F.col("is_open"), k).otherwise(0)).alias("_open"), F.sum(k).alias("_closed"))
+    each = left.select(left_key, place.alias("_a")).join(n, "_a")
+    return each.groupBy(left_key).agg(F.sum("_open").alias("n_open"), F.sum("_closed").alias("n_closed"))

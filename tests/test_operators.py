@@ -348,3 +348,14 @@ def test_placement(spark):
     assert (cut.row_off, cut.height, cut.trimmed, cut.stripe) == (40001, 4999, 1, 8)
     ring = spark.range(1).select(mosaic.cell_ring(F.lit(0.0), F.lit(0.0), 100.0).alias("r")).first().r
     assert len(ring) == 41 and ring[0] == ring[-1] == [0.0, 0.0] and [100.0, 100.0] in ring
+
+
+def test_boxes_alike_are_counted_without_their_pairs(spark, monkeypatch):
+    met = []
+    whole = spatial.boxes_overlapping
+    monkeypatch.setattr(spatial, "boxes_overlapping", lambda left, right, *a, **k: met.append((left.count(), right.count())) or whole(left, right, *a, **k))
+    x = F.when(F.col("id") % 2 == 0, 0.0).otherwise(50.0)
+    box = lambda n, key, x: spark.range(n).select(F.col("id").alias(key), x.alias("x0"), F.lit(0.0).alias("y0"), (x + 10).alias("x1"), F.lit(10.0).alias("y1"))
+    right = box(70, "b", F.lit(5.0)).unionByName(box(30, "b", F.lit(10.0)))
+    got = spatial.overlaps_of_boxes(box(40, "a", x), right, "a", 3.0).collect()
+    assert met == [(2, 2)] and {tuple(r) for r in got} == {(k, 70, 100) for k in range(0, 40, 2)}
