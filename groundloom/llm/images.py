@@ -4,11 +4,13 @@ Corners are found at several scales. Each gets an orientation from the centroid
 of its patch, and a descriptor of 256 brightness tests turned by it, so that
 turning, cropping and changes of brightness leave it nearly as it was. The
 descriptor is cut into four words of 64 bits, each a key of a Hamming table:
-descriptors with at most three differing bits share a key. Under a key every
-corner is matched with the one of the smallest image, so that a key with n
-corners gives n - 1 matches and no pairs of pairs. A pair of images is a copy
-where enough matches agree on one turn, scale and shift. Classes are the
-connected components of such pairs. Images alike byte by byte are one image.
+descriptors with at most three differing bits share a key. Corners of two images
+under one key are a match, and a pair of images is a copy where enough matches
+agree on one turn, scale and shift. Every pair is judged: images are dealt to
+blocks, and a task matches two blocks, a bounded number of matches at a time, so
+that only links leave it. That is quadratic in the images, as keys of plain
+corners are common, but memory isn't. Classes are the connected components of
+such pairs. Images alike byte by byte are one image.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from groundloom.llm.components import components
 
 SCALES, RADIUS, BITS, WORDS = (1.0, 2**-0.5, 0.5), 7, 256, 4
 SHARPNESS, VOTES, BATCH = 0.02, 6, 256
-POINTS = "image bigint, spot bigint, key bigint"
+POINTS = "image bigint, n bigint, spots binary, keys binary"
 TURNS = 1024
+#: Corners of a block of images, and matches that a task holds at once.
+BLOCK, MATCHES = 1 << 19, 1 << 21
 
 
 def tests() -> np.ndarray:
@@ -113,16 +117,23 @@ def described(images: np.ndarray, pairs: np.ndarray) -> Iterator[tuple]:
 
 
 def points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row an image: its corners, and the WORDS keys of each."""
     pairs = tests()
     for f in frames:
         for (h, w), part in f.groupby(["height", "width"]):
             for at in range(0, len(part), BATCH):
                 some = part.iloc[at : at + BATCH]
                 stack = np.stack([np.frombuffer(p, dtype=np.uint8).reshape(h, w) for p in some["pixels"]]).astype(float)
-                ids = some["image"].to_numpy()
-                for i, spots, words in described(stack, pairs):
-                    keys = words ^ SALT[None, :]  # a word meets only words of its place
-                    yield pd.DataFrame({"image": np.repeat(ids[i], WORDS), "spot": np.repeat(spots, WORDS), "key": keys.ravel().view(np.int64)})
+                found = list(described(stack, pairs))
+                if not found:
+                    continue
+                i, spots, words = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(i, kind="stable")
+                i, spots, keys = i[order], spots[order], words[order] ^ SALT[None, :]  # a word meets only words of its place
+                which, begin = np.unique(i, return_index=True)
+                stop = [*begin[1:], len(i)]
+                out = [(len(spots[a:b]), spots[a:b].tobytes(), keys[a:b].tobytes()) for a, b in zip(begin, stop, strict=True)]
+                yield pd.DataFrame(out, columns=["n", "spots", "keys"]).assign(image=some["image"].to_numpy()[which])[["image", "n", "spots", "keys"]]
 
 
 SALT = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64)
@@ -144,28 +155,62 @@ def agreement(p: np.ndarray, q: np.ndarray) -> int:
     return best
 
 
-def agreeing(votes: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            good = [agreement(*np.array([(m["p"], m["q"]) for m in r], dtype=np.int64).T) >= votes for r in f["met"]]
-            yield f.loc[good, ["a", "b"]]
-
-    return run
-
-
-def image_links(images: DataFrame, votes: int = VOTES) -> DataFrame:
-    """a, b (b < a): linked images. images: image, height, width, pixels (8 bits a pixel, row by row).
-
-    The matches of a pair of images are no more than the corners of one of
-    them, so a pair is one row; pairs with fewer matches than votes go before
-    they are compared.
+def entries(block: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """index of the image, spot, key: one for each word of each corner of a block's images."""
+    n = block["n"].to_numpy()
+    spots, keys = (np.frombuffer(b"".join(block[c]), dtype=np.int64) for c in ("spots", "keys"))
+    return np.repeat(np.arange(len(n)), n * WORDS), np.repeat(spots, WORDS), keys
+
+
+def linked(left: pd.DataFrame, right: pd.DataFrame, votes: int) -> Iterator[tuple[int, int]]:
+    """The pairs of images of two blocks with enough agreeing matches. Some images of left at a time meet all of right."""
+    ids, others = left["image"].to_numpy(), right["image"].to_numpy()
+    (i, p, key), (j, q, ordered) = entries(left), entries(right)
+    order = np.argsort(ordered, kind="stable")
+    j, q, ordered = j[order], q[order], ordered[order]
+    low = np.searchsorted(ordered, key, "left")
+    n = np.searchsorted(ordered, key, "right") - low
+    i, p, low, n = (x[n > 0] for x in (i, p, low, n))
+    total, first = np.concatenate([[0], np.cumsum(n)]), np.searchsorted(i, np.arange(len(ids) + 1))
+    at = 0
+    while at < len(ids):
+        to = max(at + 1, int(np.searchsorted(total[first], total[first[at]] + MATCHES, "right")) - 1)
+        a, b = first[at], first[to]
+        one = np.repeat(np.arange(a, b), n[a:b])
+        two = low[one] + np.arange(total[a], total[b]) - total[one]
+        pair = (i[one] - at) * len(others) + j[two]
+        common = np.bincount(pair, minlength=(to - at) * len(others)) >= votes
+        hit = np.nonzero(common[pair])[0]
+        hit = hit[np.argsort(pair[hit], kind="stable")]
+        pair, ours, theirs = pair[hit], p[one[hit]], q[two[hit]]
+        ends = np.nonzero(np.diff(pair))[0] + 1
+        for c, x, y in zip(pair[np.concatenate([[0], ends]).astype(int)] if len(pair) else [], np.split(ours, ends), np.split(theirs, ends), strict=False):
+            u, v = int(ids[at + c // len(others)]), int(others[c % len(others)])
+            met = np.unique(np.stack([x, y] if u < v else [y, x]), axis=1)
+            if u != v and met.shape[1] >= votes and agreement(*met) >= votes:
+                yield max(u, v), min(u, v)
+        at = to
+
+
+def image_links(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> DataFrame:
+    """a, b (b < a): all linked images. images: image, height, width, pixels (8 bits a pixel, row by row).
+
+    Each pair of blocks is one task; block: the corners of one, more or less.
     """
-    found = kept(images.mapInPandas(points, POINTS), "corners")
-    first = found.groupBy("key").agg(F.min("image").alias("b"), F.max("image").alias("last")).where("b < last").select("key", "b")
-    firsts = found.join(first, "key").where("image = b").groupBy("key", "b").agg(F.min("spot").alias("p"))
-    met = found.join(firsts, "key").where("image <> b").select(F.col("image").alias("a"), "b", F.struct("p", F.col("spot").alias("q")).alias("m"))
-    pairs = met.groupBy("a", "b").agg(F.collect_set("m").alias("met")).where(F.size("met") >= votes)
-    return pairs.mapInPandas(agreeing(votes), "a bigint, b bigint")
+    found = images.mapInPandas(points, POINTS).groupBy("image").agg(*(F.first(c).alias(c) for c in ("n", "spots", "keys")))  # repeated images once
+    found = kept(found, "corners")
+    n = -(-(found.agg(F.sum("n")).first()[0] or 1) // block)
+    mine, other = F.pmod(F.xxhash64("image"), F.lit(n)).cast("int"), F.col("_o")
+    dealt = found.withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"_i": F.least("_m", other), "_j": F.greatest("_m", other)})
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        i, j = f["_i"].iloc[0], f["_j"].iloc[0]
+        left, right = f[f["_m"] == i], f[f["_m"] == j]
+        out = [] if left.empty or right.empty else list(linked(left, right, votes))
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    tasks = dealt.select("_i", "_j", "_m", "image", "n", "spots", "keys").repartition(2 * n * (n + 1), "_i", "_j")
+    return tasks.groupBy("_i", "_j").applyInPandas(run, "a bigint, b bigint")
 
 
 def image_copies(images: DataFrame, votes: int = VOTES) -> DataFrame:

@@ -554,6 +554,22 @@ def test_image_copies(spark):
     assert cls[200] == 0 and cls[201] == 201 and cls[203] == 203
 
 
+def test_image_links_are_all_pairs_that_meet_the_threshold(spark):
+    """Three versions of each picture are three links, also where smaller ids share keys; blocks and batches change nothing."""
+    r = np.random.default_rng(5)
+    base = [images.resized(r.random((1, 8, 8)), 64, 64)[0] for _ in range(8)]
+    shots = [np.clip(np.rint(b * 255), 0, 255).astype(np.uint8) for _ in range(3) for b in base]
+    for k, a in enumerate(shots):
+        a[0, 0] = k  # differs, but no corner does: the smallest id has every key of the others
+    rows = [(k, 64, 64, a.tobytes()) for k, a in enumerate(shots)]
+    df = spark.createDataFrame([*rows, *rows[:3]], "image long, height int, width int, pixels binary")
+    want = sorted((b + 8 * k, b + 8 * j) for b in range(8) for k in (1, 2) for j in range(k))
+    for block in (images.BLOCK, 200):
+        assert sorted(tuple(x) for x in images.image_links(df, block=block).collect()) == want
+    got = images.image_copies(df.withColumnRenamed("image", "image_id")).collect()
+    assert len(got) == 27 and all(x.n_links == 2 and x.class_id == x.image_id % 8 for x in got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
