@@ -11,6 +11,7 @@ from groundloom.functions import binning as B
 from groundloom.functions import dates as D
 from groundloom.functions import names as N
 from groundloom.functions import projection as P
+from groundloom.lineage import cut
 from groundloom.operators import links as L
 from groundloom.operators import metrics as M
 from groundloom.operators import canopy, mosaic, observations, outcomes, overlap, polygons, raster, release, sampling, spatial, stats, weighted, windows
@@ -612,7 +613,7 @@ def training_draw(spark, d):
 def training_draw_rules(spark, d):
     """What holds for any draw where candidates suffice: targets met, none too near, no flight over its limit."""
     c = _draw_candidates(spark, d).select("o_orderkey", "flight_date", "x", "y")
-    drawn = training_draw(spark, d).join(c, "o_orderkey")
+    drawn = cut(training_draw(spark, d).join(c, "o_orderkey"))  # read four times below; the candidates once
     a, b = drawn.alias("a"), drawn.alias("b")
     near = F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2) < 2000.0**2
     too_near = a.join(b, (F.col("a.turn") < F.col("b.turn")) & near).agg(F.count(F.lit(1)).alias("n_too_near"))  # no more rows than the targets

@@ -58,3 +58,7 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_draw_rules_read_the_candidates_once(spark):
+    assert not QUERIES["training_draw_rules"](spark, SF).inputFiles()
