@@ -8,8 +8,9 @@ descriptors with at most three differing bits share a key. Corners of two images
 under one key are a match, and a pair of images is a copy where enough matches
 agree on one turn, scale and shift. Every pair is judged: images are dealt to
 blocks, and a task matches two blocks, a bounded number of matches at a time, so
-that only links leave it. That is quadratic in the images, as keys of plain
-corners are common, but memory isn't. Classes are the connected components of
+that only links leave it; the pairs with enough matches are judged together.
+Matches are quadratic in the images, as keys of plain corners are common, but
+memory isn't. Classes are the connected components of
 such pairs. Images alike byte by byte are one image.
 """
 
@@ -22,15 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundloom.llm.common import cut, kept
+from groundloom.llm.common import cut, kept, tidy
 from groundloom.llm.components import components
 
 SCALES, RADIUS, BITS, WORDS = (1.0, 2**-0.5, 0.5), 7, 256, 4
-SHARPNESS, VOTES, BATCH = 0.02, 6, 256
+SHARPNESS, VOTES, BATCH = 0.02, 6, 64
 POINTS = "image bigint, n bigint, spots binary, keys binary"
 TURNS = 1024
-#: Corners of a block of images, and matches that a task holds at once.
-BLOCK, MATCHES = 1 << 19, 1 << 21
+#: Corners of a block of images; matches that a task judges, and that it counts, at once; pairs of images that it counts them for.
+BLOCK, MATCHES, COUNTED, PAIRS = 1 << 19, 1 << 17, 1 << 17, 1 << 20
 
 
 def tests() -> np.ndarray:
@@ -139,57 +140,96 @@ def points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 SALT = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64)
 
 
-def agreement(p: np.ndarray, q: np.ndarray) -> int:
-    """The most corners, four pixels apart, that one turn, scale and shift takes from p to q."""
-    px, py, ps, pa = unpacked(p)
-    qx, qy, qs, qa = unpacked(q)
-    turn, grow = qa - pa, ps / qs  # a corner found at a smaller scale is larger
-    cos, sin = np.cos(turn) * grow, np.sin(turn) * grow
-    dx, dy = qx - (px * cos - py * sin), qy - (px * sin + py * cos)
-    place = (px // 4).astype(np.int64) << 20 | (py // 4).astype(np.int64)
-    best = 0
+def agreement(pair: np.ndarray, p: np.ndarray, q: np.ndarray, votes: int) -> np.ndarray:
+    """The pairs where one turn, scale and shift takes votes corners or more, four pixels apart, from p to q. pair, p, q: one match each, in any order."""
+    good = [np.empty(0, dtype=np.int64)]
+    _, pair_no = np.unique(pair, return_inverse=True)
     for half in (0.0, 0.5):  # two grids, so that what agrees isn't cut by an edge of both
-        cells = np.stack([np.floor(turn / (np.pi / 8) + half) % 16, np.floor(np.log2(grow) / 0.5 + half), np.floor(dx / 12 + half), np.floor(dy / 12 + half), place])
-        _, of = np.unique(np.unique(cells, axis=1)[:4], axis=1, return_counts=True)
-        best = max(best, int(of.max()))
-    return best
+        turn = (np.floor(((q >> 44) - (p >> 44)) * (2 * np.pi / TURNS) / (np.pi / 8) + half) % 16).astype(np.int64)
+        grow = STEPS[half][p >> 40 & 0xF, q >> 40 & 0xF]
+        cell = (pair_no * 16 + turn) * 16 + grow
+        # Few matches agree on turn and scale by chance, so that the others are hardly looked at.
+        some = np.flatnonzero(np.bincount(cell)[cell] >= votes)
+        if not len(some):
+            continue
+        px, py, ps, pa = unpacked(p[some])
+        qx, qy, qs, qa = unpacked(q[some])
+        cos, sin = np.cos(qa - pa) * (ps / qs), np.sin(qa - pa) * (ps / qs)
+        dx, dy = (np.floor(d / 12 + half).astype(np.int64) for d in (qx - (px * cos - py * sin), qy - (px * sin + py * cos)))
+        of = numbered(cell[some], dx, dy)
+        often = np.bincount(of)[of] >= votes
+        of, place = of[often], ((px // 4).astype(np.int64) << 20 | (py // 4).astype(np.int64))[often]
+        places = numbered(of, place)
+        first = np.unique(places, return_index=True)[1]  # each place of a cell once
+        enough = np.bincount(of[first], minlength=int(of.max(initial=-1)) + 1) >= votes
+        good.append(pair[some][often][enough[of]])
+    return np.unique(np.concatenate(good))
+
+
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each distinct row."""
+    out = columns[0]
+    for c in columns[1:]:
+        a, b = (np.unique(x, return_inverse=True)[1] for x in (out, c))
+        out = a * (int(b.max(initial=0)) + 1) + b
+    return np.unique(out, return_inverse=True)[1]
+
+
+#: By grid: the step, of half octaves, between the scales of two corners; one found at a smaller scale is larger.
+STEPS = {half: (np.floor(np.log2(np.divide.outer(SCALES, SCALES)) / 0.5 + half) + 8).astype(np.int64) for half in (0.0, 0.5)}
 
 
 def entries(block: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """index of the image, spot, key: one for each word of each corner of a block's images."""
+    """index of the image, spot, key: one for each word of each corner of a block's images, by key and image."""
     n = block["n"].to_numpy()
     spots, keys = (np.frombuffer(b"".join(block[c]), dtype=np.int64) for c in ("spots", "keys"))
-    return np.repeat(np.arange(len(n)), n * WORDS), np.repeat(spots, WORDS), keys
+    i, spots = np.repeat(np.arange(len(n)), n * WORDS), np.repeat(spots, WORDS)
+    order = np.lexsort((i, keys))
+    return i[order], spots[order], keys[order]
 
 
-def linked(left: pd.DataFrame, right: pd.DataFrame, votes: int) -> Iterator[tuple[int, int]]:
-    """The pairs of images of two blocks with enough agreeing matches. Some images of left at a time meet all of right."""
+def linked(left: pd.DataFrame, right: pd.DataFrame | None, votes: int) -> Iterator[tuple[int, int]]:
+    """The pairs of images of two blocks, or of one (right: None), with enough agreeing matches. Some images of left at a time meet all of right."""
+    same, right = right is None, left if right is None else right
     ids, others = left["image"].to_numpy(), right["image"].to_numpy()
-    (i, p, key), (j, q, ordered) = entries(left), entries(right)
-    order = np.argsort(ordered, kind="stable")
-    j, q, ordered = j[order], q[order], ordered[order]
-    low = np.searchsorted(ordered, key, "left")
-    n = np.searchsorted(ordered, key, "right") - low
-    i, p, low, n = (x[n > 0] for x in (i, p, low, n))
+    i, p, key = entries(left)
+    j, q, ordered = (i, p, key) if same else entries(right)
+    low, high = (np.searchsorted(ordered, key, side) for side in ("left", "right"))
+    if same:  # each pair of images once: the entries of the key's later images
+        ends = np.flatnonzero(np.concatenate([(key[1:] != key[:-1]) | (i[1:] != i[:-1]), [True]])) + 1
+        low = ends[np.searchsorted(ends, np.arange(len(key)), "right")]
+    n = high - low
+    order = np.argsort(i, kind="stable")
+    order = order[n[order] > 0]
+    i, p, low, n = i[order], p[order], low[order], n[order]
     total, first = np.concatenate([[0], np.cumsum(n)]), np.searchsorted(i, np.arange(len(ids) + 1))
+    held: list[tuple[np.ndarray, ...]] = []
     at = 0
+
+    def judged() -> Iterator[tuple[int, int]]:
+        pair, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        for c in agreement(pair, x, y, votes).tolist():
+            u, v = int(ids[c // len(others)]), int(others[c % len(others)])
+            yield max(u, v), min(u, v)
+
     while at < len(ids):
-        to = max(at + 1, int(np.searchsorted(total[first], total[first[at]] + MATCHES, "right")) - 1)
+        to = int(np.searchsorted(total[first], total[first[at]] + COUNTED, "right")) - 1
+        to = max(at + 1, min(to, at + PAIRS // len(others)))
         a, b = first[at], first[to]
-        one = np.repeat(np.arange(a, b), n[a:b])
-        two = low[one] + np.arange(total[a], total[b]) - total[one]
-        pair = (i[one] - at) * len(others) + j[two]
+        two = np.arange(total[a], total[b]) + np.repeat(low[a:b] - total[a:b], n[a:b])
+        pair = j[two] + np.repeat((i[a:b] - at) * len(others), n[a:b])
         common = np.bincount(pair, minlength=(to - at) * len(others)) >= votes
-        hit = np.nonzero(common[pair])[0]
-        hit = hit[np.argsort(pair[hit], kind="stable")]
-        pair, ours, theirs = pair[hit], p[one[hit]], q[two[hit]]
-        ends = np.nonzero(np.diff(pair))[0] + 1
-        for c, x, y in zip(pair[np.concatenate([[0], ends]).astype(int)] if len(pair) else [], np.split(ours, ends), np.split(theirs, ends), strict=False):
-            u, v = int(ids[at + c // len(others)]), int(others[c % len(others)])
-            met = np.unique(np.stack([x, y] if u < v else [y, x]), axis=1)
-            if u != v and met.shape[1] >= votes and agreement(*met) >= votes:
-                yield max(u, v), min(u, v)
+        if common.any():
+            hit = np.flatnonzero(common[pair])
+            x, y, pair = np.repeat(p[a:b], n[a:b])[hit], q[two[hit]], pair[hit]
+            swap = ids[at + pair // len(others)] > others[pair % len(others)]
+            held.append((pair + at * len(others), np.where(swap, y, x), np.where(swap, x, y)))
+            if sum(len(h[0]) for h in held) > MATCHES:
+                yield from judged()
         at = to
+    if held:
+        yield from judged()
 
 
 def image_links(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> DataFrame:
@@ -197,7 +237,7 @@ def image_links(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> Da
 
     Each pair of blocks is one task; block: the corners of one, more or less.
     """
-    found = images.mapInPandas(points, POINTS).groupBy("image").agg(*(F.first(c).alias(c) for c in ("n", "spots", "keys")))  # repeated images once
+    found = images.mapInPandas(tidy(points), POINTS).groupBy("image").agg(*(F.first(c).alias(c) for c in ("n", "spots", "keys")))  # repeated images once
     found = kept(found, "corners")
     n = -(-(found.agg(F.sum("n")).first()[0] or 1) // block)
     mine, other = F.pmod(F.xxhash64("image"), F.lit(n)).cast("int"), F.col("_o")
@@ -206,8 +246,8 @@ def image_links(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> Da
     def run(f: pd.DataFrame) -> pd.DataFrame:
         i, j = f["_i"].iloc[0], f["_j"].iloc[0]
         left, right = f[f["_m"] == i], f[f["_m"] == j]
-        out = [] if left.empty or right.empty else list(linked(left, right, votes))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        pairs = iter(()) if left.empty or right.empty else linked(left, None if i == j else right, votes)
+        return pd.DataFrame(sorted(tidy(lambda x: x)(pairs)), columns=["a", "b"], dtype="int64")
 
     tasks = dealt.select("_i", "_j", "_m", "image", "n", "spots", "keys").repartition(2 * n * (n + 1), "_i", "_j")
     return tasks.groupBy("_i", "_j").applyInPandas(run, "a bigint, b bigint")
