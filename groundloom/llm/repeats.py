@@ -2,14 +2,14 @@
 
 A byte goes if a string of ``least`` (400) bytes that covers it starts anywhere
 else too. Sorting every suffix of the corpus isn't needed: of each window of
-passage - GRAM + 1 places, the one whose GRAM-byte string has the smallest hash is
+least - GRAM + 1 places, the one whose GRAM-byte string has the smallest hash is
 an anchor (the last of equal ones). Equal strings of ``least`` bytes hold the
 same anchor at the same offset, so it is enough to compare what lies around
 anchors with equal grams, up to least bytes to the right and least - GRAM to the
 left.
 
-The window is that of the shorter ``passage`` limit, so the same anchors also tell
-which longer runs of words repeat without reaching ``least`` bytes.
+Runs of many words that other documents have, which may be shorter than that, are
+counted by words (passages).
 
 1. Anchors are emitted with hashes of their gram and of what lies around them.
    A sum with map-side combine merges those alike: what lies around an anchor
@@ -41,10 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundloom.llm.common import as_text, kept, own, tidy
+from groundloom.llm.passages import WORDS, passages, runs
 
 LEAST, GRAM = 400, 100
-#: A passage is a run of over PASSAGE_WORDS words, covered by strings of PASSAGE bytes or more that start elsewhere too.
-PASSAGE, PASSAGE_WORDS = 250, 50
+#: A passage has over PASSAGE_WORDS words, and so PASSAGE bytes or more.
+PASSAGE_WORDS = WORDS - 1
+PASSAGE = 2 * WORDS - 1
 #: Surroundings of one gram that one task scans (700 bytes each).
 GROUP = 20_000
 #: Texts that a worker describes at a time.
@@ -105,26 +107,25 @@ class Anchors:
         return at[keep], h[keep]
 
 
-FOUND = "doc_id bigint, mark bigint, at bigint, gram bigint, around bigint, long boolean"
+FOUND = "doc_id bigint, mark bigint, at bigint, gram bigint, around bigint"
 
 
-def anchors(least: int, gram: int, passage: int):
-    """FOUND: the anchors of strings of passage bytes or more; long: the text has least bytes, so what lies around does too."""
+def anchors(least: int, gram: int):
+    """FOUND: the anchors of strings of least bytes or more."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, before = Anchors(passage, gram), least - gram
+        find, before = Anchors(least, gram), least - gram
         digest = xxhash.xxh3_64_intdigest
         for whole in frames:
             for begin in range(0, len(whole), SLICE):
                 f = whole.iloc[begin : begin + SLICE]
-                rows, ats, grams, around, long = [], [], [], [], []
+                rows, ats, grams, around = [], [], [], []
                 for i, text in enumerate(f["text"]):
                     data = text.encode()
                     at, h = find.of(data)
                     rows.append(np.full(len(at), i))
                     ats.append(at)
                     grams.append(h)
-                    long.append(np.full(len(at), len(data) >= least))
                     around += [digest(data[max(0, p - before) : p + least], min(p, before)) for p in at.tolist()]
                 if not around:
                     continue
@@ -136,7 +137,6 @@ def anchors(least: int, gram: int, passage: int):
                         "at": np.concatenate(ats),
                         "gram": np.concatenate(grams).view(np.int64),
                         "around": np.array(around, dtype=np.uint64).view(np.int64),
-                        "long": np.concatenate(long),
                     }
                 )
 
@@ -272,30 +272,28 @@ def scan_group(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right:
     return reaches(lcp.tolist(), rank.tolist(), near.tolist(), limits, gram)
 
 
-def scan(least: int, gram: int, passage: int):
-    """gram, around, l, r, pl, pr: frames come sorted by gram and right side; a gram may go on in the next frame."""
-    limits = (least, passage)
+def scan(least: int, gram: int):
+    """gram, around, l, r: frames come sorted by gram and right side; a gram may go on in the next frame."""
 
     def groups(f: pd.DataFrame) -> pd.DataFrame:
         key = f["gram"].to_numpy()
         left, n_left = _matrix(f["before"], least - gram)
         right, n_right = _matrix(f["after"], least)
-        reach = np.zeros((4, len(f)), dtype=np.int64)
+        reach = np.zeros((2, len(f)), dtype=np.int64)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(edge)
         a = edge[:-1][sizes == 2]
         b = a + 1
         two_r = _common(right[a], right[b], n_right[a], n_right[b])
         two_l = _common(left[a], left[b], n_left[a], n_left[b])
-        for k, limit in enumerate(limits):
-            good = (two_l + two_r >= limit) & (two_r >= gram)
-            for side in (a[good], b[good]):
-                reach[2 * k, side], reach[2 * k + 1, side] = two_l[good], two_r[good]
+        good = (two_l + two_r >= least) & (two_r >= gram)
+        for side in (a[good], b[good]):
+            reach[0, side], reach[1, side] = two_l[good], two_r[good]
         for at, n in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             s = slice(at, at + n)
-            reach[:, s] = [x for both in scan_group(left[s], n_left[s], right[s], n_right[s], limits, gram) for x in both]
-        hit = reach[1::2].any(axis=0)
-        return pd.DataFrame({"gram": key[hit], "around": f["around"].to_numpy()[hit], **dict(zip(("l", "r", "pl", "pr"), reach[:, hit], strict=True))})
+            reach[:, s] = scan_group(left[s], n_left[s], right[s], n_right[s], (least,), gram)[0]
+        hit = reach[1] > 0
+        return pd.DataFrame({"gram": key[hit], "around": f["around"].to_numpy()[hit], "l": reach[0, hit], "r": reach[1, hit]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -421,43 +419,38 @@ def repeated_windows(cut_sides: DataFrame, sizes: tuple[int, ...], gram: int) ->
 WINDOWS = "gram bigint, alike bigint, n bigint, size bigint, back bigint, window bigint"
 
 
-def find_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, mark, spans: byte ranges that repeats cover, not merged. rows: doc_id, mark, text.
-
-    Of each span, begin and stop are the range that strings of least bytes cover
-    (alike if none does), pbegin and pstop that of strings of passage bytes.
-    """
+def find_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """doc_id, mark, spans: byte ranges that repeats cover, not merged. rows: doc_id, mark, text."""
     spark = rows.sparkSession
-    found = kept(rows.mapInPandas(tidy(anchors(least, gram, passage)), FOUND), "anchors")
+    found = kept(rows.mapInPandas(tidy(anchors(least, gram)), FOUND), "anchors")
     one = F.min(F.struct("doc_id", "mark", "at")).alias("one")
-    alike = found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), one, F.first("long").alias("long"))
+    alike = found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), one)
     kinds = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    shared = kept(alike.join(kinds.select("gram", "kinds"), "gram").select("gram", "around", "n", "long", "one.*", "kinds"), "shared")
+    shared = kept(alike.join(kinds.select("gram", "kinds"), "gram").select("gram", "around", "n", "one.*", "kinds"), "shared")
     wanted_of = lambda some: shared.where(some).groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("of")).agg(F.collect_list(F.struct("gram", "around", "at")).alias("wanted"))
     texts = rows.mapInPandas(tidy(packed), "doc_id bigint, mark bigint, text binary")
     on = texts["doc_id"].eqNullSafe(F.col("id")) & (texts["mark"] == F.col("of"))
     # Rows alike in id and text would give the same surroundings again.
     lying = lambda wanted: texts.join(wanted, on).select("text", "wanted").mapInPandas(sides(least, gram), SIDES)
-    reach = "gram bigint, around bigint, l bigint, r bigint, pl bigint, pr bigint"
+    reach = "gram bigint, around bigint, l bigint, r bigint"
     if shared.where(F.col("kinds") > group).head(1):
         lies = kept(lying(wanted_of(F.col("kinds") > 1)), "sides")
         grams = shared.where(F.col("kinds") > group).select("gram").distinct()
         few = lies.join(grams, "gram", "left_anti")
         hot = alike_sides(lies.join(grams, "gram", "left_semi").dropDuplicates(["gram", "around"]).withColumn("n", F.lit(1).cast("long")), gram)
-        met = repeated_windows(hot, tuple({least, passage}), gram)
-        of = lambda size, x, name: F.coalesce(F.max(F.when(F.col("size") == size, x)), F.lit(0)).cast("long").alias(name)
-        ends = ((least, "l", "r"), (passage, "pl", "pr"))
-        counted = met.groupBy("gram", "alike").agg(*(c for size, a, b in ends for c in (of(size, F.col("back"), a), of(size, size - F.col("back"), b))))
+        met = repeated_windows(hot, (least,), gram)
+        of = lambda x, name: F.max(x).cast("long").alias(name)
+        counted = met.groupBy("gram", "alike").agg(of(F.col("back"), "l"), of(least - F.col("back"), "r"))
         counted = hot.select("gram", "around", "alike").join(counted, ["gram", "alike"]).drop("alike")
     else:
         few, counted = lying(wanted_of(F.col("kinds") > 1)), spark.createDataFrame([], reach)
-    scanned = few.repartition("gram").sortWithinPartitions("gram", "after").mapInPandas(tidy(scan(least, gram, passage)), reach)
-    all_of_it = {"l": least - gram, "r": least, "pl": least - gram, "pr": least}
-    whole = shared.where("n > 1").select("gram", "around", *(F.when(F.col("long") | F.lit(c[0] == "p"), n).otherwise(0).cast("long").alias(c) for c, n in all_of_it.items()))
+    scanned = few.repartition("gram").sortWithinPartitions("gram", "after").mapInPandas(tidy(scan(least, gram)), reach)
+    all_of_it = {"l": least - gram, "r": least}
+    whole = shared.where("n > 1").select("gram", "around", *(F.lit(n).cast("long").alias(c) for c, n in all_of_it.items()))
     farthest = scanned.unionByName(counted).unionByName(whole).groupBy("gram", "around").agg(*(F.max(c).alias(c) for c in all_of_it))
     # Written, so that the join's sides are plain shuffles and an anchor that very many documents share can be split.
     back = found.join(kept(farthest, "reaches"), ["gram", "around"])
-    edges = {"begin": F.greatest(F.col("at") - F.col("l"), F.lit(0)), "stop": F.col("at") + F.col("r"), "pbegin": F.greatest(F.col("at") - F.col("pl"), F.lit(0)), "pstop": F.col("at") + F.col("pr")}
+    edges = {"begin": F.greatest(F.col("at") - F.col("l"), F.lit(0)), "stop": F.col("at") + F.col("r")}
     return back.groupBy("doc_id", "mark").agg(F.collect_set(F.struct(*(c.cast("int").alias(k) for k, c in edges.items()))).alias("spans"))
 
 
@@ -473,7 +466,7 @@ def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group:
     report: removal needs no names of groups and uses find_repeats().
     """
     rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
-    found = kept(rows.mapInPandas(tidy(anchors(least, gram, least)), FOUND), "anchors")
+    found = kept(rows.mapInPandas(tidy(anchors(least, gram)), FOUND), "anchors")
     one = F.min(F.struct("doc_id", "mark", "at")).alias("one")
     alike = kept(found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), one), "alike")
     shared = alike.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
@@ -502,48 +495,44 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def whole_words(data: bytes, begin: int, stop: int) -> int:
-    """Words that lie in data[begin:stop] as a whole."""
-    run = data[begin:stop]
-    n = len(run.split())
-    n -= begin > 0 and not data[begin - 1 : begin].isspace() and not run[:1].isspace()
-    n -= stop < len(data) and not data[stop : stop + 1].isspace() and not run[-1:].isspace()
-    return n
-
-
 def left_over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tool = zstandard.ZstdDecompressor()
     for f in frames:
         out = []
-        for doc_id, text, spans in zip(f["doc_id"].astype("Int64"), f["text"], f["spans"], strict=True):
+        for doc_id, text, spans, begins, several in zip(f["doc_id"].astype("Int64"), f["text"], f["spans"], f["begins"], f["several"], strict=True):
             data = tool.decompress(text)
             spans = spans if spans is not None else ()
             gone = merged([(s["begin"], min(s["stop"], len(data))) for s in spans if s["stop"] > s["begin"]])
-            again = merged([(s["pbegin"], min(s["pstop"], len(data))) for s in spans])
             edges = [0, *(x for m in gone for x in m), len(data)]
             rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            n_passages = sum(whole_words(data, a, b) > PASSAGE_WORDS for a, b in again)
+            n_passages = int(len(data.split()) >= WORDS) if several is True else runs(begins if begins is not None else (), WORDS)
             out.append((doc_id, len(data), [{"begin": a, "stop": b} for a, b in gone], rest, n_passages))
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept", "n_passages"]).astype({"doc_id": "Int64"})
 
 
-def drop_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, spans, kept, n_passages: one row for each row of docs.
 
     spans are the removed runs of bytes, in order; kept is what is left, as
     binary, since a run may begin or end within a character. n_passages counts
-    the runs of over PASSAGE_WORDS words that strings of passage bytes or more
-    cover which start elsewhere too: such runs are reported, and removed only
-    where they reach least bytes. A null text counts as empty. Texts shorter
+    the runs of words that strings of over PASSAGE_WORDS words cover which
+    another document has too, A-Z lower-cased and whatever white space lies
+    between words: such runs are reported, and bytes removed only by least. A null text counts as empty. Texts shorter
     than least are kept whole. Rows alike are documents of their own: each
     repeats the other. An empty table gives no rows; only doc_id and text are
     read; a null doc_id is a value like any other.
     """
     rows = own(docs, "doc_id", "text").withColumn("text", as_text(F.col("text"))).withColumn("mark", F.xxhash64("text"))
-    spans = find_repeats(rows, least, gram, group, min(passage, least))
+    spans = find_repeats(rows, least, gram, group)
     texts = rows.mapInPandas(tidy(packed), "doc_id bigint, mark bigint, text binary")
-    on = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["mark"] == spans["mark"])
-    both = texts.join(spans, on, "left").select(texts["doc_id"], "text", "spans")
+    long = F.octet_length("text") >= PASSAGE
+    met = passages(rows.where(long), texts)
+    of_rows = rows.where(long).select("doc_id", "mark").distinct().join(met, "mark").select("doc_id", "mark", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "begins", "several")
+    known = spans.withColumns({c: F.lit(None).cast(of_rows.schema[c].dataType) for c in ("begins", "several")}).unionByName(of_rows)
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    known = known.groupBy("doc_id", "mark").agg(*map(first, ("spans", "begins", "several")))
+    on = texts["doc_id"].eqNullSafe(known["doc_id"]) & (texts["mark"] == known["mark"])
+    both = texts.join(known, on, "left").select(texts["doc_id"], "text", "spans", "begins", "several")
     return both.mapInPandas(tidy(left_over), "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,stop:bigint>>, kept binary, n_passages bigint")
 
 
