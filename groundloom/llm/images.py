@@ -7,10 +7,11 @@ descriptor is cut into four words of 64 bits, each a key of a Hamming table:
 descriptors with at most three differing bits share a key. Corners of two images
 under one key are a match, and a pair of images is a copy where enough matches
 agree on one turn, scale and shift. Every pair is judged: images are dealt to
-blocks, and a task matches two blocks, a bounded number of matches at a time, so
-that only links leave it; the pairs with enough matches are judged together.
+blocks, and a task matches two blocks, a bounded number of matches at a time; the
+pairs with enough matches are judged together. Links are counted and united where
+they are found, so that one row an image leaves a task, however many links it has.
 Matches are quadratic in the images, as keys of plain corners are common, but
-memory isn't. Classes are the connected components of
+memory and rows aren't. Classes are the connected components of
 such pairs. Images alike byte by byte are one image.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from groundloom.llm.common import cut, kept, tidy
@@ -32,6 +33,8 @@ POINTS = "image bigint, n bigint, spots binary, keys binary"
 TURNS = 1024
 #: Corners of a block of images; matches that a task judges, and that it counts, at once; pairs of images that it counts them for.
 BLOCK, MATCHES, COUNTED, PAIRS = 1 << 19, 1 << 17, 1 << 17, 1 << 20
+#: So many blocks are made of fewer corners too, if each gets 1 / PARTS**2 of a block, that the pairs of a large group are judged in several tasks.
+PARTS = 4
 
 
 def tests() -> np.ndarray:
@@ -157,21 +160,29 @@ def agreement(pair: np.ndarray, p: np.ndarray, q: np.ndarray, votes: int) -> np.
         cos, sin = np.cos(qa - pa) * (ps / qs), np.sin(qa - pa) * (ps / qs)
         dx, dy = (np.floor(d / 12 + half).astype(np.int64) for d in (qx - (px * cos - py * sin), qy - (px * sin + py * cos)))
         of = numbered(cell[some], dx, dy)
-        often = np.bincount(of)[of] >= votes
-        of, place = of[often], ((px // 4).astype(np.int64) << 20 | (py // 4).astype(np.int64))[often]
-        places = numbered(of, place)
-        first = np.unique(places, return_index=True)[1]  # each place of a cell once
-        enough = np.bincount(of[first], minlength=int(of.max(initial=-1)) + 1) >= votes
-        good.append(pair[some][often][enough[of]])
-    return np.unique(np.concatenate(good))
+        often = np.flatnonzero(np.bincount(of)[of] >= votes)
+        of, place = of[often], ((px[often] // 4).astype(np.int64) << 18 | (py[often] // 4).astype(np.int64))
+        once = distinct(of << 36 | place) >> 36  # each place of a cell once
+        enough = np.bincount(once, minlength=int(of.max(initial=-1)) + 1) >= votes
+        good.append(pair[some[often[enough[of]]]])
+    return distinct(np.concatenate(good))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """In order; sorted integers are faster here than np.unique, which hashes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
 
 
 def numbered(*columns: np.ndarray) -> np.ndarray:
     """A number for each distinct row."""
     out = columns[0]
     for c in columns[1:]:
-        a, b = (np.unique(x, return_inverse=True)[1] for x in (out, c))
-        out = a * (int(b.max(initial=0)) + 1) + b
+        c = c - c.min(initial=0)
+        wide = int(c.max(initial=0)) + 1
+        if int(out.max(initial=0)) >= (1 << 62) // wide:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * wide + c
     return np.unique(out, return_inverse=True)[1]
 
 
@@ -189,7 +200,43 @@ def entries(block: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def linked(left: pd.DataFrame, right: pd.DataFrame | None, votes: int) -> Iterator[tuple[int, int]]:
-    """The pairs of images of two blocks, or of one (right: None), with enough agreeing matches. Some images of left at a time meet all of right."""
+    """The pairs of images of two blocks, or of one (right: None), with enough agreeing matches."""
+    ids, others = (f["image"].to_numpy() for f in (left, left if right is None else right))
+    for a, b in met(left, right, votes):
+        for u, v in zip(ids[a].tolist(), others[b].tolist(), strict=True):
+            yield max(u, v), min(u, v)
+
+
+def tied(left: pd.DataFrame, right: pd.DataFrame | None, votes: int) -> pd.DataFrame:
+    """image, n_links, least: of each image linked in two blocks, or in one, the number of these links, and the smallest image they reach."""
+    ids = np.concatenate([f["image"].to_numpy() for f in (left, right) if f is not None])
+    order = np.argsort(ids)
+    rank, shift = np.argsort(order), 0 if right is None else len(left)
+    n_links, least = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+    for a, b in met(left, right, votes):
+        a, b = rank[a], rank[b + shift]
+        n_links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        least = united(least, a, b)
+    some = np.flatnonzero(n_links)
+    return pd.DataFrame({"image": ids[order][some], "n_links": n_links[some], "least": ids[order][least[some]]})
+
+
+def united(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each number reaches, after a and b are joined pair by pair. least: the same before."""
+    least = least.copy()
+    while True:
+        a, b = least[a], least[b]
+        apart = a != b
+        if not apart.any():
+            return least
+        a, b = a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def met(left: pd.DataFrame, right: pd.DataFrame | None, votes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The linked images of two blocks, or of one, each pair once, as numbers of rows of left and of right. Some images of left at a time meet all of right."""
     same, right = right is None, left if right is None else right
     ids, others = left["image"].to_numpy(), right["image"].to_numpy()
     i, p, key = entries(left)
@@ -206,12 +253,10 @@ def linked(left: pd.DataFrame, right: pd.DataFrame | None, votes: int) -> Iterat
     held: list[tuple[np.ndarray, ...]] = []
     at = 0
 
-    def judged() -> Iterator[tuple[int, int]]:
+    def judged() -> tuple[np.ndarray, np.ndarray]:
         pair, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        for c in agreement(pair, x, y, votes).tolist():
-            u, v = int(ids[c // len(others)]), int(others[c % len(others)])
-            yield max(u, v), min(u, v)
+        return np.divmod(agreement(pair, x, y, votes), len(others))
 
     while at < len(ids):
         to = int(np.searchsorted(total[first], total[first[at]] + COUNTED, "right")) - 1
@@ -226,31 +271,55 @@ def linked(left: pd.DataFrame, right: pd.DataFrame | None, votes: int) -> Iterat
             swap = ids[at + pair // len(others)] > others[pair % len(others)]
             held.append((pair + at * len(others), np.where(swap, y, x), np.where(swap, x, y)))
             if sum(len(h[0]) for h in held) > MATCHES:
-                yield from judged()
+                yield judged()
         at = to
     if held:
-        yield from judged()
+        yield judged()
 
 
-def image_links(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> DataFrame:
-    """a, b (b < a): all linked images. images: image, height, width, pixels (8 bits a pixel, row by row).
-
-    Each pair of blocks is one task; block: the corners of one, more or less.
-    """
+def blocks(images: DataFrame, block: int) -> GroupedData:
+    """The corners of images, by pairs of blocks (_i, _j); _m: the block of a row. images: image, height, width, pixels (8 bits a pixel, row by row)."""
     found = images.mapInPandas(tidy(points), POINTS).groupBy("image").agg(*(F.first(c).alias(c) for c in ("n", "spots", "keys")))  # repeated images once
     found = kept(found, "corners")
-    n = -(-(found.agg(F.sum("n")).first()[0] or 1) // block)
+    size = found.agg(F.sum("n")).first()[0] or 1
+    n = max(-(-size // block), min(PARTS, -(-size * PARTS**2 // block)))
     mine, other = F.pmod(F.xxhash64("image"), F.lit(n)).cast("int"), F.col("_o")
     dealt = found.withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"_i": F.least("_m", other), "_j": F.greatest("_m", other)})
+    return dealt.select("_i", "_j", "_m", "image", "n", "spots", "keys").repartition(2 * n * (n + 1), "_i", "_j").groupBy("_i", "_j")
+
+
+def sides(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None] | None:
+    """The blocks of a task; of one block, the second is None. None where one of two is empty, so that nothing meets."""
+    i, j = f["_i"].iloc[0], f["_j"].iloc[0]
+    left, right = f[f["_m"] == i], None if i == j else f[f["_m"] == j]
+    return None if left.empty or (right is not None and right.empty) else (left, right)
+
+
+def image_links(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> DataFrame:
+    """a, b (b < a): all linked images, whose number grows with the square of a class. images: as in blocks.
+
+    Each pair of blocks is one task; block: the corners of one, more or less.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["_i"].iloc[0], f["_j"].iloc[0]
-        left, right = f[f["_m"] == i], f[f["_m"] == j]
-        pairs = iter(()) if left.empty or right.empty else linked(left, None if i == j else right, votes)
+        pairs = linked(*both, votes) if (both := sides(f)) else iter(())
         return pd.DataFrame(sorted(tidy(lambda x: x)(pairs)), columns=["a", "b"], dtype="int64")
 
-    tasks = dealt.select("_i", "_j", "_m", "image", "n", "spots", "keys").repartition(2 * n * (n + 1), "_i", "_j")
-    return tasks.groupBy("_i", "_j").applyInPandas(run, "a bigint, b bigint")
+    return blocks(images, block).applyInPandas(run, "a bigint, b bigint")
+
+
+def image_ties(images: DataFrame, votes: int = VOTES, block: int = BLOCK) -> DataFrame:
+    """image, n_links, least: at most one row for each image and pair of blocks, of all its links there; least: the smallest image they reach there.
+
+    The links of an image are the sum of its rows, and the classes of links those of (image, least).
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("image", "n_links", "least")})
+        (out,) = tidy(iter)([tied(*both, votes) if (both := sides(f)) else none])
+        return out
+
+    return blocks(images, block).applyInPandas(run, "image bigint, n_links bigint, least bigint")
 
 
 def image_copies(images: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -265,9 +334,9 @@ def image_copies(images: DataFrame, votes: int = VOTES) -> DataFrame:
     good = F.coalesce(F.length("pixels") == F.col("height") * F.col("width"), F.lit(False))
     rows = images.select("image_id", F.xxhash64("height", "width", "pixels").alias("image"), "height", "width", F.when(good, F.col("pixels")).alias("pixels"))
     ids = rows.groupBy("image").agg(F.min("image_id").alias("least"))
-    links = cut(image_links(rows.where(F.col("pixels").isNotNull()), votes))  # copies of one image give the same corners again
-    degree = links.select(F.explode(F.array("a", "b")).alias("image")).groupBy("image").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(links)
+    ties = cut(image_ties(rows.where(F.col("pixels").isNotNull()), votes))  # copies of one image give the same corners again
+    degree = ties.groupBy("image").agg(F.sum("n_links").alias("n_links"))
+    roots = components(ties.select(F.col("image").alias("a"), F.col("least").alias("b")))
     grouped = ids.join(roots, ids["image"] == roots["node"], "left").select("image", "least", F.coalesce("root", "image").alias("root"))
     of_root = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     of_image = grouped.join(of_root, "root").join(degree, "image", "left").select("image", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
